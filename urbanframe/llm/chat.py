@@ -62,7 +62,7 @@ def rendered(messages: DataFrame, learned: tuple[str, ...] = ("assistant",)) ->
     def step(acc: Column, t: Column) -> Column:
         body = acc.at + F.char_length(t.head)
         length = F.char_length(t.body).cast("long")
-        span = F.array(F.struct(body.alias("start"), length.alias("length")))
+        span = F.array(F.struct(body, length)).cast("array<struct<start:bigint,length:bigint>>")
         return F.struct((body + length + F.lit(len(END))).cast("long").alias("at"), F.when(t.learn, F.concat(acc.spans, span)).otherwise(acc.spans).alias("spans"))
 
     return conv.select("conv_id", F.aggregate("turns", start, step, lambda a: a.spans).alias("loss"), once(formatted).alias("formatted")).select("conv_id", "formatted", "loss")
