@@ -36,7 +36,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .text import chunks, mix, prefix_sums, powers, span_hashes
 from .util import batch, bounded_batches, width, written
 
-MATCH, GRAM = 200, 48
+MATCH, GRAM = 200, 64
 LEFT = MATCH - GRAM
 BATCH_BYTES = 6 << 20
 
@@ -69,7 +69,7 @@ def anchors(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     doc = np.searchsorted(offs, at, "right") - 1
     start, end = np.maximum(offs[doc], at - LEFT), np.minimum(offs[doc + 1], at + MATCH)
     context = mix(span_hashes(sums, start, end) ^ mix(((at - start) << 16 | (end - at)).astype(np.uint64)))
-    return at, gram[at], context, start, end
+    return at, mix(gram[at]), context, start, end  # mixed again: the anchors' own hashes are the small ones
 
 
 def _pack(batches):
