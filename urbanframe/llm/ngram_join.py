@@ -11,8 +11,9 @@ Around that search, which one task runs over one block of sets, four exact steps
    no other document.  Each document sends the hashes of a fixed share of hash space, and those
    with more than n // 5 lone ones there are alone.  A hash that repeats within a batch is sent once.
 2. Documents with equal sets become one class.
-3. Two linked classes share one of their n // 5 + 1 smallest hashes.  Chains over the classes of
-   each such hash, cut where sizes are incompatible, join into blocks: no link leaves a block.
+3. Put a class's hashes in order of the number of classes that hold them, rarest first: two linked classes share one
+   of their first n // 5 + 1.  Chains over the classes of each such hash, cut where sizes are
+   incompatible, join into blocks: no link leaves a block, and a passage that many texts share joins nothing.
 4. A block of more than ``block_limit`` classes is dealt as pairs of chunks to many tasks.
 
 Edge cases: a null text is an empty text; a text without words has no shingle and no partner; one
@@ -151,31 +152,103 @@ def _gather(batches):
         yield batch(_META, pa.array(d["id"], pa.int64(), mask=~d["has_id"]), d["n"], d["h1"].view(np.int64), d["h2"].view(np.int64), may)
 
 
-_SETS = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
+_SETS = pa.schema([("batch", pa.int64()), ("cls", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary())])
+SETS_PER_BATCH = 1 << 19
 
 
 def _sets(k: int):
+    """The sets of many classes as one row."""
+
     def run(batches):
+        seq, held, cls, sets = 0, 0, [], []
+
+        def row():
+            key = (TaskContext.get().partitionId() << 32) | seq
+            return batch(_SETS, [key], [np.array(cls, np.int64).tobytes()], [np.array([len(x) for x in sets], np.int64).tobytes()], [np.concatenate(sets).tobytes()])
+
         for b in batches:
             ids = b.column("doc_id").to_pylist()
             for lo, hi, data, offs in chunks(b.column("text")):
-                s = shingle_sets(data, offs, k)
-                yield batch(_SETS, ids[lo:hi], [len(x) for x in s], [x.tobytes() for x in s])
+                for i, x in zip(ids[lo:hi], shingle_sets(data, offs, k)):
+                    if sets and held + len(x) > SETS_PER_BATCH:
+                        yield row()
+                        seq, held, cls, sets = seq + 1, 0, [], []
+                    held += len(x)
+                    cls.append(i)
+                    sets.append(x)
+        if sets:
+            yield row()
+
+    return run
+
+
+def _opened(cls: bytes, sizes: bytes, tokens: bytes):
+    n = np.frombuffer(sizes, np.int64)
+    return np.frombuffer(cls, np.int64), n, np.frombuffer(tokens, np.uint64)
+
+
+_CLASS = pa.schema([("cls", pa.int64()), ("tokens", pa.binary())])
+
+
+def _classes(batches):
+    for b in batches:
+        for row in zip(*(b.column(c).to_pylist() for c in ("cls", "sizes", "tokens"))):
+            cls, n, tokens = _opened(*row)
+            end = np.cumsum(n)
+            raw = memoryview(tokens).cast("B")
+            yield batch(_CLASS, cls, [bytes(raw[8 * (e - m) : 8 * e]) for m, e in zip(n.tolist(), end.tolist())])
+
+
+def _ask_counts(buckets: int):
+    """The distinct hashes of a batch of sets by bucket, with the number of sets that hold each."""
+
+    def run(batches):
+        for b in batches:
+            for at, payload in zip(b.column("batch").to_pylist(), b.column("tokens").to_pylist()):
+                token, count = np.unique(np.frombuffer(payload, np.uint64), return_counts=True)
+                cut = np.searchsorted(((token >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24), np.arange(buckets + 1, dtype=np.uint64))
+                rows = [(i, token[cut[i] : cut[i + 1]].tobytes() + count[cut[i] : cut[i + 1]].astype("<u4").tobytes()) for i in np.flatnonzero(np.diff(cut)).tolist()]
+                yield batch(_ASK, [r[0] for r in rows], [at] * len(rows), [0] * len(rows), [r[1] for r in rows])
 
     return run
 
 
+def _answer_counts(batches):
+    """For each hash that was sent, in the order sent, the number of sets in all batches (at most 65535)."""
+    sent, tokens, counts = [], [], []
+    for b in batches:
+        for bucket, at, _, payload in zip(*(c.to_pylist() for c in b.columns)):
+            n = len(payload) // 12
+            sent.append((bucket, at))
+            tokens.append(np.frombuffer(payload, np.uint64, n))
+            counts.append(np.frombuffer(payload, "<u4", n, 8 * n))
+    if not sent:
+        return
+    sizes = [len(t) for t in tokens]
+    _, inverse = np.unique(np.concatenate(tokens), return_inverse=True)
+    total = np.minimum(np.bincount(inverse, np.concatenate(counts)), 65535).astype("<u2")[inverse]
+    end = 0
+    for (bucket, at), n in zip(sent, sizes):
+        start, end = end, end + n
+        yield batch(_ASK, [bucket], [at], [0], [total[start:end].tobytes()])
+
+
 _POSTING = pa.schema([("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int64())])
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _prefixes(batches):
     for b in batches:
-        cls, n = b.column("cls").to_numpy(), b.column("n").to_numpy()
-        length = n // 5 + 1
-        parts = [np.frombuffer(t, np.uint64, int(m)) for t, m in zip(b.column("tokens").to_pylist(), length)]
-        if parts:
-            yield batch(_POSTING, np.concatenate(parts).view(np.int64), np.repeat(cls, length), np.repeat(n, length))
+        for cls, sizes, tokens, answers in zip(*(b.column(c).to_pylist() for c in ("cls", "sizes", "tokens", "answers"))):
+            cls, n, token = _opened(cls, sizes, tokens)
+            _, inverse = np.unique(token, return_inverse=True)
+            held = np.concatenate([np.frombuffer(a["payload"], "<u2") for a in sorted(answers, key=lambda a: a["bucket"])])[inverse]
+            owner = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((token, held, owner))
+            first = (np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)) <= np.repeat(n // 5, n)
+            at = order[first]
+            at = at[held[at] > 1]
+            yield batch(_POSTING, token[at].view(np.int64), cls[owner[at]], n[owner[at]])
 
 
 def _chains(batches):
@@ -199,8 +272,12 @@ def needed(n: int, m: int) -> int:
     return -(-4 * (n + m) // 9)
 
 
-def divide_skip(lists: list[np.ndarray], t: int, mu: float = 0.01) -> list[tuple[int, int]]:
-    """(value, count) of the values found on at least ``t`` of the sorted lists, t >= 1."""
+def divide_skip(lists: list[np.ndarray], t: int, mu: float = 0.002) -> list[tuple[int, int]]:
+    """(value, count) of the values found on at least ``t`` of the sorted lists, t >= 1.
+
+    What the heap-merge of the short lists leaves is looked up in the long lists, all values in one
+    list at a time, and a value goes as soon as the lists to come cannot bring it to ``t``.
+    """
     lists = sorted((x for x in lists if len(x)), key=len)
     if len(lists) < t:
         return []
@@ -209,30 +286,38 @@ def divide_skip(lists: list[np.ndarray], t: int, mu: float = 0.01) -> list[tuple
     least = t - long
     heap = [(x[0], i, 0) for i, x in enumerate(short)]
     heapq.heapify(heap)
-    out = []
+    values, counts = [], []
     while len(heap) >= least:
         value, popped = heap[0][0], []
         while heap and heap[0][0] == value:
             popped.append(heapq.heappop(heap))
-        if (count := len(popped)) >= least:
-            for left, x in zip(range(len(probed) - 1, -1, -1), probed):
-                at = int(np.searchsorted(x, value))
-                count += at < len(x) and x[at] == value
-                if count + left < t:
-                    break
-            if count >= t:
-                out.append((value, count))
+        if len(popped) >= least:
+            values.append(value)
+            counts.append(len(popped))
             goal = value + 1
         else:  # skip: nothing below the new top can be on `least` lists
-            for _ in range(min(least - 1 - count, len(heap))):
+            for _ in range(min(least - 1 - len(popped), len(heap))):
                 popped.append(heapq.heappop(heap))
             if not heap:
                 break
             goal = max(value + 1, heap[0][0])
         for _, i, at in popped:
-            if (at := bisect_left(short[i], goal, at)) < len(short[i]):
-                heapq.heappush(heap, (short[i][at], i, at))
-    return out
+            x = short[i]
+            at += 1
+            if at < len(x) and x[at] < goal:
+                at = bisect_left(x, goal, at)
+            if at < len(x):
+                heapq.heappush(heap, (x[at], i, at))
+    value, count = np.array(values, np.int64), np.array(counts, np.int64)
+    for left, x in zip(range(len(probed) - 1, -1, -1), probed):
+        if not len(value):
+            break
+        count += x[np.minimum(x.searchsorted(value), len(x) - 1)] == value
+        able = count + left >= t
+        if not able.all():
+            value, count = value[able], count[able]
+    able = count >= t
+    return list(zip(value[able].tolist(), count[able].tolist()))
 
 
 def link_block(cls: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
@@ -267,8 +352,13 @@ def link_block(cls: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
         token = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets)), size)
         by = np.argsort(token, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], token[by][1:] != token[by][:-1]]))
+        held = part[owner[by]]
+        mixed = np.repeat(np.minimum.reduceat(held, first) != np.maximum.reduceat(held, first), np.diff(np.append(first, len(by))))
+        shared = np.bincount(owner[by][mixed], minlength=len(sets))  # hashes that another component holds too
         token, owner = token[by], owner[by]
-        for x, s in enumerate(sets):
+        for x in np.flatnonzero(9 * shared >= 8 * size).tolist():
+            s = sets[x]
             end = int(np.searchsorted(size, size[x] + size[x] // 4, "right"))  # sizes up to 5/4
             if end <= x + 1 or (part[x + 1 : end] == part[x]).all():
                 continue
@@ -309,16 +399,19 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, block_l
     meta = docs.mapInArrow(_ask(n, k), asked).repartition(n, "bucket").mapInArrow(_answer, asked).repartition(n, "batch")
     meta = written(spark, meta.mapInArrow(_gather, "doc_id long, n long, h1 long, h2 long, may_link boolean"), "shingles")
     classes = meta.where("may_link").groupBy("h1", "h2").agg(F.min("doc_id").alias("cls")).where("cls is not null")
-    sets = docs.join(classes.select(F.col("cls").alias("doc_id")).distinct(), "doc_id").mapInArrow(_sets(k), "cls long, n long, tokens binary")
+    sets = docs.join(classes.select(F.col("cls").alias("doc_id")).distinct(), "doc_id").mapInArrow(_sets(k), "batch long, cls binary, sizes binary, tokens binary")
     sets = written(spark, sets, "sets")
-    chains = sets.mapInArrow(_prefixes, "token long, cls long, n long").repartition(n, "token").mapInArrow(_chains, "a long, b long")
+    counts = sets.select("batch", "tokens").mapInArrow(_ask_counts(n), asked).repartition(n, "bucket").mapInArrow(_answer_counts, asked)
+    counts = counts.groupBy("batch").agg(F.collect_list(F.struct("bucket", "payload")).alias("answers"))  # of one batch
+    prefixes = sets.join(counts, "batch").mapInArrow(_prefixes, "token long, cls long, n long")
+    chains = prefixes.repartition(n, "token").mapInArrow(_chains, "a long, b long")
     blocks = connected_components(spark, chains)
     blocks = blocks.select(F.col("node").alias("cls"), F.col("root").alias("block")).unionByName(blocks.select(F.col("root").alias("cls"), F.col("root").alias("block")).distinct())
     parts = blocks.groupBy("block").agg(F.ceil(F.count("*") / F.lit(block_limit)).cast("int").alias("parts"))
     blocks = written(spark, blocks.join(parts, "block"), "blocks")
     own = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = sets.join(blocks, "cls").withColumn("own", own).withColumn("other", other)
+    dealt = sets.mapInArrow(_classes, "cls long, tokens binary").join(blocks, "cls").withColumn("own", own).withColumn("other", other)
     dealt = dealt.select("cls", "tokens", "block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     links = written(spark, dealt.groupBy("block", "i", "j").applyInArrow(_search, "a long, b long"), "links")
     if blocks.where("parts > 1").isEmpty():
