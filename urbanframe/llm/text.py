@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _B = 0x9E3779B97F4A7C15
 _BINV = pow(_B, -1, 1 << 64)
 _rng = np.random.default_rng(20240229)
