@@ -1,6 +1,395 @@
-"""Queries over the driver's tables, and their SQL twins."""
+"""Queries over the city model derived from the driver's tables, and their SQL twins."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from urbanframe.functions import scalars
+from urbanframe.operators import attributes, bounds, geometry, graph, lod, lookup, selection, validate
+from urbanframe.plans.derive import SCALE, TRANSLATE, city, oracle
+from urbanframe.sources import generate
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+WINDOW = (1002.0, 2001.0, 1010.0, 2006.0)
+_MEETS = "max_x >= 1002.0 AND min_x <= 1010.0 AND max_y >= 2001.0 AND min_y <= 2006.0"
+IDS = ["B7", "B42", "B43", "P71", "P422"]
+_IDS = ", ".join(f"'{i}'" for i in IDS)
+
+
+def query(name: str, sql: str | None = None, *tables: str):
+    """Registers a query; ``sql`` is its twin over the derived ``tables``."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = oracle(sql, *tables)
+        return f
+
+    return add
+
+
+def _bbox(s: SparkSession, d: str) -> DataFrame:
+    return bounds.package_bounds(city(s, d, "vertices"), SCALE, TRANSLATE)
+
+
+@query("flt_bbox", f"SELECT * FROM package_bbox WHERE {_MEETS}", "vertices", "package_bbox")
+def _(s, d):
+    return lookup.window_query(_bbox(s, d), WINDOW)
+
+
+@query("flt_object_ids", f"SELECT record_id, external_id, cityobject_type FROM cityobjects WHERE external_id IN ({_IDS})", "cityobjects")
+def _(s, d):
+    return lookup.by_external_id(city(s, d, "cityobjects"), IDS).select("record_id", "external_id", "cityobject_type")
+
+
+@query("flt_object_bbox", f"SELECT m.record_id, b.* FROM memberships m JOIN package_bbox b USING (package_id) WHERE {_MEETS}", "memberships", "vertices", "package_bbox")
+def _(s, d):
+    return city(s, d, "memberships").select("package_id", "record_id").join(lookup.window_query(_bbox(s, d), WINDOW), "package_id")
+
+
+@query("flt_package_record", "SELECT package_id, source_id, model_id FROM packages WHERE package_id = 42", "packages")
+def _(s, d):
+    return city(s, d, "packages").where("package_id = 42").select("package_id", "source_id", "model_id")
+
+
+@query("flt_type_descendants", "SELECT DISTINCT record_id FROM cityobjects WHERE cityobject_type IN ('Building', 'BuildingPart', 'BuildingInstallation')", "cityobjects")
+def _(s, d):
+    o, e = city(s, d, "cityobjects", "relationships")
+    return graph.closure(s, e, o.where("cityobject_type = 'Building'")).select("record_id")
+
+
+_G = "SELECT g.*, cityobject_type FROM geometries g JOIN (SELECT DISTINCT record_id, cityobject_type FROM cityobjects) o USING (record_id) WHERE lod IS NOT NULL"
+_TOP = "SELECT record_id, arg_max(lod, cast(lod AS double) * 10 + geometry_ordinal) AS top FROM geometries WHERE lod IS NOT NULL GROUP BY record_id"
+_KEPT = "geometry_id, record_id, geometry_ordinal, geometry_type, lod, cityobject_type"
+
+
+def _filtered(s, d, *rule):
+    o, g = city(s, d, "cityobjects", "geometries")
+    return o, g, lod.select(g, o, *rule)
+
+
+@query("flt_lod_all", f"SELECT {_KEPT} FROM ({_G}) g", "cityobjects", "geometries")
+def _(s, d):
+    return _filtered(s, d)[2].select(*_KEPT.split(", "))
+
+
+@query("flt_lod_exact", f"SELECT {_KEPT} FROM ({_G}) g WHERE lod = '2.2'", "cityobjects", "geometries")
+def _(s, d):
+    return _filtered(s, d, "2.2")[2].select(*_KEPT.split(", "))
+
+
+@query("flt_lod_highest", f"SELECT {_KEPT} FROM ({_G}) g JOIN ({_TOP}) t USING (record_id) WHERE lod = top", "cityobjects", "geometries")
+def _(s, d):
+    return _filtered(s, d, "highest")[2].select(*_KEPT.split(", "))
+
+
+@query("flt_lod_by_type", f"SELECT {_KEPT} FROM ({_G}) g JOIN ({_TOP}) t USING (record_id) WHERE CASE WHEN cityobject_type = 'BuildingInstallation' THEN lod = '1.2' ELSE lod = top END", "cityobjects", "geometries")
+def _(s, d):
+    return _filtered(s, d, "highest", {"BuildingInstallation": "1.2"})[2].select(*_KEPT.split(", "))
+
+
+@query("jon_object_bbox", "SELECT m.package_id, record_id, min_x, max_x FROM memberships m LEFT JOIN package_bbox b USING (package_id)", "memberships", "vertices", "package_bbox")
+def _(s, d):
+    return lookup.with_bbox(city(s, d, "memberships"), _bbox(s, d)).select("package_id", "record_id", "min_x", "max_x")
+
+
+@query("jon_package_bbox", "SELECT p.package_id, source_id, min_x IS NOT NULL AS spatial, max_z FROM packages p LEFT JOIN package_bbox b USING (package_id)", "packages", "vertices", "package_bbox")
+def _(s, d):
+    return lookup.with_bbox(city(s, d, "packages"), _bbox(s, d)).select("package_id", "source_id", F.col("min_x").isNotNull().alias("spatial"), "max_z")
+
+
+@query("jon_external_id_packages", f"SELECT DISTINCT p.package_id, p.model_id FROM cityobjects o JOIN memberships m USING (record_id) JOIN packages p ON p.package_id = m.package_id WHERE external_id IN ({_IDS})", "cityobjects", "memberships", "packages")
+def _(s, d):
+    return lookup.packages_of(*city(s, d, "cityobjects", "memberships", "packages"), IDS).select("package_id", "model_id")
+
+
+@query("jon_members", "SELECT m.package_id, m.record_id, m.ordinal AS member_ordinal, external_id, cityobject_type, is_root FROM memberships m JOIN cityobjects o USING (record_id)", "memberships", "cityobjects")
+def _(s, d):
+    o, m = city(s, d, "cityobjects", "memberships")
+    return lookup.members(o, m).select("package_id", "record_id", "member_ordinal", "external_id", "cityobject_type", "is_root")
+
+
+@query("jon_children", "SELECT parent_record_id, child_record_id, external_id AS child_id FROM relationships JOIN cityobjects ON record_id = child_record_id", "relationships", "cityobjects")
+def _(s, d):
+    o, e = city(s, d, "cityobjects", "relationships")
+    return e.join(o.select(F.col("record_id").alias("child_record_id"), F.col("external_id").alias("child_id")), "child_record_id").select("parent_record_id", "child_record_id", "child_id")
+
+
+@query("jon_read_in_order", "SELECT position, r.package_id, model_id, model_id IS NOT NULL AS found FROM (VALUES (0, 42), (1, 7), (2, 42), (3, -5)) r(position, package_id) LEFT JOIN packages p ON p.package_id = r.package_id", "packages")
+def _(s, d):
+    asked = s.createDataFrame([(0, 42), (1, 7), (2, 42), (3, -5)], "position int, package_id long")
+    return lookup.read_in_order(city(s, d, "packages"), asked).select("position", "package_id", "model_id", "found")
+
+
+@query("jon_vertex_gather", "SELECT geometry_id, vertex_id, cast(1000 AS double) + cast(0.001 AS double) * ix AS x FROM geometries JOIN vertices USING (record_id)", "geometries", "vertices")
+def _(s, d):
+    g, v = city(s, d, "geometries", "vertices")
+    b = g.select("geometry_id", "record_id", F.array(*[F.lit(i).cast("long") for i in range(4)]).alias("vertex_indices"))
+    return geometry.gathered(b, bounds.world(v, SCALE, TRANSLATE), ["geometry_id"], "record_id").select("geometry_id", "vertex_id", "x")
+
+
+@query("jon_roots", "SELECT record_id, external_id FROM cityobjects WHERE record_id NOT IN (SELECT child_record_id FROM relationships)", "cityobjects", "relationships")
+def _(s, d):
+    return graph.roots(*city(s, d, "cityobjects", "relationships")).select("record_id", "external_id")
+
+
+@query("jon_dangling", "SELECT parent_record_id, child_record_id, child_ordinal FROM relationships WHERE child_record_id NOT IN (SELECT record_id FROM cityobjects)", "cityobjects", "relationships")
+def _(s, d):
+    return graph.dangling(*city(s, d, "cityobjects", "relationships")).select("parent_record_id", "child_record_id", "child_ordinal")
+
+
+@query("agg_counts", "SELECT (SELECT count(*) FROM packages) AS packages, (SELECT count(*) FROM sources) AS sources, (SELECT count(*) FROM cityobjects) AS objects, (SELECT count(*) FROM relationships) AS relationships", "packages", "sources", "cityobjects", "relationships")
+def _(s, d):
+    frames = dict(zip(("packages", "sources", "objects", "relationships"), city(s, d, "packages", "sources", "cityobjects", "relationships")))
+    out = None
+    for name, df in frames.items():
+        one = df.agg(F.count("*").alias(name))
+        out = one if out is None else out.crossJoin(one)
+    return out
+
+
+@query("agg_package_bounds", "SELECT * FROM package_bbox", "vertices", "package_bbox")
+def _(s, d):
+    return _bbox(s, d)
+
+
+@query("agg_bounds_summary", "SELECT min(min_x) AS min_x, max(max_x) AS max_x, min(min_y) AS min_y, max(max_y) AS max_y, min(min_z) AS min_z, max(max_z) AS max_z, count(*) AS n, min(min_x) IS NOT NULL AS has_bounds FROM package_bbox", "vertices", "package_bbox")
+def _(s, d):
+    return bounds.union(_bbox(s, d))
+
+
+@query("agg_source_bounds", "SELECT source_id, min(min_x) AS min_x, max(max_x) AS max_x, min(min_y) AS min_y, max(max_y) AS max_y, min(min_z) AS min_z, max(max_z) AS max_z, count(*) AS n, true AS has_bounds FROM package_bbox JOIN packages USING (package_id) GROUP BY source_id", "packages", "vertices", "package_bbox")
+def _(s, d):
+    return bounds.union(_bbox(s, d).join(city(s, d, "packages").select("package_id", "source_id"), "package_id"), "source_id")
+
+
+@query("agg_model_summary", "SELECT (SELECT count(*) FROM cityobjects) AS n_objects, (SELECT count(DISTINCT cityobject_type) FROM cityobjects) AS n_types, (SELECT count(*) FROM cityobjects WHERE is_root) AS n_roots, (SELECT count(*) FROM relationships) AS n_relationships, (SELECT count(*) FROM geometries) AS n_geometries, (SELECT count(lod) FROM geometries) AS n_with_lod, (SELECT count(*) FROM geometries WHERE geometry_type = 'Solid') AS n_solids", "cityobjects", "relationships", "geometries")
+def _(s, d):
+    return bounds.summary(*city(s, d, "cityobjects", "relationships", "geometries"))
+
+
+@query("agg_highest_lod", f"SELECT record_id, top AS lod FROM ({_TOP}) t", "geometries")
+def _(s, d):
+    return lod.highest(city(s, d, "geometries"))
+
+
+@query("agg_filter_report", f"WITH g AS ({_G}), k AS (SELECT * FROM g WHERE lod = '2.2') SELECT g.cityobject_type, count(DISTINCT g.record_id) AS available, array_to_string(list_sort(list(DISTINCT g.lod)), ',') AS lods, (SELECT count(DISTINCT record_id) FROM k WHERE k.cityobject_type = g.cityobject_type) AS retained, (SELECT count(*) FROM k WHERE k.cityobject_type = g.cityobject_type) AS retained_geometries FROM g GROUP BY g.cityobject_type".replace("WITH g AS", ", g AS"), "cityobjects", "geometries")
+def _(s, d):
+    o, g, kept = _filtered(s, d, "2.2")
+    return lod.report(g, o, kept)
+
+
+@query("agg_lod_missing", "SELECT * FROM (VALUES ('Building', '2.2'), ('BuildingPart', '3.3')) t(cityobject_type, lod)")
+def _(s, d):
+    o, g = city(s, d, "cityobjects", "geometries")
+    return lod.missing(g, o, {"Building": "2.2", "BuildingPart": "3.3", "BuildingInstallation": "2.2"})
+
+
+@query("agg_types", "SELECT cityobject_type, count(*) AS n FROM cityobjects GROUP BY cityobject_type", "cityobjects")
+def _(s, d):
+    return city(s, d, "cityobjects").groupBy("cityobject_type").agg(F.count("*").alias("n"))
+
+
+@query("win_member_ordinal", "SELECT package_id, record_id, row_number() OVER (PARTITION BY package_id ORDER BY record_id) - 1 AS member FROM memberships", "memberships")
+def _(s, d):
+    return lookup.dense_ids(city(s, d, "memberships"), "package_id", "record_id", "member").select("package_id", "record_id", "member")
+
+
+@query("win_last_package", "SELECT record_id, max(package_id) AS package_id FROM memberships GROUP BY record_id", "memberships")
+def _(s, d):
+    return lookup.last_package_wins(city(s, d, "memberships"))
+
+
+@query("win_first_occurrence", "SELECT external_id, min(record_id) AS record_id FROM cityobjects GROUP BY external_id", "cityobjects")
+def _(s, d):
+    return lookup.first_occurrence(city(s, d, "cityobjects"), ["external_id"], ["record_id"]).select("external_id", "record_id")
+
+
+@query("srt_package_page", "SELECT package_id, model_id FROM packages WHERE package_id > 100 ORDER BY package_id LIMIT 512", "packages")
+def _(s, d):
+    return lookup.page(city(s, d, "packages").select("package_id", "model_id"), "package_id", 100, 512)
+
+
+@query("srt_object_page", "SELECT record_id, external_id FROM cityobjects WHERE record_id > 5000 ORDER BY record_id LIMIT 256", "cityobjects")
+def _(s, d):
+    return lookup.page(city(s, d, "cityobjects").select("record_id", "external_id"), "record_id", 5000, 256)
+
+
+@query("srt_bbox_page", f"SELECT * FROM package_bbox WHERE {_MEETS} AND package_id > 10 ORDER BY package_id LIMIT 128", "vertices", "package_bbox")
+def _(s, d):
+    return lookup.page(_bbox(s, d), "package_id", 10, 128, WINDOW)
+
+
+_CELLS = "SELECT package_id, CASE WHEN x1 > x0 THEN least(65535, floor(((min_x + max_x) / 2 - x0) / (x1 - x0) * 65535.0)) ELSE 0 END::BIGINT AS gx, CASE WHEN y1 > y0 THEN least(65535, floor(((min_y + max_y) / 2 - y0) / (y1 - y0) * 65535.0)) ELSE 0 END::BIGINT AS gy FROM package_bbox, (SELECT min(min_x) AS x0, max(max_x) AS x1, min(min_y) AS y0, max(max_y) AS y1 FROM package_bbox) e"
+_WALK = f", cells AS ({_CELLS}), walk AS (SELECT package_id, gx, gy, gx AS x, gy AS y, 0::BIGINT AS d, 32768::BIGINT AS h FROM cells UNION ALL SELECT package_id, gx, gy, (CASE WHEN (y // h) % 2 = 1 THEN x % h WHEN (x // h) % 2 = 1 THEN h - 1 - y % h ELSE y % h END), (CASE WHEN (y // h) % 2 = 1 THEN y % h WHEN (x // h) % 2 = 1 THEN h - 1 - x % h ELSE x % h END), d + h * h * (CASE WHEN (x // h) % 2 = 1 THEN (CASE WHEN (y // h) % 2 = 1 THEN 2 ELSE 3 END) ELSE (y // h) % 2 END), h // 2 FROM walk WHERE h > 0) SELECT package_id, gx, gy, d AS hilbert FROM walk WHERE h = 0"
+
+
+@query("srt_hilbert", _WALK, "vertices", "package_bbox")
+def _(s, d):
+    return bounds.hilbert_index(_bbox(s, d)).orderBy("hilbert", "package_id")
+
+
+def _selections(s, d):
+    ids = city(s, d, "memberships").where("package_id < 200").select("record_id")
+    pick = lambda where, whole, g: ids.where(where).select("record_id", F.lit(whole).alias("whole"), F.array(*[F.lit(x).cast("long") for x in g]).cast("array<bigint>").alias("geometries"))
+    a = pick("record_id % 3 = 0", True, []).unionByName(pick("record_id % 3 = 1", False, [0]))
+    b = pick("record_id % 2 = 0", False, [0, 1])
+    return a, b
+
+
+_SEL = ", m AS (SELECT record_id, record_id % 3 AS a, record_id % 2 AS b FROM memberships WHERE package_id < 200) "
+_shown = lambda df: df.select("record_id", "whole", F.array_join("geometries", ",").alias("geometries"))
+
+
+@query("set_union", _SEL + "SELECT record_id, a = 0 AS whole, CASE WHEN a = 0 THEN '' WHEN b = 0 THEN '0,1' ELSE '0' END AS geometries FROM m WHERE a < 2 OR b = 0", "memberships")
+def _(s, d):
+    return _shown(selection.union(*_selections(s, d)))
+
+
+@query("set_intersection", _SEL + "SELECT record_id, false AS whole, CASE WHEN a = 0 THEN '0,1' ELSE '0' END AS geometries FROM m WHERE a < 2 AND b = 0", "memberships")
+def _(s, d):
+    return _shown(selection.intersection(*_selections(s, d)))
+
+
+@query("scl_bbox_measures", "SELECT package_id, (min_x + max_x) / 2 AS centre_x, (min_y + max_y) / 2 AS centre_y, max_x - min_x AS width, max_y - min_y AS length, max_z - min_z AS height FROM package_bbox", "vertices", "package_bbox")
+def _(s, d):
+    return _bbox(s, d).select("package_id", *[c.alias(n) for n, c in scalars.bbox_measures().items()])
+
+
+@query("scl_quantise_round_trip", "SELECT record_id, vertex_id, ix, iy, iz FROM vertices", "vertices")
+def _(s, d):
+    w = bounds.world(city(s, d, "vertices"), SCALE, TRANSLATE)
+    return w.select("record_id", "vertex_id", *[scalars.quantise(F.col(a), SCALE[i], TRANSLATE[i]).alias(f"i{a}") for i, a in enumerate("xyz")])
+
+
+@query("scl_canonical_crs", "SELECT source_id, reference_system AS crs FROM sources", "sources")
+def _(s, d):
+    urn = F.concat(F.lit(" urn:ogc:def:crs:EPSG::"), F.substring("reference_system", 6, 9), F.lit(" "))
+    return city(s, d, "sources").select("source_id", scalars.canonical_crs(F.when(F.col("source_id") % 2 == 0, urn).otherwise(F.col("reference_system"))).alias("crs"))
+
+
+@query("scl_safe_file_stem", "SELECT source_id, regexp_replace(path, '[^A-Za-z0-9._-]', '_', 'g') AS stem FROM sources", "sources")
+def _(s, d):
+    return city(s, d, "sources").select("source_id", scalars.safe_file_stem(F.col("path")).alias("stem"))
+
+
+@query("scl_lod_parse", "SELECT geometry_id, lod FROM geometries", "geometries")
+def _(s, d):
+    return city(s, d, "geometries").select("geometry_id", scalars.lod_parsed(F.col("lod")).alias("lod"))
+
+
+@query("scl_affine", "SELECT record_id, vertex_id, 2.0::DOUBLE * ix + 0.0::DOUBLE * iy + 0.0::DOUBLE * iz + 5.0::DOUBLE AS x, 0.0::DOUBLE * ix + 0.5::DOUBLE * iy + 0.0::DOUBLE * iz + 0.0::DOUBLE AS y FROM vertices", "vertices")
+def _(s, d):
+    x, y, _z = scalars.affine([2, 0, 0, 5, 0, 0.5, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1], F.col("ix"), F.col("iy"), F.col("iz"))
+    return city(s, d, "vertices").select("record_id", "vertex_id", x.alias("x"), y.alias("y"))
+
+
+
+@query("grf_descendants", "SELECT child_record_id AS record_id, 1 AS level FROM relationships WHERE parent_record_id IN (-1, -5, -9) UNION ALL SELECT p.child_record_id, 2 FROM relationships g JOIN relationships p ON p.parent_record_id = g.child_record_id WHERE g.parent_record_id IN (-1, -5, -9)", "relationships")
+def _(s, d):
+    return graph.descendants(s, city(s, d, "relationships"), s.createDataFrame([(-1,), (-5,), (-9,)], "record_id long"))
+
+
+@query("grf_connected", ", c AS (SELECT g.child_record_id AS b FROM relationships g WHERE g.parent_record_id = (SELECT parent_record_id FROM relationships WHERE child_record_id = 70)) SELECT b AS record_id FROM c UNION SELECT child_record_id FROM relationships JOIN c ON parent_record_id = b UNION SELECT parent_record_id FROM relationships WHERE child_record_id = 70", "relationships")
+def _(s, d):
+    return graph.closure(s, city(s, d, "relationships"), s.createDataFrame([(70,)], "record_id long"), both=True).select("record_id")
+
+
+@query("grf_cycles", "SELECT 1::BIGINT AS record_id UNION ALL SELECT 2 UNION ALL SELECT 3")
+def _(s, d):
+    e = city(s, d, "relationships").select("parent_record_id", "child_record_id")
+    return graph.cyclic(s, e.unionByName(s.createDataFrame([(1, 2), (2, 3), (3, 1)], e.schema)))
+
+
+@query("wrk_subset", "SELECT record_id, external_id FROM cityobjects WHERE record_id IN (70, 420) UNION ALL SELECT record_id, external_id FROM cityobjects WHERE record_id IN (SELECT child_record_id FROM relationships WHERE parent_record_id IN (70, 420))", "cityobjects", "relationships")
+def _(s, d):
+    o, e = city(s, d, "cityobjects", "relationships")
+    return selection.subset(s, o, e, ["B7", "B42", "none"])[0].select("record_id", "external_id")
+
+
+@query("wrk_subset_exclude", "SELECT record_id FROM cityobjects WHERE record_id NOT IN (70, 420) AND record_id NOT IN (SELECT child_record_id FROM relationships WHERE parent_record_id IN (70, 420))", "cityobjects", "relationships")
+def _(s, d):
+    o, e = city(s, d, "cityobjects", "relationships")
+    return selection.subset(s, o, e, ["B7", "B42"], exclude=True)[0].select("record_id")
+
+
+@query("wrk_extract", _SEL + "SELECT geometry_id, g.record_id FROM geometries g JOIN m USING (record_id) WHERE a = 0 OR (a = 1 AND geometry_ordinal = 0)", "memberships", "geometries")
+def _(s, d):
+    o, g, e = city(s, d, "cityobjects", "geometries", "relationships")
+    return selection.extract(o, g, e, _selections(s, d)[0])[1].select("geometry_id", "record_id")
+
+
+@query("wrk_merge", "SELECT external_id, cityobject_type, 'a=' || CASE WHEN record_id % 20 = 0 THEN 'new' ELSE 'old' END AS a FROM cityobjects WHERE cityobject_type = 'Building'", "cityobjects")
+def _(s, d):
+    o = city(s, d, "cityobjects").where("cityobject_type = 'Building'")
+    first = o.select("external_id", "cityobject_type", F.create_map(F.lit("a"), F.lit("old")).alias("attributes"))
+    second = o.where("record_id % 20 = 0").select("external_id", "cityobject_type", F.create_map(F.lit("a"), F.lit("new")).alias("attributes"))
+    return selection.merge_objects(first, second).select("external_id", "cityobject_type", F.concat(F.lit("a="), F.col("attributes")["a"]).alias("a"))
+
+
+@query("wrk_localise", "SELECT record_id, vertex_id, vertex_id AS new_id FROM vertices", "vertices")
+def _(s, d):
+    b = city(s, d, "geometries").select("record_id", F.array(*[F.lit(i).cast("long") for i in (3, 1, 0, 2, 3)]).alias("vertex_indices"))
+    return geometry.localised(b, "record_id").select("record_id", "vertex_id", F.col("new_id").cast("long").alias("new_id"))
+
+
+@query("prj_attribute_keys", "SELECT DISTINCT unnest(json_keys(props)) AS name FROM attributes", "attributes")
+def _(s, d):
+    return attributes.keys(city(s, d, "attributes"), "props")
+
+
+@query("prj_unsigned_column", "SELECT object_id, cast(json_extract_string(props, '$.k') AS BIGINT) AS value FROM attributes WHERE json_extract_string(props, '$.k') IS NOT NULL", "attributes")
+def _(s, d):
+    return attributes.column(city(s, d, "attributes"), "object_id", "props", "k", "unsigned")
+
+
+@query("prj_discover", "SELECT DISTINCT family, 'k' AS name, 'unsigned' AS type FROM attributes", "attributes")
+def _(s, d):
+    return attributes.discover(city(s, d, "attributes"), "family", "props")
+
+
+@query("prj_project", "SELECT object_id, cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM attributes", "attributes")
+def _(s, d):
+    return attributes.project(city(s, d, "attributes"), "props", {"k": "unsigned"}).select("object_id", "k")
+
+
+
+@query("prj_rings", "SELECT package_id, f::INT AS surface_ordinal, f::INT AS ring_ordinal, 4 AS n FROM range(500) p(package_id), range(6) q(f)")
+def _(s, d):
+    return geometry.rings(generate.buildings(s, 500)["boundaries"], ["package_id"]).select("package_id", "surface_ordinal", "ring_ordinal", F.size("ring").alias("n"))
+
+
+@query("prj_triangles", "SELECT package_id, f::INT AS surface_ordinal, t::INT AS triangle FROM range(500) p(package_id), range(6) q(f), range(2) r(t)")
+def _(s, d):
+    r = geometry.rings(generate.buildings(s, 500)["boundaries"], ["package_id"])
+    return geometry.triangles(r, ["package_id"]).select("package_id", "surface_ordinal", "triangle")
+
+
+@query("val_violations", "SELECT 'lod' AS \"check\", '' AS key, '' AS detail WHERE false")
+def _(s, d):
+    return validate.violations(*city(s, d, "cityobjects", "relationships", "geometries"))
+
+
+@query("val_missing_vertices", "SELECT geometry_id, record_id, 4::BIGINT AS vertex_id FROM geometries WHERE geometry_id % 100 = 1", "geometries")
+def _(s, d):
+    g, v = city(s, d, "geometries", "vertices")
+    b = g.select("geometry_id", "record_id", F.when(F.col("geometry_id") % 100 == 1, F.array(F.lit(0), F.lit(4))).otherwise(F.array(F.lit(0), F.lit(3))).alias("vertex_indices"))
+    return geometry.missing_vertices(b, v, ["geometry_id"], "record_id").select("geometry_id", "record_id", "vertex_id")
+
+
+@query("val_status", "SELECT path, CASE WHEN source_id % 4 = 0 THEN 'missing' WHEN source_id % 4 = 1 THEN 'changed' ELSE 'fresh' END AS state FROM sources UNION ALL SELECT '/src/new', 'unindexed'", "sources")
+def _(s, d):
+    was = city(s, d, "sources").select("path", F.col("source_id").alias("size"), F.lit(1).alias("mtime"), "source_id")
+    now = was.where("source_id % 4 <> 0").select("path", "size", F.when(F.col("source_id") % 4 == 1, 2).otherwise(1).alias("mtime"))
+    return lookup.status(was.drop("source_id"), now.unionByName(s.createDataFrame([("/src/new", 1, 1)], "path string, size long, mtime int")))
+
+
+@query("gen_buildings", "SELECT package_id, 'building-' || lpad(package_id::VARCHAR, 6, '0') AS external_id FROM range(2000) t(package_id)")
+def _(s, d):
+    return generate.buildings(s, 2000)["objects"].select("package_id", "external_id")

@@ -1,0 +1,114 @@
+"""Readers and writers of JSON city models: whole documents, JSON-lines streams and directories of features.
+
+A file's objects become rows with JSON parsed into VARIANT, so that unknown members survive; coordinates are
+de-quantised with the root's transform.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_ROOT = "type string, version string, id string, transform struct<scale: array<double>, translate: array<double>>, metadata string, vertices array<array<bigint>>, CityObjects map<string, string>"
+_OBJECT = "type string, parents array<string>, children array<string>, attributes string, geometry string"
+_GEOMETRY = "array<struct<type: string, lod: string, boundaries: string, semantics: string>>"
+
+
+def probe(text: Column) -> Column:
+    """(type, version) without the rest."""
+    return F.struct(F.get_json_object(text, "$.type").alias("type"), F.get_json_object(text, "$.version").alias("version"))
+
+
+def _root(df: DataFrame, text: str = "value") -> DataFrame:
+    return df.withColumn("root", F.from_json(text, _ROOT)).withColumn("raw", F.col(text))
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(model_id, root, raw): a row a file; anything but a 2.x document is an error.  Lines files are refused."""
+    if path.endswith(".jsonl"):
+        raise ValueError("a lines file is no document")
+    df = _root(spark.read.text(path, wholetext=True)).withColumn("model_id", F.coalesce(F.get_json_object("value", "$.metadata.identifier"), F.input_file_name()))
+    good = (F.col("root.type") == "CityJSON") & F.coalesce(F.col("root.version"), F.lit("")).startswith("2.")
+    return df.select("model_id", F.when(good, F.col("root")).otherwise(F.raise_error(F.concat(F.lit("not a 2.x document: "), "model_id"))).alias("root"), "raw")
+
+
+def read_stream(spark: SparkSession, path: str) -> DataFrame:
+    """(model_id, root, raw): a row a feature of JSON-lines files whose header line is joined to each of its features.
+
+    Blank lines are skipped.  An object id in two features of a file is an error, found by one aggregation.
+    """
+    lines = spark.read.text(path).withColumn("file", F.input_file_name()).where(F.trim("value") != "")
+    lines = _root(lines)
+    heads = lines.where("root.type = 'CityJSON'").groupBy("file").agg(F.count("*").alias("n"), F.first("root.transform").alias("t"), F.first("root.metadata").alias("m"))
+    heads = heads.select("file", F.when(F.col("n") == 1, F.col("t")).otherwise(F.raise_error(F.concat(F.lit("two headers in "), "file"))).alias("t"), "m")
+    features = lines.where("root.type = 'CityJSONFeature'").join(heads, "file")
+    ids = features.select("file", F.explode(F.map_keys("root.CityObjects")).alias("id")).groupBy("file", "id").count().where("count > 1").groupBy("file").agg(F.min("id").alias("twice"))
+    features = features.join(ids, "file", "left")
+    root = F.col("root").withField("transform", F.col("t")).withField("metadata", F.coalesce("root.metadata", "m"))
+    return features.select(F.when(F.col("twice").isNull(), F.col("root.id")).otherwise(F.raise_error(F.concat(F.lit("id twice: "), "twice"))).alias("model_id"), root.alias("root"), "raw")
+
+
+def read_feature_files(spark: SparkSession, directory: str) -> DataFrame:
+    """Features below ``directory``/features under the header in its metadata.json."""
+    head = spark.read.text(f"{directory}/metadata.json", wholetext=True).select(F.from_json("value", _ROOT).alias("h"))
+    lines = _root(spark.read.option("recursiveFileLookup", "true").text(f"{directory}/features").where(F.trim("value") != ""))
+    both = lines.crossJoin(F.broadcast(head))  # one header row
+    root = F.col("root").withField("transform", F.col("h.transform")).withField("metadata", F.coalesce("root.metadata", "h.metadata"))
+    return both.select(F.col("root.id").alias("model_id"), root.alias("root"), "raw")
+
+
+def objects(models: DataFrame) -> DataFrame:
+    """(model_id, external_id, cityobject_type, parents, children, attributes, geometry) in id order within a model."""
+    o = models.select("model_id", F.explode("root.CityObjects").alias("external_id", "json")).withColumn("o", F.from_json("json", _OBJECT))
+    return o.select("model_id", "external_id", F.col("o.type").alias("cityobject_type"), "o.parents", "o.children", "o.attributes", "o.geometry")
+
+
+def relationships(objs: DataFrame) -> DataFrame:
+    return objs.select("model_id", F.col("external_id").alias("parent_id"), F.posexplode("children").alias("child_ordinal", "child_id"))
+
+
+def geometries(objs: DataFrame) -> DataFrame:
+    """(model_id, external_id, geometry_ordinal, geometry_type, lod, boundaries, semantics)."""
+    g = objs.select("model_id", "external_id", F.posexplode(F.from_json("geometry", _GEOMETRY)).alias("geometry_ordinal", "g"))
+    return g.select("model_id", "external_id", "geometry_ordinal", F.col("g.type").alias("geometry_type"), "g.lod", "g.boundaries", "g.semantics")
+
+
+def boundary_indices(geoms: DataFrame) -> DataFrame:
+    """Adds vertex_indices: the numbers of the nested boundaries in order."""
+    return geoms.withColumn("vertex_indices", F.transform(F.regexp_extract_all("boundaries", F.lit("-?[0-9]+"), F.lit(0)), lambda v: v.cast("int")))
+
+
+def vertices(models: DataFrame) -> DataFrame:
+    """(model_id, vertex_id, x, y, z) in world coordinates; without a transform the numbers are taken as they are."""
+    v = models.select("model_id", "root.transform", F.posexplode("root.vertices").alias("vertex_id", "v"))
+    axis = lambda i: F.coalesce(F.col("v")[i] * F.col("transform.scale")[i] + F.col("transform.translate")[i], F.col("v")[i].cast("double"))
+    return v.select("model_id", "vertex_id", *[axis(i).alias(a) for i, a in enumerate("xyz")])
+
+
+def auto_transform(verts: DataFrame, scale: float = 0.001) -> dict:
+    """Scale and translation for writing: the smallest corner of all vertices."""
+    low = verts.agg(*[F.min(a).alias(a) for a in "xyz"]).first()
+    return {"scale": [scale] * 3, "translate": [low[a] or 0.0 for a in "xyz"]}
+
+
+def write_features(objs: DataFrame, verts: DataFrame, transform: dict, path: str) -> None:
+    """JSON lines, a feature a model, vertices as integers of the transform (halves away from zero); no header line."""
+    s, t = transform["scale"], transform["translate"]
+    q = verts.withColumn("v", F.array(*[F.round((F.col(a) - t[i]) / s[i]).cast("long") for i, a in enumerate("xyz")]))
+    pools = q.groupBy("model_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("vertex_id", "v"))), lambda x: x.v).alias("vertices"))
+    body = F.struct(F.col("cityobject_type").alias("type"), "parents", "children", F.parse_json("attributes").alias("attributes"), F.parse_json("geometry").alias("geometry"))
+    o = objs.groupBy("model_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("external_id", F.to_json(body).alias("o"))))).alias("o"))
+    members = F.array_join(F.transform(F.map_entries("o"), lambda e: F.concat(F.to_json(F.array(e.key)).substr(F.lit(2), F.length(F.to_json(F.array(e.key))) - 2), F.lit(":"), e.value)), ",")
+    quoted = F.regexp_extract(F.to_json(F.array("model_id")), "^\\[(.*)\\]$", 1)
+    line = F.concat(F.lit('{"type":"CityJSONFeature","id":'), quoted, F.lit(',"CityObjects":{'), members, F.lit('},"vertices":'), F.coalesce(F.to_json("vertices"), F.lit("[]")), F.lit("}"))
+    o.join(pools, "model_id", "left").select(line.alias("value")).write.text(path)
+
+
+def write_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """A dataset: a Parquet directory a table."""
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{name}.parquet")
+
+
+def read_tables(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(f"{path}/{n}.parquet") for n in names}
