@@ -371,15 +371,18 @@ def _(s, d):
     return geometry.triangles(r, ["package_id"]).select("package_id", "surface_ordinal", "triangle")
 
 
-@query("val_violations", "SELECT 'lod' AS \"check\", '' AS key, '' AS detail WHERE false")
+@query("val_violations", "SELECT 'lod' AS \"check\", cast(geometry_id AS VARCHAR) AS key, '9' AS detail FROM geometries WHERE geometry_id % 1000 = 11 UNION ALL SELECT 'child', '-99', '70'", "geometries")
 def _(s, d):
-    return validate.violations(*city(s, d, "cityobjects", "relationships", "geometries"))
+    o, e, g = city(s, d, "cityobjects", "relationships", "geometries")
+    broken = g.withColumn("lod", F.when(F.col("geometry_id") % 1000 == 11, "9").otherwise(F.col("lod")))
+    lost = s.createDataFrame([(70, -99, 1)], "parent_record_id long, child_record_id long, child_ordinal long")
+    return validate.violations(o, e.unionByName(lost), broken)
 
 
-@query("val_missing_vertices", "SELECT geometry_id, record_id, 4::BIGINT AS vertex_id FROM geometries WHERE geometry_id % 100 = 1", "geometries")
+@query("val_missing_vertices", "SELECT geometry_id, record_id, 4::BIGINT AS vertex_id FROM geometries WHERE geometry_id % 100 = 11", "geometries")
 def _(s, d):
     g, v = city(s, d, "geometries", "vertices")
-    b = g.select("geometry_id", "record_id", F.when(F.col("geometry_id") % 100 == 1, F.array(F.lit(0), F.lit(4))).otherwise(F.array(F.lit(0), F.lit(3))).alias("vertex_indices"))
+    b = g.select("geometry_id", "record_id", F.when(F.col("geometry_id") % 100 == 11, F.array(F.lit(0), F.lit(4))).otherwise(F.array(F.lit(0), F.lit(3))).alias("vertex_indices"))
     return geometry.missing_vertices(b, v, ["geometry_id"], "record_id").select("geometry_id", "record_id", "vertex_id")
 
 
