@@ -371,11 +371,11 @@ def _(s, d):
     return geometry.triangles(r, ["package_id"]).select("package_id", "surface_ordinal", "triangle")
 
 
-@query("val_violations", "SELECT 'lod' AS \"check\", cast(geometry_id AS VARCHAR) AS key, '9' AS detail FROM geometries WHERE geometry_id % 1000 = 11 UNION ALL SELECT 'child', '-99', '70'", "geometries")
+@query("val_violations", "SELECT 'lod' AS \"check\", cast(geometry_id AS VARCHAR) AS key, '9' AS detail FROM geometries WHERE geometry_id % 1000 = 11 UNION ALL SELECT 'child', '-99999999', '70'", "geometries")
 def _(s, d):
     o, e, g = city(s, d, "cityobjects", "relationships", "geometries")
     broken = g.withColumn("lod", F.when(F.col("geometry_id") % 1000 == 11, "9").otherwise(F.col("lod")))
-    lost = s.createDataFrame([(70, -99, 1)], "parent_record_id long, child_record_id long, child_ordinal long")
+    lost = s.createDataFrame([(70, -99999999, 1)], "parent_record_id long, child_record_id long, child_ordinal long")
     return validate.violations(o, e.unionByName(lost), broken)
 
 
