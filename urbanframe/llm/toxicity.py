@@ -111,9 +111,10 @@ def classifier(rows: np.ndarray, cols: np.ndarray, target: np.ndarray, rounds: i
     """
     n = len(target)
     kept = np.flatnonzero(np.bincount(cols, minlength=DIMS) >= 3)
-    at = np.full(DIMS, -1)
+    at = np.full(DIMS, -1, np.int32)
     at[kept] = np.arange(len(kept))
-    rows, cols = rows[at[cols] >= 0], at[cols[at[cols] >= 0]]
+    cols = at[cols]
+    rows, cols = rows[cols >= 0], cols[cols >= 0]
     dims = len(kept)
     w = v = np.zeros(dims)
     p = np.clip(target.mean(), 1e-3, 1 - 1e-3)
@@ -146,8 +147,10 @@ def classifier(rows: np.ndarray, cols: np.ndarray, target: np.ndarray, rounds: i
 
 
 def fit(x: list, y: np.ndarray) -> tuple[np.ndarray, float]:
-    rows = np.repeat(np.arange(len(x)), [len(r) for r in x])
-    cols = np.concatenate([np.asarray(r, np.int64) for r in x]) if x else np.zeros(0, np.int64)
+    texts = len(x)
+    rows = np.repeat(np.arange(texts, dtype=np.int32), [len(r) for r in x])
+    cols = np.concatenate(x).astype(np.int32, copy=False) if texts else np.zeros(0, np.int32)
+    del x[:]
     share = float(y.mean()) if len(y) else 0.0
     flat = np.zeros(DIMS), float(np.log(share / (1 - share))) if 0 < share < 1 else (40.0 if share == 1 else -40.0)
     if not 0 < share < 1:
@@ -155,10 +158,10 @@ def fit(x: list, y: np.ndarray) -> tuple[np.ndarray, float]:
     voters = choose_voters(rows, cols, y)
     if not len(voters):
         return flat
-    which = np.full(DIMS, -1)
+    which = np.full(DIMS, -1, np.int32)
     which[voters] = np.arange(len(voters))
     hit = which[cols] >= 0
-    votes = np.zeros((len(x), len(voters)))
+    votes = np.zeros((texts, len(voters)))
     votes[rows[hit], which[cols[hit]]] = 1
     return classifier(rows, cols, label_model(votes, share)[0])
 
@@ -187,7 +190,9 @@ def rated(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int =
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = sample(docs, labels, "toxic", remainder("doc_id", folds) != held, SAMPLE).mapInArrow(_learn_rows, "toxic int, features array<int>").orderBy("toxic", "features").toArrow()
-    w, b = fit([np.asarray(r) for r in rows.column("features").to_numpy()], rows.column("toxic").to_numpy().astype(int))
+    toxic, x = rows.column("toxic").to_numpy().astype(int), [np.asarray(r) for r in rows.column("features").to_numpy()]
+    del rows
+    w, b = fit(x, toxic)
     index = np.flatnonzero(w)
     shown = docs.withColumn("held_out", F.coalesce(remainder("doc_id", folds) == held, F.lit(False)))
     return shown.mapInArrow(_score(index, w[index], b), "doc_id long, held_out boolean, score double, predicted int")
