@@ -21,14 +21,12 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; texts without an id are scored like others."""
-    scored = quality_bt.ranked(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    bad = scored.where("predicted = 0").select(F.col("doc_id").alias("rejected")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("rejected")), "left_anti").select(COLUMNS)
+    """Documents that the classifier accepts."""
+    return quality_bt.accepted(spark, docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component, once; rows without an id stay."""
+    """The document with the smallest id of each component; rows that share that id, and rows without an id, stay."""
     found = ngram_join.jaccard_components(spark, docs)
     copies = found.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(COLUMNS)
@@ -42,7 +40,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(COLUMNS)
+    return decontaminate.decontaminated(spark, docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .text import LOWER, chunks, mix, prefix_sums, ranges, shingle_sets, shingles, span_hashes, word_spans
-from .util import batch, bounded_batches, written
+from .util import batch, bounded_batches
 
 HASHES = 64
 ITEM_SHINGLES = 1 << 20
@@ -100,28 +100,39 @@ class Items:
 _HIT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_shingles", pa.int64()), ("shared", pa.int64())])
 
 
+def _shingled(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    low = LOWER[data]
+    starts, ends, woffs = word_spans(low, offs)
+    return shingles(span_hashes(prefix_sums(low), starts, ends), woffs)
+
+
 def _search(items: Items):
     def run(batches):
         for b in batches:
             ids = b.column("doc_id").to_pylist()
             for lo, _, data, offs in chunks(b.column("text")):
-                low = LOWER[data]
-                starts, ends, woffs = word_spans(low, offs)
-                sh, soffs = shingles(span_hashes(prefix_sums(low), starts, ends), woffs)
-                found = items.search(sh, soffs)
+                found = items.search(*_shingled(data, offs))
                 yield batch(_HIT, [ids[lo + d] for d, _, _ in found], [items.ids[i] for _, i, _ in found], [len(items.sets[i]) for _, i, _ in found], [n for _, _, n in found])
 
     return run
 
 
-def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, item_shingles, shared) for every document and item with 80 % or more of the item in it."""
-    bounded_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _clean(items: Items):
+    def run(batches):
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            for lo, _, data, offs in chunks(b.column(b.schema.get_field_index("text"))):
+                keep[[lo + d for d, _, _ in items.search(*_shingled(data, offs))]] = False
+            yield b.filter(pa.array(keep))
+
+    return run
+
+
+def item_blocks(benchmark: DataFrame):
+    """The items in blocks of bounded size."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    words = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # a shingle takes two bytes at least
-    blocks = max(1, -(-(words // 2) // ITEM_SHINGLES))
-    out = spark.createDataFrame([], "doc_id long, item_id long, item_shingles long, shared long")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # a shingle takes two bytes at least
+    blocks = max(1, -(-(size // 2) // ITEM_SHINGLES))
     for i in range(blocks):
         rows = (items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)).collect()  # a bounded block
         ids, sets = [], []
@@ -132,11 +143,22 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
                 ids.append(row["item_id"])
                 sets.append(s)
         if sets:
-            out = out.unionByName(docs.mapInArrow(_search(Items(ids, sets)), "doc_id long, item_id long, item_shingles long, shared long"))
+            yield Items(ids, sets)
+
+
+def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, item_shingles, shared) for every document and item with 80 % or more of the item in it."""
+    bounded_batches(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = spark.createDataFrame([], "doc_id long, item_id long, item_shingles long, shared long")
+    for items in item_blocks(benchmark):
+        out = out.unionByName(docs.mapInArrow(_search(items), "doc_id long, item_id long, item_shingles long, shared long"))
     return out
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no item was found; rows without an id stay if no text without an id holds one."""
-    hits = written(spark, contaminated(spark, docs, benchmark).select("doc_id").distinct(), "leaks")
-    return docs.join(hits.withColumnRenamed("doc_id", "leaking"), F.col("doc_id").eqNullSafe(F.col("leaking")), "left_anti")
+    """The rows of ``docs`` in which no item was found, with all their columns; nothing is joined or dealt anew."""
+    bounded_batches(spark)
+    for items in item_blocks(benchmark):
+        docs = docs.mapInArrow(_clean(items), docs.schema)
+    return docs

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,12 +110,33 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train, size: int) ->
     return docs.join(F.broadcast(chosen), "doc_id").select("text", label)
 
 
-def ranked(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, cut: float = 0.7) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of ``docs`` (doc_id, text); learned from ``labels`` (doc_id, quality) not held out."""
+def learned(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int, held: int) -> dict:
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = sample(docs, labels, "quality", remainder("doc_id", folds) != held, SAMPLE).mapInArrow(_learn_rows, "quality int, features array<double>").orderBy("quality", "features").collect()
     x = np.array([r["features"] for r in rows]).reshape(-1, len(FEATURES))
-    model = fit(x, np.array([r["quality"] for r in rows], int))
-    shown = docs.withColumn("held_out", F.coalesce(remainder("doc_id", folds) == held, F.lit(False)))
+    return fit(x, np.array([r["quality"] for r in rows], int))
+
+
+def ranked(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, cut: float = 0.7) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row of ``docs`` (doc_id, text); learned from ``labels`` (doc_id, quality) not held out."""
+    model = learned(spark, docs, labels, folds, held)
+    shown = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", F.coalesce(remainder("doc_id", folds) == held, F.lit(False)))
     return shown.mapInArrow(_score(model, cut), "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, cut: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` whose score reaches ``cut``, with all their columns; nothing is joined or dealt anew."""
+    score = _score(learned(spark, docs, labels, folds, held), cut)
+
+    def run(batches):
+        for b in batches:
+            text = b.column(b.schema.get_field_index("text"))
+            none = pa.nulls(b.num_rows, pa.int64())
+            at = 0
+            for part in score([pa.RecordBatch.from_arrays([none, text, pa.nulls(b.num_rows, pa.bool_())], ["doc_id", "text", "held_out"])]):
+                yield b.slice(at, part.num_rows).filter(pc.equal(part.column("predicted"), 1))
+                at += part.num_rows
+
+    return docs.mapInArrow(run, docs.schema)
+
