@@ -138,7 +138,7 @@ def _pieces(path: str, window: int, end_id: int):
 
 
 def combinations(histogram: np.ndarray) -> list[tuple[int, ...]]:
-    """Combinations of one to three lengths that are there, each the fullest for its first lengths."""
+    """Combinations of one to three lengths that are there and fill 98 % or more of a window."""
     window = len(histogram) - 1
     have = np.flatnonzero(histogram[1:]) + 1
     under = np.zeros(window + 1, np.int64)  # the largest length that is there, up to each
@@ -154,20 +154,25 @@ def combinations(histogram: np.ndarray) -> list[tuple[int, ...]]:
             c = int(under[room - b])
             if b and c:
                 out.add(tuple(sorted((a, b, c))))
-    return sorted(out)
+    return sorted(c for c in out if 100 * sum(c) >= 98 * window)
 
 
 def repeats(combos: list[tuple[int, ...]], histogram: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """x >= 0 that makes the combinations' lengths, repeated x times, closest to the histogram (multiplicative updates)."""
+    """x >= 0 that makes the combinations' lengths, repeated x times, closest to the histogram (multiplicative updates).
+
+    Differences count by the square of the length: short pieces left over still fill gaps, long ones do not.
+    """
     if not combos:
         return np.zeros(0)
     slot = np.concatenate([np.array(c) for c in combos])
     owner = np.repeat(np.arange(len(combos)), [len(c) for c in combos])
     n, m = len(combos), len(histogram)
-    goal = np.bincount(owner, histogram[slot], n)
-    x = goal / np.bincount(owner, minlength=n) / np.bincount(owner, np.bincount(slot, minlength=m)[slot], n)
+    weight = np.arange(m) / m
+    weight = weight**2
+    goal = np.bincount(owner, (weight * histogram)[slot], n)
+    x = goal / np.bincount(owner, (weight * np.bincount(slot, minlength=m))[slot], n)
     for _ in range(rounds):
-        x *= goal / np.maximum(np.bincount(owner, np.bincount(slot, x[owner], m)[slot], n), 1e-9)
+        x *= goal / np.maximum(np.bincount(owner, (weight * np.bincount(slot, x[owner], m))[slot], n), 1e-12)
     return x
 
 
