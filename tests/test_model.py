@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from urbanframe.functions import scalars
 from urbanframe.operators import attributes, geometry, graph, lod, lookup, selection, validate
-from urbanframe.sources import cityjson, generate
+from urbanframe.sources import generate, model_json
 from urbanframe.streaming import ingest
 
 
@@ -134,38 +134,38 @@ def lines(path, *items):
 
 
 def test_stream_reader(spark, tmp_path):
-    models = cityjson.read_stream(spark, lines(tmp_path / "s", HEAD, FEATURE))
-    objs = cityjson.objects(models)
+    models = model_json.read_stream(spark, lines(tmp_path / "s", HEAD, FEATURE))
+    objs = model_json.objects(models)
     assert {r["external_id"]: r["cityobject_type"] for r in objs.collect()} == {"one": "Building", "p": "BuildingPart"}
-    assert [tuple(r)[1:] for r in cityjson.relationships(objs).collect()] == [("one", 0, "p")]
-    g = cityjson.boundary_indices(cityjson.geometries(objs)).first()
+    assert [tuple(r)[1:] for r in model_json.relationships(objs).collect()] == [("one", 0, "p")]
+    g = model_json.boundary_indices(model_json.geometries(objs)).first()
     assert (g["geometry_type"], g["lod"], g["vertex_indices"]) == ("MultiSurface", "1.0", [0, 1, 2])
-    assert sorted((r["x"], r["y"]) for r in cityjson.vertices(models).collect()) == [(100.0, 0.0), (100.0, 5.0), (105.0, 0.0)]
+    assert sorted((r["x"], r["y"]) for r in model_json.vertices(models).collect()) == [(100.0, 0.0), (100.0, 5.0), (105.0, 0.0)]
 
 
 def test_stream_rules(spark, tmp_path):
     with pytest.raises(PySparkException):
-        cityjson.read_stream(spark, lines(tmp_path / "two", HEAD, HEAD, FEATURE)).collect()
+        model_json.read_stream(spark, lines(tmp_path / "two", HEAD, HEAD, FEATURE)).collect()
     with pytest.raises(PySparkException):
-        cityjson.read_stream(spark, lines(tmp_path / "twice", HEAD, FEATURE, FEATURE)).collect()
+        model_json.read_stream(spark, lines(tmp_path / "twice", HEAD, FEATURE, FEATURE)).collect()
     with pytest.raises(ValueError):
-        cityjson.read_documents(spark, "x.city.jsonl")
+        model_json.read_documents(spark, "x.city.jsonl")
 
 
 def test_document_and_feature_files(spark, tmp_path):
     (tmp_path / "d.city.json").write_text(json.dumps(HEAD | {"CityObjects": FEATURE["CityObjects"], "vertices": FEATURE["vertices"]}))
-    assert cityjson.objects(cityjson.read_documents(spark, str(tmp_path / "d.city.json"))).count() == 2
+    assert model_json.objects(model_json.read_documents(spark, str(tmp_path / "d.city.json"))).count() == 2
     (tmp_path / "ff/features/x").mkdir(parents=True)
     (tmp_path / "ff/metadata.json").write_text(json.dumps(HEAD))
     (tmp_path / "ff/features/x/a.city.jsonl").write_text(json.dumps(FEATURE) + "\n")
-    assert cityjson.vertices(cityjson.read_feature_files(spark, str(tmp_path / "ff"))).agg(F.max("x")).first()[0] == 105.0
+    assert model_json.vertices(model_json.read_feature_files(spark, str(tmp_path / "ff"))).agg(F.max("x")).first()[0] == 105.0
 
 
 def test_write_and_read_back(spark, tmp_path):
-    models = cityjson.read_stream(spark, lines(tmp_path / "s", HEAD, FEATURE))
-    objs, verts = cityjson.objects(models), cityjson.vertices(models)
-    t = cityjson.auto_transform(verts)
-    cityjson.write_features(objs, verts, t, str(tmp_path / "out"))
+    models = model_json.read_stream(spark, lines(tmp_path / "s", HEAD, FEATURE))
+    objs, verts = model_json.objects(models), model_json.vertices(models)
+    t = model_json.auto_transform(verts)
+    model_json.write_features(objs, verts, t, str(tmp_path / "out"))
     (line,) = [r[0] for r in spark.read.text(str(tmp_path / "out")).collect()]
     got = json.loads(line)
     assert got["vertices"] == [[0, 0, 0], [5000, 0, 0], [0, 5000, 0]]
@@ -175,8 +175,8 @@ def test_write_and_read_back(spark, tmp_path):
 
 def test_tables_round_trip(spark, tmp_path):
     made = generate.buildings(spark, 5)
-    cityjson.write_tables(made, str(tmp_path / "t"))
-    back = cityjson.read_tables(spark, str(tmp_path / "t"), list(made))
+    model_json.write_tables(made, str(tmp_path / "t"))
+    back = model_json.read_tables(spark, str(tmp_path / "t"), list(made))
     assert back["vertices"].count() == 40 and back["boundaries"].count() == 5
 
 

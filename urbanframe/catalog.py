@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanframe.functions import scalars
-from urbanframe.operators import attributes, bounds, geometry, graph, lod, lookup, selection, validate
-from urbanframe.plans.derive import SCALE, TRANSLATE, city, oracle
-from urbanframe.sources import generate
+from urbanframe.operators import attributes, bounds, geometry, graph, index, lod, lookup, selection, validate
+from urbanframe.plans.canonical import canonical
+from urbanframe.plans.derive import SCALE, TRANSLATE, city, feature_files, oracle
+from urbanframe.plans.lineage import shared
+from urbanframe.sources import generate, model_json
+from urbanframe.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -396,3 +399,80 @@ def _(s, d):
 @query("gen_buildings", "SELECT package_id, 'building-' || lpad(package_id::VARCHAR, 6, '0') AS external_id FROM range(2000) t(package_id)")
 def _(s, d):
     return generate.buildings(s, 2000)["objects"].select("package_id", "external_id")
+
+
+def _features(s: SparkSession, d: str) -> tuple[str, DataFrame]:
+    path = shared(s, "features")
+    feature_files(s, d, path)
+    return path, model_json.read_feature_files(s, path)
+
+
+_IN_PACKAGES = "FROM cityobjects WHERE package_id IN (SELECT package_id FROM packages)"
+
+
+@query("src_feature_objects", f"SELECT concat('B', package_id) AS model_id, external_id, cityobject_type {_IN_PACKAGES}", "cityobjects", "packages")
+def _(s, d):
+    return model_json.objects(_features(s, d)[1]).select("model_id", "external_id", "cityobject_type")
+
+
+@query("src_feature_relationships", "SELECT concat('B', parent_record_id // 10) AS parent_id, concat('P', child_record_id) AS child_id FROM relationships JOIN packages ON package_id = parent_record_id // 10 WHERE parent_record_id >= 0", "relationships", "packages")
+def _(s, d):
+    return model_json.relationships(model_json.objects(_features(s, d)[1])).select("parent_id", "child_id")
+
+
+@query("src_feature_vertices", "SELECT concat('B', package_id) AS model_id, row_number() OVER (PARTITION BY package_id ORDER BY record_id, vertex_id) - 1 AS vertex_id, ix * cast(0.001 AS double) + cast(1000 AS double) AS x, iz * cast(0.001 AS double) AS z FROM vertices JOIN packages USING (package_id)", "vertices", "packages")
+def _(s, d):
+    return model_json.vertices(_features(s, d)[1]).select("model_id", F.col("vertex_id").cast("long").alias("vertex_id"), "x", "z")
+
+
+@query("src_probe", "SELECT 'CityJSONFeature' AS type, CAST(NULL AS VARCHAR) AS version, count(*) AS n FROM packages", "packages")
+def _(s, d):
+    return _features(s, d)[1].select(model_json.probe(F.col("raw")).alias("p")).groupBy("p.type", "p.version").agg(F.count("*").alias("n"))
+
+
+@query("snk_tables", "SELECT concat('B', package_id) AS model_id, external_id AS cityobject_id, cityobject_type AS object_type FROM cityobjects WHERE package_id IN (SELECT package_id FROM packages)", "cityobjects", "packages")
+def _(s, d):
+    path = shared(s, "tables")
+    made = canonical(_features(s, d)[1])
+    model_json.write_tables({n: made[n] for n in ("cityobjects", "cityobject_children")}, path)
+    return model_json.read_tables(s, path, ["cityobjects"])["cityobjects"].select("model_id", "cityobject_id", "object_type")
+
+
+@query("snk_feature_lines", "SELECT concat('B', package_id) AS model_id, count(*) AS n FROM cityobjects JOIN packages USING (package_id) GROUP BY package_id", "cityobjects", "packages")
+def _(s, d):
+    models = _features(s, d)[1]
+    path = shared(s, "lines")
+    model_json.write_features(model_json.objects(models), model_json.vertices(models), {"scale": SCALE, "translate": TRANSLATE}, path)
+    back = s.read.text(path).select(F.get_json_object("value", "$.id").alias("model_id"), F.size(F.json_object_keys(F.get_json_object("value", "$.CityObjects"))).cast("long").alias("n"))
+    return back
+
+
+@query("idx_bounds", "SELECT concat('B', package_id) AS model_id, min_x, max_x, min_y, max_y, min_z, max_z FROM package_bbox JOIN packages USING (package_id)", "vertices", "packages", "package_bbox")
+def _(s, d):
+    path = shared(s, "index")
+    index.build(s, _features(s, d)[1], path)
+    return index.load(s, path)["package_bbox"]
+
+
+@query("tab_geometries", "SELECT concat('B', package_id) AS model_id, row_number() OVER (PARTITION BY package_id ORDER BY external_id) - 1 AS geometry_id, 'MultiSurface' AS geometry_type, '2.2' AS lod FROM cityobjects WHERE NOT is_root AND package_id IN (SELECT package_id FROM packages)", "cityobjects", "packages")
+def _(s, d):
+    return canonical(_features(s, d)[1])["geometries"].select("model_id", "geometry_id", "geometry_type", "lod")
+
+
+@query("tab_boundaries", "SELECT concat('B', package_id) AS model_id, row_number() OVER (PARTITION BY package_id ORDER BY external_id) - 1 AS geometry_id, (row_number() OVER (PARTITION BY package_id ORDER BY record_id) - 1) * 4 AS first_vertex, 4 AS n FROM cityobjects WHERE NOT is_root AND package_id IN (SELECT package_id FROM packages)", "cityobjects", "packages")
+def _(s, d):
+    b = canonical(_features(s, d)[1])["geometry_boundaries"]
+    return b.select("model_id", "geometry_id", F.element_at("vertex_indices", 1).alias("first_vertex"), F.size("vertex_indices").alias("n"))
+
+
+@query("tab_children", "SELECT concat('B', package_id) AS model_id, 0::BIGINT AS parent_cityobject_ix, row_number() OVER (PARTITION BY package_id ORDER BY external_id) AS child_cityobject_ix FROM cityobjects WHERE NOT is_root AND package_id IN (SELECT package_id FROM packages)", "cityobjects", "packages")
+def _(s, d):
+    return canonical(_features(s, d)[1])["cityobject_children"].select("model_id", "parent_cityobject_ix", "child_cityobject_ix")
+
+
+@query("stm_ingest", "SELECT concat('B', package_id) AS id FROM packages", "packages")
+def _(s, d):
+    path, _models = _features(s, d)
+    out = shared(s, "ingested")
+    ingest.ingest(ingest.feature_lines(s, f"{path}/features"), out, shared(s, "again"), shared(s, "state")).awaitTermination()
+    return s.read.parquet(out).select("id")

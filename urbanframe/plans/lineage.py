@@ -8,13 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
+def shared(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="urbanframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/round-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
+    path = shared(spark, "round")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
