@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .text import chunks, prefix_sums, ranges, span_hashes, word_spans
+from .text import CHUNK, chunks, prefix_sums, ranges, span_hashes, word_spans
 from .util import batch, bounded_batches, written
 
 CACHE = 300_000
@@ -114,7 +114,7 @@ def _pieces(path: str, window: int, end_id: int):
         rank = np.zeros(window + 1, np.int64)
         for b in batches:
             keys = b.column("doc_id")
-            for lo, hi, data, offs in chunks(b.column("text")):
+            for lo, _, data, offs in chunks(b.column("text"), 2 * CHUNK):  # the longer, the fewer words are met anew
                 ids, counts = words.encode(data, offs)
                 raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
                 end = np.uint32(end_id).tobytes()
