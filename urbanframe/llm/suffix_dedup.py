@@ -77,7 +77,7 @@ def _pack(batches):
 
     def blob():
         table = pa.Table.from_batches(rows).combine_chunks()
-        with pa.ipc.new_stream(out := io.BytesIO(), table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        with pa.ipc.new_stream(out := io.BytesIO(), table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
             w.write_table(table)
         return pa.RecordBatch.from_arrays([pa.array([(TaskContext.get().partitionId() << 32) | seq], pa.int64()), pa.array([out.getvalue()], pa.binary())], ["batch", "blob"])
 
@@ -169,6 +169,14 @@ def front_coded(rows: list[tuple[bytes, bytes, int, int]]) -> bytes:
     return b"".join([np.uint32(n).tobytes(), np.array([r[3] for r in rows], np.uint64).tobytes(), np.array([r[2] for r in rows], np.uint32).tobytes(), lcp.tobytes(), lens.tobytes(), body])
 
 
+def _packed(run: bytes) -> bytes:
+    return np.uint32(len(run)).tobytes() + pa.compress(run, codec="zstd", asbytes=True)
+
+
+def _unpacked(payload: bytes) -> bytes:
+    return pa.decompress(payload[4:], decompressed_size=int.from_bytes(payload[:4], "little"), codec="zstd", asbytes=True)
+
+
 def decoded(run: bytes):
     """The rows of a run, each with the length of the prefix it shares with the row before."""
     n = int(np.frombuffer(run, np.uint32, 1)[0])
@@ -293,7 +301,7 @@ def _runs(buckets: int):
                     j = i
                     while j < len(rows) and rows[j][0] == rows[i][0]:
                         j += 1
-                    yield batch(_SENT, [rows[i][0]], [at], [front_coded([r[1:] for r in rows[i:j]])])
+                    yield batch(_SENT, [rows[i][0]], [at], [_packed(front_coded([r[1:] for r in rows[i:j]]))])
                     i = j
 
     return run
@@ -307,7 +315,7 @@ def _merge(batches):
     for b in batches:
         for _, at, payload in zip(*(c.to_pylist() for c in b.columns)):
             names.append(at)
-            runs.append(decoded(payload))
+            runs.append(decoded(_unpacked(payload)))
     out: dict[int, list] = defaultdict(list)
     group: list[list] = []
     place: dict[int, int] = {}
