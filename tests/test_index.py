@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.test_model import FEATURE, HEAD, lines
 from urbanframe import cli
 from urbanframe.operators import index, validate
-from urbanframe.plans.canonical import canonical
+from urbanframe.plans.canonical import STRIDE, canonical
 from urbanframe.plans.schema import TABLES, schema
 from urbanframe.sources import model_json
 
@@ -65,7 +65,7 @@ def test_canonical_tables(spark, tmp_path):
     solid = next(r for r in rows["geometry_boundaries"] if r["geometry_id"] == 2)
     assert (solid["vertex_indices"], solid["ring_offsets"], solid["surface_offsets"], solid["shell_offsets"]) == ([0, 1, 2, 2, 1, 0, 0, 2, 1], [0, 3, 6], [0, 2], [0])
     assert [(r["template_geometry_id"], r["reference_point_vertex_id"]) for r in rows["geometry_instances"]] == [(0, 2)]
-    assert [(r["surface_ordinal"], r["semantic_id"]) for r in rows["geometry_surface_semantics"]] == [(0, 2 * 65536 + 1), (1, None)]
+    assert [(r["surface_ordinal"], r["semantic_id"]) for r in rows["geometry_surface_semantics"]] == [(0, 2 * STRIDE + 1), (1, None)]
     assert [r["semantic_type"] for r in rows["semantics"]] == ["RoofSurface", "WallSurface"] and len(rows["semantic_children"]) == 1
     assert [(r["surface_ordinal"], r["material_id"], r["theme"]) for r in rows["geometry_surface_materials"]] == [(0, 0, "day")]
     assert (rows["materials"][0]["name"], rows["textures"][0]["image_uri"], rows["texture_vertices"][0]["v"], rows["extensions"][0]["extension_name"]) == ("red", "a.png", 0.5, "Noise")

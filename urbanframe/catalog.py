@@ -12,7 +12,7 @@ from urbanframe.operators import attributes, bounds, geometry, graph, index, lod
 from urbanframe.plans.canonical import canonical
 from urbanframe.plans.derive import SCALE, TRANSLATE, city, feature_files, oracle
 from urbanframe.plans.lineage import shared
-from urbanframe.sources import generate, model_json
+from urbanframe.sources import dataset, generate, model_json
 from urbanframe.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -239,14 +239,14 @@ def _(s, d):
 
 
 def _selections(s, d):
-    ids = city(s, d, "memberships").where("package_id < 200").select("record_id")
+    ids = city(s, d, "memberships").select("record_id")
     pick = lambda where, whole, g: ids.where(where).select("record_id", F.lit(whole).alias("whole"), F.array(*[F.lit(x).cast("long") for x in g]).cast("array<bigint>").alias("geometries"))
     a = pick("record_id % 3 = 0", True, []).unionByName(pick("record_id % 3 = 1", False, [0]))
     b = pick("record_id % 2 = 0", False, [0, 1])
     return a, b
 
 
-_SEL = ", m AS (SELECT record_id, record_id % 3 AS a, record_id % 2 AS b FROM memberships WHERE package_id < 200) "
+_SEL = ", m AS (SELECT record_id, record_id % 3 AS a, record_id % 2 AS b FROM memberships) "
 _shown = lambda df: df.select("record_id", "whole", F.array_join("geometries", ",").alias("geometries"))
 
 
@@ -260,6 +260,11 @@ def _(s, d):
     return _shown(selection.intersection(*_selections(s, d)))
 
 
+@query("set_complement", _SEL + "SELECT record_id, true AS whole, '' AS geometries FROM cityobjects WHERE record_id NOT IN (SELECT record_id FROM m WHERE a < 2)", "memberships", "cityobjects")
+def _(s, d):
+    return _shown(selection.complement(city(s, d, "cityobjects"), _selections(s, d)[0]))
+
+
 @query("scl_bbox_measures", "SELECT package_id, (min_x + max_x) / 2 AS centre_x, (min_y + max_y) / 2 AS centre_y, max_x - min_x AS width, max_y - min_y AS length, max_z - min_z AS height FROM package_bbox", "vertices", "package_bbox")
 def _(s, d):
     return _bbox(s, d).select("package_id", *[c.alias(n) for n, c in scalars.bbox_measures().items()])
@@ -299,6 +304,13 @@ def _(s, d):
     return graph.descendants(s, city(s, d, "relationships"), s.createDataFrame([(-1,), (-5,), (-9,)], "record_id long"))
 
 
+@query("grf_preorder", ", w AS (SELECT record_id AS root_id, record_id, [0::BIGINT] AS path FROM cityobjects WHERE cityobject_type = 'CityObjectGroup' UNION ALL SELECT root_id, child_record_id, list_append(list_append(path, child_ordinal), child_record_id) FROM w JOIN relationships ON parent_record_id = record_id) SELECT root_id, record_id, row_number() OVER (PARTITION BY root_id ORDER BY path) - 1 AS place FROM w", "cityobjects", "relationships")
+def _(s, d):
+    o, e = city(s, d, "cityobjects", "relationships")
+    found = graph.preorder(s, e, o.where("cityobject_type = 'CityObjectGroup'"))
+    return lookup.dense_ids(found, "root_id", "path", "place").select("root_id", "record_id", "place")
+
+
 @query("grf_connected", ", c AS (SELECT g.child_record_id AS b FROM relationships g WHERE g.parent_record_id = (SELECT parent_record_id FROM relationships WHERE child_record_id = 70)) SELECT b AS record_id FROM c UNION SELECT child_record_id FROM relationships JOIN c ON parent_record_id = b UNION SELECT parent_record_id FROM relationships WHERE child_record_id = 70", "relationships")
 def _(s, d):
     return graph.closure(s, city(s, d, "relationships"), s.createDataFrame([(70,)], "record_id long"), both=True).select("record_id")
@@ -363,6 +375,14 @@ def _(s, d):
 
 
 
+@query("agg_mean_coordinate", "SELECT geometry_id, 4::BIGINT AS n, avg(ix) AS ix, avg(iz) AS iz FROM geometries JOIN vertices USING (record_id) GROUP BY geometry_id", "geometries", "vertices")
+def _(s, d):
+    g, v = city(s, d, "geometries", "vertices")
+    b = g.select("geometry_id", "record_id", F.array(*[F.lit(i).cast("long") for i in range(4)]).alias("vertex_indices"))
+    whole = v.select("record_id", "vertex_id", *[F.col(f"i{a}").cast("double").alias(a) for a in "xyz"])
+    return bounds.mean_coordinates(geometry.gathered(b, whole, ["geometry_id"], "record_id"), "geometry_id").select("geometry_id", "n", F.col("x").alias("ix"), F.col("z").alias("iz"))
+
+
 @query("prj_rings", "SELECT package_id, f::INT AS surface_ordinal, f::INT AS ring_ordinal, 4 AS n FROM range(500) p(package_id), range(6) q(f)")
 def _(s, d):
     return geometry.rings(generate.buildings(s, 500)["boundaries"], ["package_id"]).select("package_id", "surface_ordinal", "ring_ordinal", F.size("ring").alias("n"))
@@ -382,6 +402,12 @@ def _(s, d):
     return validate.violations(o, e.unionByName(lost), broken)
 
 
+@query("val_increasing", "SELECT record_id, key, was AS found FROM (SELECT record_id, key, lag(key) OVER (ORDER BY record_id) AS was FROM (SELECT record_id, CASE WHEN record_id % 1000 = 10 THEN -99999999 ELSE record_id END AS key FROM cityobjects) k) l WHERE key <= was", "cityobjects")
+def _(s, d):
+    o = city(s, d, "cityobjects").select("record_id", F.when(F.col("record_id") % 1000 == 10, -99999999).otherwise(F.col("record_id")).cast("long").alias("key"))
+    return validate.strictly_increasing(s, o, "key", "record_id").select("record_id", "key", F.col("before").alias("found"))
+
+
 @query("val_missing_vertices", "SELECT geometry_id, record_id, 4::BIGINT AS vertex_id FROM geometries WHERE geometry_id % 100 = 11", "geometries")
 def _(s, d):
     g, v = city(s, d, "geometries", "vertices")
@@ -447,6 +473,27 @@ def _(s, d):
     return back
 
 
+@query("snk_stream", f"SELECT concat('B', package_id) AS model_id, external_id, cityobject_type {_IN_PACKAGES}", "cityobjects", "packages")
+def _(s, d):
+    models, path = _features(s, d)[1], shared(s, "stream")
+    model_json.write_stream(s, model_json.objects(models), model_json.vertices(models), {"scale": SCALE, "translate": TRANSLATE}, path, shards=4)
+    return model_json.objects(model_json.read_stream(s, path)).select("model_id", "external_id", "cityobject_type")
+
+
+@query("snk_dataset", "SELECT concat('B', package_id) AS model_id, row_number() OVER (PARTITION BY package_id ORDER BY record_id, vertex_id) - 1 AS vertex_id, ix * cast(0.001 AS double) + cast(1000 AS double) AS x FROM vertices JOIN packages USING (package_id)", "vertices", "packages")
+def _(s, d):
+    path = shared(s, "dataset")
+    dataset.write_dataset(s, canonical(_features(s, d)[1]), path)
+    return dataset.read_dataset(s, path)["vertices"].select("model_id", "vertex_id", "x")
+
+
+@query("val_canonical", "SELECT 'vertex' AS \"check\", concat('B', package_id) AS model_id, '0' AS key, '2' AS detail FROM packages WHERE package_id IN (SELECT package_id FROM parts) AND package_id % 100 = 0", "parts", "packages")
+def _(s, d):
+    made = canonical(_features(s, d)[1])
+    made["vertices"] = made["vertices"].where("NOT (vertex_id = 2 AND cast(substring(model_id, 2) AS bigint) % 100 = 0)")
+    return validate.canonical_violations(made)
+
+
 @query("idx_bounds", "SELECT concat('B', package_id) AS model_id, min_x, max_x, min_y, max_y, min_z, max_z FROM package_bbox JOIN packages USING (package_id)", "vertices", "packages", "package_bbox")
 def _(s, d):
     path = shared(s, "index")

@@ -44,3 +44,20 @@ def summary(objects: DataFrame, relationships: DataFrame, geometries: DataFrame)
     r = relationships.agg(F.count("*").alias("n_relationships"))
     g = geometries.agg(F.count("*").alias("n_geometries"), F.count("lod").alias("n_with_lod"), F.sum((F.col("geometry_type") == "Solid").cast("long")).alias("n_solids"))
     return o.crossJoin(r).crossJoin(g)  # one row each
+
+
+def instance_extents(tables: dict[str, DataFrame]) -> DataFrame:
+    """(model_id, geometry_id, bounds) of instances: the template's vertices under the matrix, moved to the reference point."""
+    corners = tables["template_geometry_boundaries"].select("model_id", "template_geometry_id", F.explode(F.array_distinct("vertex_indices")).alias("template_vertex_id"))
+    corners = corners.join(tables["template_vertices"], ["model_id", "template_vertex_id"])
+    at = tables["vertices"].select("model_id", F.col("vertex_id").alias("reference_point_vertex_id"), *[F.col(a).alias(f"at_{a}") for a in AXES])
+    placed = tables["geometry_instances"].join(at, ["model_id", "reference_point_vertex_id"]).join(corners, ["model_id", "template_geometry_id"])
+    m = F.col("transform_matrix")
+    moved = [m[4 * i] * F.col("x") + m[4 * i + 1] * F.col("y") + m[4 * i + 2] * F.col("z") + m[4 * i + 3] + F.col(f"at_{a}") for i, a in enumerate(AXES)]
+    placed = placed.select("model_id", "geometry_id", *[c.alias(f"w{a}") for c, a in zip(moved, AXES)])
+    return placed.groupBy("model_id", "geometry_id").agg(*[(F.min if c.startswith("min") else F.max)(f"w{c[-1]}").alias(c) for c in COLUMNS])
+
+
+def mean_coordinates(gathered: DataFrame, *keys: str) -> DataFrame:
+    """The mean of the coordinates in boundary order, repeats counted."""
+    return gathered.groupBy(*keys).agg(*[F.avg(a).alias(a) for a in AXES], F.count("*").alias("n"))

@@ -61,3 +61,24 @@ def prune(edges: DataFrame, kept: DataFrame) -> DataFrame:
     """Edges with both ends kept."""
     ids = kept.select("record_id").distinct()
     return edges.join(ids.withColumnRenamed("record_id", "parent_record_id"), "parent_record_id", "left_semi").join(ids.withColumnRenamed("record_id", "child_record_id"), "child_record_id", "left_semi")
+
+
+def preorder(spark: SparkSession, edges: DataFrame, seeds: DataFrame, limit: int = 10_000) -> DataFrame:
+    """(root_id, record_id, path): what each seed leads to in depth-first order, children as listed; order by path.
+
+    A node's first visit is by the smallest of its paths of (ordinal, child) steps, so paths are relaxed round by round
+    until none gets smaller.  A way round a cycle is longer than the path it starts from, so it never is smaller.
+    """
+    step = "array<struct<child_ordinal: bigint, child_record_id: bigint>>"
+    e = edges.select("parent_record_id", F.struct(F.col("child_ordinal").cast("long").alias("child_ordinal"), F.col("child_record_id").cast("long").alias("child_record_id")).alias("step"))
+    front = cut(spark, seeds.select(F.col("record_id").alias("root_id"), "record_id").distinct().withColumn("path", F.array().cast(step)))
+    best = front
+    for _ in range(limit):
+        reached = front.join(e, F.col("record_id") == F.col("parent_record_id")).select("root_id", F.col("step.child_record_id").alias("record_id"), F.concat("path", F.array("step")).alias("path"))
+        reached = reached.groupBy("root_id", "record_id").agg(F.min("path").alias("path"))
+        old = best.withColumnRenamed("path", "old")
+        front = cut(spark, reached.join(old, ["root_id", "record_id"], "left").where("old IS NULL OR path < old").drop("old"))
+        if front.isEmpty():
+            return best
+        best = cut(spark, best.unionByName(front).groupBy("root_id", "record_id").agg(F.min("path").alias("path")))
+    raise ValueError("the hierarchy is deeper than the limit")

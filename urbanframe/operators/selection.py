@@ -22,6 +22,11 @@ def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
     return out.where(F.col("whole") | (F.size("geometries") > 0))
 
 
+def complement(objects: DataFrame, a: DataFrame) -> DataFrame:
+    """All objects that are not selected, whole; of those selected in part nothing is taken."""
+    return objects.select("record_id").distinct().join(a.select("record_id"), "record_id", "left_anti").select("record_id", F.lit(True).alias("whole"), F.array().cast("array<bigint>").alias("geometries"))
+
+
 def with_relatives(spark: SparkSession, selected: DataFrame, edges: DataFrame) -> DataFrame:
     """All that parents and children lead to, added whole; what was partial stays partial."""
     more = closure(spark, edges, selected, both=True).where("level > 0").select("record_id", F.lit(True).alias("whole"), F.array().cast("array<bigint>").alias("geometries"))

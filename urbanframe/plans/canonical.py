@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urbanframe.operators.geometry import flattened
+from urbanframe.operators.geometry import flattened, rings
 from urbanframe.plans.schema import TABLES, schema
 from urbanframe.sources import model_json
 
@@ -20,6 +20,10 @@ _SEMANTICS = "struct<surfaces: array<struct<type: string, parent: bigint, childr
 _GEOMETRY = "array<struct<type: string, lod: string, boundaries: string, semantics: string, material: string, texture: string, template: bigint, transformationMatrix: array<double>>>"
 
 
+#: Semantic ids are the geometry's id times this plus the place in its list; those of templates are below zero.
+STRIDE = 1 << 32
+
+
 def _shaped(df: DataFrame, name: str) -> DataFrame:
     """The canonical columns in order and type; those that are not there are null."""
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(name)])
@@ -57,6 +61,46 @@ def boundaries(geometries: DataFrame, key: str) -> DataFrame:
     return out
 
 
+_PRIMITIVE = "CASE geometry_type WHEN 'MultiPoint' THEN 'point' WHEN 'MultiLineString' THEN 'linestring' ELSE 'surface' END"
+
+
+def _numbers(text: str) -> Column:
+    """The numbers of nested lists in order, null where it says so."""
+    return F.transform(F.regexp_extract_all(text, F.lit("null|[0-9]+"), F.lit(0)), lambda v: F.when(v != "null", v.cast("long")))
+
+
+def _semantics(geometries: DataFrame, key: str, name) -> tuple[DataFrame, DataFrame]:
+    """Semantic rows, and the semantic of each primitive, of geometries; ``name`` makes the id from the place in the list."""
+    held = geometries.withColumn("s", F.from_json("semantics", _SEMANTICS)).where("s IS NOT NULL")
+    each = held.select("model_id", key, F.posexplode("s.surfaces").alias("k", "x"))
+    rows = each.select("model_id", key, name(F.col("k")).alias("semantic_id"), F.col("x.type").alias("semantic_type"), name(F.col("x.parent")).alias("parent_semantic_id"), F.transform("x.children", name).alias("child_ids"))
+    mapped = held.select("model_id", key, "geometry_type", F.posexplode(_numbers("s.values")).alias("ordinal", "v")).withColumn("semantic_id", name(F.col("v")))
+    return rows, mapped
+
+
+def _materials(geometries: DataFrame, shapes: DataFrame, key: str) -> DataFrame:
+    """The material of each surface by theme: one value stands for all surfaces; surfaces without any have no row."""
+    themes = geometries.select("model_id", key, F.explode(F.from_json("material", "map<string, struct<value: bigint, values: string>>")).alias("theme", "x"))
+    many = themes.where("x.values IS NOT NULL").select("model_id", key, "theme", F.posexplode(_numbers("x.values")).alias("surface_ordinal", "material_id")).where("material_id IS NOT NULL")
+    one = themes.where("x.values IS NULL AND x.value IS NOT NULL").join(shapes.where("size(surface_offsets) > 0").select("model_id", key, F.size("surface_offsets").alias("n")), ["model_id", key])
+    one = one.select("model_id", key, "theme", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("surface_ordinal"), F.col("x.value").alias("material_id"))
+    return many.unionByName(one)
+
+
+def _ring_textures(geometries: DataFrame, key: str) -> DataFrame:
+    """Texture and uv indices of each ring by theme, the ring numbered within its surface; rings without texture have no row."""
+    held = geometries.select("model_id", key, "geometry_type", F.explode(F.from_json("texture", "map<string, struct<values: string>>")).alias("theme", "x")).withColumn("boundaries", F.col("x.values"))
+    out = None
+    for kind, depth in _SHAPES.items():
+        if depth < 3:  # points and lines have no rings
+            continue
+        part = held.where(F.col("geometry_type") == kind).withColumn("b", F.from_json("boundaries", "array<" * depth + "bigint" + ">" * depth))
+        part = part.select("model_id", key, "theme", *[c.alias(n) for n, c in flattened(F.col("b"), kind).items() if n in ("vertex_indices", "ring_offsets", "surface_offsets")])
+        out = part if out is None else out.unionByName(part)
+    r = rings(out, ["model_id", key, "theme"]).where("size(ring) > 0 AND ring[0] IS NOT NULL")
+    return r.select("model_id", key, "surface_ordinal", F.col("ring_in_surface").alias("ring_ordinal"), "theme", F.col("ring")[0].alias("texture_id"), F.slice("ring", F.lit(2), F.size("ring") - 1).alias("uv_indices"))
+
+
 def canonical(models: DataFrame) -> dict[str, DataFrame]:
     """The canonical tables of (model_id, root, raw) rows, lazily; those the models have nothing for are empty."""
     o, g = objects(models), _geometries(models)
@@ -64,29 +108,31 @@ def canonical(models: DataFrame) -> dict[str, DataFrame]:
     of = lambda key: F.get_json_object("m", f"$.{key}")
     meta = meta.withColumns({"identifier": of("identifier"), "title": of("title"), "reference_system": of("referenceSystem"), "reference_date": of("referenceDate"), "point_of_contact": of("pointOfContact"), "geographical_extent": F.from_json(of("geographicalExtent"), "array<double>")})
     children = o.select("model_id", "ids", F.col("cityobject_ix").alias("parent_cityobject_ix"), F.posexplode("children").alias("child_ordinal", "child"))
-    surfaces = g.withColumn("s", F.from_json("semantics", _SEMANTICS)).where("s IS NOT NULL")
-    semantics = surfaces.select("model_id", "geometry_id", F.posexplode("s.surfaces").alias("k", "x")).select("model_id", "geometry_id", (F.col("geometry_id") * 65536 + F.col("k")).alias("semantic_id"), F.col("x.type").alias("semantic_type"), (F.col("geometry_id") * 65536 + F.col("x.parent")).alias("parent_semantic_id"), F.col("x.children").alias("children"))
-    flat = F.transform(F.regexp_extract_all("s.values", F.lit("null|[0-9]+"), F.lit(0)), lambda v: F.when(v != "null", v.cast("long")))
-    mapped = surfaces.select("model_id", "geometry_id", "geometry_type", F.posexplode(flat).alias("ordinal", "v")).withColumn("semantic_id", F.col("geometry_id") * 65536 + F.col("v"))
+    tg = models.select("model_id", F.posexplode(F.from_json(_member("geometry-templates.templates"), _GEOMETRY)).alias("template_geometry_id", "x")).select("model_id", "template_geometry_id", F.col("x.type").alias("geometry_type"), "x.lod", "x.boundaries", "x.semantics", "x.material", "x.texture")
+    semantics, mapped = _semantics(g, "geometry_id", lambda k: F.col("geometry_id") * STRIDE + k)
+    t_semantics, t_mapped = _semantics(tg, "template_geometry_id", lambda k: -1 - (F.col("template_geometry_id") * STRIDE + k))
+    all_semantics = semantics.unionByName(t_semantics.withColumn("geometry_id", F.lit(None).cast("long")), allowMissingColumns=True)
     materials = models.select("model_id", F.posexplode(F.from_json(_member("appearance.materials"), _MATERIAL)).alias("material_id", "x")).select("model_id", "material_id", "x.name", F.col("x.ambientIntensity").alias("ambient_intensity"), F.col("x.diffuseColor").alias("diffuse_color"), F.col("x.emissiveColor").alias("emissive_color"), F.col("x.specularColor").alias("specular_color"), "x.shininess", "x.transparency", F.col("x.isSmooth").alias("is_smooth"))
     textures = models.select("model_id", F.posexplode(F.from_json(_member("appearance.textures"), _TEXTURE)).alias("texture_id", "x")).select("model_id", "texture_id", F.col("x.image").alias("image_uri"), F.col("x.type").alias("image_type"), F.col("x.wrapMode").alias("wrap_mode"), F.col("x.textureType").alias("texture_type"), F.col("x.borderColor").alias("border_color"))
     uv = models.select("model_id", F.posexplode(F.from_json(_member("appearance.vertices-texture"), "array<array<double>>")).alias("uv_id", "x")).select("model_id", "uv_id", F.col("x")[0].alias("u"), F.col("x")[1].alias("v"))
     tv = models.select("model_id", F.posexplode(F.from_json(_member("geometry-templates.vertices-templates"), "array<array<double>>")).alias("template_vertex_id", "x")).select("model_id", "template_vertex_id", *[F.col("x")[i].alias(a) for i, a in enumerate("xyz")])
-    tg = models.select("model_id", F.posexplode(F.from_json(_member("geometry-templates.templates"), _GEOMETRY)).alias("template_geometry_id", "x")).select("model_id", "template_geometry_id", F.col("x.type").alias("geometry_type"), "x.lod", "x.boundaries")
     extensions = models.select("model_id", F.explode(F.from_json(_member("extensions"), "map<string, struct<url: string, version: string>>")).alias("extension_name", "x")).select("model_id", "extension_name", F.col("x.url").alias("uri"), "x.version")
-    themes = g.select("model_id", "geometry_id", F.explode(F.from_json("material", "map<string, struct<value: bigint, values: string>>")).alias("theme", "x"))
-    many = themes.where("x.values IS NOT NULL").select("model_id", "geometry_id", "theme", F.posexplode(F.regexp_extract_all("x.values", F.lit("null|[0-9]+"), F.lit(0))).alias("surface_ordinal", "v")).where("v <> 'null'").select("model_id", "geometry_id", "theme", "surface_ordinal", F.col("v").cast("long").alias("material_id"))
+    shapes, t_shapes = boundaries(g, "geometry_id"), boundaries(tg, "template_geometry_id")
     instances = g.where("geometry_type = 'GeometryInstance'").select("model_id", "geometry_id", "cityobject_ix", "geometry_ordinal", "lod", F.col("template").alias("template_geometry_id"), F.from_json("boundaries", "array<bigint>")[0].alias("reference_point_vertex_id"), F.col("transformationMatrix").alias("transform_matrix"))
     found = {
         "metadata": meta, "extensions": extensions, "vertices": model_json.vertices(models), "materials": materials, "textures": textures, "texture_vertices": uv, "template_vertices": tv, "template_geometries": tg,
         "cityobjects": o.withColumnsRenamed({"external_id": "cityobject_id", "cityobject_type": "object_type"}),
         "cityobject_children": children.withColumn("child_cityobject_ix", F.array_position("ids", F.col("child")) - 1).where("child_cityobject_ix >= 0"),
-        "geometries": g.where("geometry_type <> 'GeometryInstance'"), "geometry_boundaries": boundaries(g, "geometry_id"), "geometry_instances": instances, "template_geometry_boundaries": boundaries(tg, "template_geometry_id"),
-        "semantics": semantics, "semantic_children": semantics.select("model_id", "geometry_id", F.col("semantic_id").alias("parent_semantic_id"), F.posexplode("children").alias("child_ordinal", "c")).withColumn("child_semantic_id", F.col("geometry_id") * 65536 + F.col("c")),
+        "geometries": g.where("geometry_type <> 'GeometryInstance'"), "geometry_boundaries": shapes, "geometry_instances": instances, "template_geometry_boundaries": t_shapes,
+        "semantics": all_semantics,
+        "semantic_children": all_semantics.select("model_id", F.col("semantic_id").alias("parent_semantic_id"), F.posexplode("child_ids").alias("child_ordinal", "child_semantic_id")),
         "geometry_surface_semantics": mapped.where("geometry_type NOT IN ('MultiPoint', 'MultiLineString')").withColumnRenamed("ordinal", "surface_ordinal"),
         "geometry_point_semantics": mapped.where("geometry_type = 'MultiPoint'").withColumnRenamed("ordinal", "point_ordinal"),
         "geometry_linestring_semantics": mapped.where("geometry_type = 'MultiLineString'").withColumnRenamed("ordinal", "linestring_ordinal"),
-        "geometry_surface_materials": many,
+        "template_geometry_semantics": t_mapped.withColumn("primitive_type", F.expr(_PRIMITIVE)).withColumnRenamed("ordinal", "primitive_ordinal"),
+        "geometry_surface_materials": _materials(g, shapes, "geometry_id"),
+        "template_geometry_materials": _materials(tg, t_shapes, "template_geometry_id").withColumnRenamed("surface_ordinal", "primitive_ordinal").withColumn("primitive_type", F.lit("surface")),
+        "geometry_ring_textures": _ring_textures(g, "geometry_id"), "template_geometry_ring_textures": _ring_textures(tg, "template_geometry_id"),
     }
     empty = models.select("model_id").where("false")
     return {name: _shaped(found.get(name, empty), name) for name in TABLES}

@@ -6,6 +6,8 @@ de-quantised with the root's transform.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,8 @@ def probe(text: Column) -> Column:
     return F.struct(F.get_json_object(text, "$.type").alias("type"), F.get_json_object(text, "$.version").alias("version"))
 
 
-def _root(df: DataFrame, text: str = "value") -> DataFrame:
+def parsed_root(df: DataFrame, text: str = "value") -> DataFrame:
+    """Adds root, the parsed members, and raw, the text."""
     return df.withColumn("root", F.from_json(text, _ROOT)).withColumn("raw", F.col(text))
 
 
@@ -27,7 +30,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(model_id, root, raw): a row a file; anything but a 2.x document is an error.  Lines files are refused."""
     if path.endswith(".jsonl"):
         raise ValueError("a lines file is no document")
-    df = _root(spark.read.text(path, wholetext=True)).withColumn("model_id", F.coalesce(F.get_json_object("value", "$.metadata.identifier"), F.input_file_name()))
+    df = parsed_root(spark.read.text(path, wholetext=True)).withColumn("model_id", F.coalesce(F.get_json_object("value", "$.metadata.identifier"), F.input_file_name()))
     good = (F.col("root.type") == "CityJSON") & F.coalesce(F.col("root.version"), F.lit("")).startswith("2.")
     return df.select("model_id", F.when(good, F.col("root")).otherwise(F.raise_error(F.concat(F.lit("not a 2.x document: "), "model_id"))).alias("root"), "raw")
 
@@ -38,7 +41,7 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
     Blank lines are skipped.  An object id in two features of a file is an error, found by one aggregation.
     """
     lines = spark.read.text(path).withColumn("file", F.input_file_name()).where(F.trim("value") != "")
-    lines = _root(lines)
+    lines = parsed_root(lines)
     heads = lines.where("root.type = 'CityJSON'").groupBy("file").agg(F.count("*").alias("n"), F.first("root.transform").alias("t"), F.first("root.metadata").alias("m"))
     heads = heads.select("file", F.when(F.col("n") == 1, F.col("t")).otherwise(F.raise_error(F.concat(F.lit("two headers in "), "file"))).alias("t"), "m")
     features = lines.where("root.type = 'CityJSONFeature'").join(heads, "file")
@@ -51,7 +54,7 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
 def read_feature_files(spark: SparkSession, directory: str) -> DataFrame:
     """Features below ``directory``/features under the header in its metadata.json."""
     head = spark.read.text(f"{directory}/metadata.json", wholetext=True).select(F.from_json("value", _ROOT).alias("h"))
-    lines = _root(spark.read.option("recursiveFileLookup", "true").text(f"{directory}/features").where(F.trim("value") != ""))
+    lines = parsed_root(spark.read.option("recursiveFileLookup", "true").text(f"{directory}/features").where(F.trim("value") != ""))
     both = lines.crossJoin(F.broadcast(head))  # one header row
     root = F.col("root").withField("transform", F.col("h.transform")).withField("metadata", F.coalesce("root.metadata", "h.metadata"))
     return both.select(F.col("root.id").alias("model_id"), root.alias("root"), "raw")
@@ -91,17 +94,66 @@ def auto_transform(verts: DataFrame, scale: float = 0.001) -> dict:
     return {"scale": [scale] * 3, "translate": [low[a] or 0.0 for a in "xyz"]}
 
 
-def write_features(objs: DataFrame, verts: DataFrame, transform: dict, path: str) -> None:
-    """JSON lines, a feature a model, vertices as integers of the transform (halves away from zero); no header line."""
+def _quoted(text: Column) -> Column:
+    """The text as a JSON string."""
+    return F.regexp_extract(F.to_json(F.array(text)), "(?s)^\\[(.*)\\]$", 1)
+
+
+def _bodies(objs: DataFrame, verts: DataFrame, transform: dict) -> DataFrame:
+    """(model_id, members, vertices): the objects and the integer vertices of each model as JSON text; halves round away from zero."""
     s, t = transform["scale"], transform["translate"]
     q = verts.withColumn("v", F.array(*[F.round((F.col(a) - t[i]) / s[i]).cast("long") for i, a in enumerate("xyz")]))
     pools = q.groupBy("model_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("vertex_id", "v"))), lambda x: x.v).alias("vertices"))
     body = F.struct(F.col("cityobject_type").alias("type"), "parents", "children", F.parse_json("attributes").alias("attributes"), F.parse_json("geometry").alias("geometry"))
-    o = objs.groupBy("model_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("external_id", F.to_json(body).alias("o"))))).alias("o"))
-    members = F.array_join(F.transform(F.map_entries("o"), lambda e: F.concat(F.to_json(F.array(e.key)).substr(F.lit(2), F.length(F.to_json(F.array(e.key))) - 2), F.lit(":"), e.value)), ",")
-    quoted = F.regexp_extract(F.to_json(F.array("model_id")), "^\\[(.*)\\]$", 1)
-    line = F.concat(F.lit('{"type":"CityJSONFeature","id":'), quoted, F.lit(',"CityObjects":{'), members, F.lit('},"vertices":'), F.coalesce(F.to_json("vertices"), F.lit("[]")), F.lit("}"))
-    o.join(pools, "model_id", "left").select(line.alias("value")).write.text(path)
+    o = objs.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("external_id", F.to_json(body).alias("o")))).alias("o"))
+    members = F.array_join(F.transform("o", lambda e: F.concat(_quoted(e.external_id), F.lit(":"), e.o)), ",")
+    return o.join(pools, "model_id", "left").select("model_id", members.alias("members"), F.coalesce(F.to_json("vertices"), F.lit("[]")).alias("vertices"))
+
+
+def _features(bodies: DataFrame) -> DataFrame:
+    line = F.concat(F.lit('{"type":"CityJSONFeature","id":'), _quoted(F.col("model_id")), F.lit(',"CityObjects":{'), F.col("members"), F.lit('},"vertices":'), F.col("vertices"), F.lit("}"))
+    return bodies.select("model_id", line.alias("value"))
+
+
+def write_features(objs: DataFrame, verts: DataFrame, transform: dict, path: str) -> None:
+    """JSON lines, a feature a model, vertices as integers of the transform; no header line."""
+    _features(_bodies(objs, verts, transform)).select("value").write.text(path)
+
+
+def write_documents(objs: DataFrame, verts: DataFrame, transform: dict, path: str, metadata: DataFrame | None = None) -> None:
+    """A whole document a model, each a file in a folder of its own below ``path``.
+
+    ``metadata`` (model_id, metadata as JSON text) is optional; a model without any gets its id as identifier.
+    """
+    b = _bodies(objs, verts, transform)
+    own = F.concat(F.lit('{"identifier":'), _quoted(F.col("model_id")), F.lit("}"))
+    b = b.withColumn("metadata", own) if metadata is None else b.join(metadata.select("model_id", "metadata"), "model_id", "left").withColumn("metadata", F.coalesce("metadata", own))
+    head = f'{{"type":"CityJSON","version":"2.0","transform":{json.dumps(transform)},"metadata":'
+    line = F.concat(F.lit(head), F.col("metadata"), F.lit(',"CityObjects":{'), F.col("members"), F.lit('},"vertices":'), F.col("vertices"), F.lit("}"))
+    b.select(F.col("model_id").alias("model"), line.alias("value")).repartition("model").write.partitionBy("model").text(path)
+
+
+def write_stream(spark: SparkSession, objs: DataFrame, verts: DataFrame, transform: dict, path: str, metadata: DataFrame | None = None, header: dict | None = None, shards: int = 1) -> dict:
+    """Streams of features, one a shard, each under the same header line; gives the header.
+
+    The header is ``header``, or comes from ``metadata`` (model_id, metadata as JSON text), which must agree in all models
+    but for the extent.  An object id in two models is an error.  All is checked before anything is written.
+    """
+    twice = objs.select("model_id", "external_id").groupBy("external_id").agg(F.count("*").alias("n")).where("n > 1").first()
+    if twice:
+        raise ValueError(f"object {twice['external_id']} is in two features")
+    shown = {}
+    if header is None and metadata is not None:
+        parts = F.map_filter(F.from_json("metadata", "map<string, string>"), lambda k, v: k != "geographicalExtent")
+        roots = metadata.select(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(parts)))).alias("m"), F.col("metadata").alias("text")).groupBy("m").agg(F.min("text").alias("text")).limit(2).collect()
+        if len(roots) > 1:
+            raise ValueError("the features' metadata differ")
+        shown = {k: v for k, v in json.loads(roots[0]["text"] or "{}").items() if k != "geographicalExtent"} if roots else {}
+    head = {"type": "CityJSON", "version": "2.0", "transform": transform} | (header or {"metadata": shown}) | {"CityObjects": {}, "vertices": []}
+    lines = _features(_bodies(objs, verts, transform)).select(F.pmod(F.xxhash64("model_id"), F.lit(shards)).alias("shard"), F.lit(1).alias("kind"), "model_id", "value")
+    heads = spark.range(shards).select(F.col("id").alias("shard"), F.lit(0).alias("kind"), F.lit("").alias("model_id"), F.lit(json.dumps(head)).alias("value"))
+    heads.unionByName(lines).repartition("shard").sortWithinPartitions("shard", "kind", "model_id").select("shard", "value").write.partitionBy("shard").text(path)
+    return head
 
 
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
