@@ -54,6 +54,17 @@ def test_builder(spark):
     assert len(b.vertices) == 4 and "geometry" not in b.objects["m-b"]
 
 
+def test_builder_semantics_by_primitive(spark):
+    b = ModelBuilder("h")
+    b.add_object("h", "Building")
+    hole = [(x / 2, y / 2, z) for x, y, z in SQUARE]
+    b.add_geometry("h", "MultiSurface", [[SQUARE, hole], [SQUARE]], semantics=["RoofSurface", "WallSurface"])
+    b.add_geometry("h", "MultiLineString", [SQUARE, SQUARE[:2]], semantics=["Door", None])
+    b.add_geometry("h", "Solid", [[[SQUARE, hole], [SQUARE]]], semantics=[None, "Door"])
+    assert [g["semantics"]["values"] for g in b.objects["h"]["geometry"]] == [[0, 1], [0, None], [[None, 0]]]
+    assert validate.canonical_violations(canonical(b.models(spark))).collect() == []
+
+
 def test_documents_and_streams(spark, tmp_path):
     models = built("one").models(spark).unionByName(built("two", 0.5).models(spark))
     objs, verts, t = model_json.objects(models), model_json.vertices(models), {"scale": [0.001] * 3, "translate": [0.0, 0.0, 0.0]}
