@@ -35,13 +35,13 @@ def textured(theme_values, material):
 
 def read(spark, tmp_path, doc):
     (tmp_path / "d.json").write_text(json.dumps(doc))
-    return canonical(model_json.read_documents(spark, str(tmp_path / "d.json")))
+    return canonical(model_json.read_documents(spark, str(tmp_path / "d.json")), once=True)
 
 
 def test_builder(spark):
     b = built()
     assert len(b.vertices) == 4  # equal points of one call are one vertex
-    made = canonical(b.models(spark))
+    made = canonical(b.models(spark), once=True)
     assert validate.canonical_violations(made).collect() == []
     assert [(r["surface_ordinal"], r["semantic_id"]) for r in made["geometry_surface_semantics"].orderBy("surface_ordinal").collect()] == [(0, 0), (1, None)]
     for bad in (
@@ -62,7 +62,7 @@ def test_builder_semantics_by_primitive(spark):
     b.add_geometry("h", "MultiLineString", [SQUARE, SQUARE[:2]], semantics=["Door", None])
     b.add_geometry("h", "Solid", [[[SQUARE, hole], [SQUARE]]], semantics=[None, "Door"])
     assert [g["semantics"]["values"] for g in b.objects["h"]["geometry"]] == [[0, 1], [0, None], [[None, 0]]]
-    assert validate.canonical_violations(canonical(b.models(spark))).collect() == []
+    assert validate.canonical_violations(canonical(b.models(spark), once=True)).collect() == []
 
 
 def test_documents_and_streams(spark, tmp_path):

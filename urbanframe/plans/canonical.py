@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanframe.operators.geometry import flattened, rings
+from urbanframe.plans.lineage import cut
 from urbanframe.plans.schema import TABLES, schema
 from urbanframe.sources import model_json
 
@@ -33,9 +34,8 @@ def _member(path: str) -> Column:
     return F.get_json_object("raw", "$." + path)
 
 
-def _geometries(models: DataFrame) -> DataFrame:
-    """All geometries with dense ids in order of object id and ordinal."""
-    o = objects(models)
+def _geometries(o: DataFrame) -> DataFrame:
+    """All geometries of ``objects`` with dense ids in order of object id and ordinal."""
     g = o.withColumn("gs", F.from_json("geometry", _GEOMETRY)).where(F.size("gs") > 0)
     firsts = g.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("cityobject_ix", F.size("gs").alias("n")))).alias("all"))
     start = F.aggregate(F.filter("all", lambda a: a.cityobject_ix < F.col("cityobject_ix")), F.lit(0), lambda s, a: s + a.n)
@@ -101,9 +101,16 @@ def _ring_textures(geometries: DataFrame, key: str) -> DataFrame:
     return r.select("model_id", key, "surface_ordinal", F.col("ring_in_surface").alias("ring_ordinal"), "theme", F.col("ring")[0].alias("texture_id"), F.slice("ring", F.lit(2), F.size("ring") - 1).alias("uv_indices"))
 
 
-def canonical(models: DataFrame) -> dict[str, DataFrame]:
-    """The canonical tables of (model_id, root, raw) rows, lazily; those the models have nothing for are empty."""
-    o, g = objects(models), _geometries(models)
+def canonical(models: DataFrame, once: bool = False) -> dict[str, DataFrame]:
+    """The canonical tables of (model_id, root, raw) rows; those the models have nothing for are empty.
+
+    They are lazy, and each reads and parses the models for itself.  With ``once``, for a caller that wants many of them,
+    the parsed models, objects and geometries are first written to the shared folder and the tables read from there.
+    """
+    held = (lambda df: cut(models.sparkSession, df)) if once else (lambda df: df)
+    models = held(models)
+    o = held(objects(models))
+    g = held(_geometries(o))
     meta = models.select("model_id", F.col("root.type").alias("kind"), F.col("root.version").alias("version"), F.col("root.id").alias("feature_root_id"), F.coalesce(_member("metadata"), "root.metadata").alias("m"), _member("appearance.default-theme-material").alias("default_material_theme"), _member("appearance.default-theme-texture").alias("default_texture_theme"))
     of = lambda key: F.get_json_object("m", f"$.{key}")
     meta = meta.withColumns({"identifier": of("identifier"), "title": of("title"), "reference_system": of("referenceSystem"), "reference_date": of("referenceDate"), "point_of_contact": of("pointOfContact"), "geographical_extent": F.from_json(of("geographicalExtent"), "array<double>")})
