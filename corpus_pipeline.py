@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from urbanframe.llm import decontaminate, ngram_join, packing, quality_bt, suffix_dedup
 from urbanframe.llm.queries import tokenizer_path
-from urbanframe.llm.util import shared_dir
+from urbanframe.llm.util import shared_dir, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: No SQL: the classifier is learned and packing has no SQL form; tests hold the stages against brute force.
@@ -26,10 +26,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component; rows that share that id, and rows without an id, stay."""
-    found = ngram_join.jaccard_components(spark, docs)
-    copies = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(COLUMNS)
+    """One row of each component: that of the smallest id, null last; of rows that share it, the first as written.
+
+    Rows are compared under a key of their own, so that repeated ids and rows without one are texts like others.
+    """
+    rows = written(spark, docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS), "rows")
+    found = ngram_join.jaccard_components(spark, rows.select(F.col("row").alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row")
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select("first.row")
+    copies = found.select("row").join(first, "row", "left_anti")
+    return rows.join(copies, "row", "left_anti").select(COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

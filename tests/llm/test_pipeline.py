@@ -49,6 +49,18 @@ def test_stages(spark, folder):
     assert sorted(three, key=str) == sorted([*four, next(r for r in three if r[0] == 80)], key=str)
 
 
+def test_one_row_of_each_component_outlives_stages_two_and_three(spark, folder):
+    twice, nulls, other, low = prose(60, 700), prose(60, 701), prose(60, 702), prose(60, 703)
+    assert min(len(t) for t in (twice, nulls, other, low)) > 200
+    rows = [(5, twice), (5, twice), (5, twice), (None, nulls), (6, nulls), (None, prose(60, 704)), (None, prose(60, 704)), (7, low), (8, low), (8, other), (9, None), (9, None)]
+    docs = spark.createDataFrame([(i, t, None, "s", None if t is None else len(t)) for i, t in rows], KIND).repartition(3)
+    two = corpus_pipeline.near_duplicates(spark, docs, folder)
+    three = corpus_pipeline.repeats(spark, two, folder)
+    want = sorted([(5, twice), (6, nulls), (None, prose(60, 704)), (7, low), (8, other), (9, None), (9, None)], key=str)
+    assert sorted([(r["doc_id"], r["text"]) for r in two.collect()], key=str) == want
+    assert sorted([(r["doc_id"], r["text"] or None) for r in three.collect()], key=str) == want
+
+
 def test_run(spark, folder):
     got = corpus_pipeline.run(spark, folder).toPandas()
     assert 80 not in set(got.doc_id) and 81 not in set(got.doc_id) and 61 not in set(got.doc_id)
