@@ -353,6 +353,15 @@ def test_toxicity(spark):
     assert (none.predicted == 0).all()
 
 
+def test_toxicity_learns_from_all_features_of_a_long_text():
+    import pyarrow as pa
+
+    long = " ".join("".join(chr(97 + int(c)) for c in f"{i:05d}") for i in range(4000))
+    (got,) = toxicity._learn_rows([pa.record_batch({"text": [long, "ab"], "toxic": pa.array([1, 0], pa.int32())})])
+    want = {int(k) for k in toxicity.features(np.frombuffer(long.encode(), np.uint8), np.array([0, len(long)]))[0]}
+    assert len(want) > 2000 and got.column("features").to_pylist()[0] == sorted(want)
+
+
 def test_label_model_separates_and_ties_correlated_voters():
     r = np.random.default_rng(0)
     y = r.random(4000) < 0.2

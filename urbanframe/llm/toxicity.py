@@ -10,8 +10,7 @@
 3. Classifier.  L1-regularised logistic regression on hashed words and word beginnings, trained on the posteriors.
 
 Words are runs of ASCII letters and bytes from 0x80 on, lower-cased (A-Z).  At most ``SAMPLE`` labelled rows are used, those
-of the smallest hashes of doc_id, with at most ``PER_TEXT`` distinct features of a text (the smallest hashes) in learning;
-scoring reads whole texts and all of their features.
+of the smallest hashes of doc_id; learning and scoring read whole texts and all of their features.
 
 Edge cases: a null text is an empty text; an empty text gets the intercept's score; rows with a null doc_id or null label
 are not learned from, and held_out is false for a null doc_id; repeated rows count as often; without labels
@@ -29,7 +28,7 @@ from .quality_bt import sample
 from .text import LOWER, chunks, prefix_sums, span_hashes, word_spans
 from .util import batch, bounded_batches, remainder
 
-SAMPLE, PER_TEXT, VOTERS, DIMS = 20_000, 2_000, 80, 1 << 22
+SAMPLE, VOTERS, DIMS = 20_000, 80, 1 << 22
 SEPARATOR = np.ones(256, bool)
 SEPARATOR[128:] = False
 SEPARATOR[[*range(65, 91), *range(97, 123)]] = False
@@ -58,7 +57,7 @@ def _learn_rows(batches):
             key, doc = features(data, offs)
             both = np.unique(doc * DIMS + key)
             cut = np.searchsorted(both, np.arange(hi - lo + 1) * DIMS)
-            yield batch(_FEATURE, b.column("toxic").slice(lo, hi - lo), [(both[s : min(e, s + PER_TEXT)] % DIMS).astype(np.int32) for s, e in zip(cut[:-1], cut[1:])])
+            yield batch(_FEATURE, b.column("toxic").slice(lo, hi - lo), [(both[s:e] % DIMS).astype(np.int32) for s, e in zip(cut[:-1], cut[1:])])
 
 
 def choose_voters(rows: np.ndarray, cols: np.ndarray, y: np.ndarray) -> np.ndarray:
