@@ -353,6 +353,24 @@ def test_toxicity(spark):
     assert (none.predicted == 0).all()
 
 
+def test_every_toxic_word_of_a_large_lexicon_votes():
+    x, y = [], []
+    for i in range(3000):
+        r = random.Random(i)
+        x.append(np.array(sorted({*r.sample(range(1000, 3000), 30), *([i // 10] if i % 10 == 0 else []), *([10 + i % 200] if i % 10 == 5 else [])}), np.int32))
+        y.append(int(i % 10 in (0, 5)))
+    # 10 + i % 200: twenty words of fifteen toxic texts each; i // 10: one text a word, no voter of its own
+    for i in range(600):
+        x.append(np.array(sorted({*random.Random(9000 + i).sample(range(1000, 3000), 30), 500 + i // 4}), np.int32))
+        y.append(1)
+    y = np.array(y)
+    rows, cols = np.repeat(np.arange(len(x), dtype=np.int32), [len(r) for r in x]), np.concatenate(x)
+    voters = toxicity.choose_voters(rows, cols, y)
+    assert set(range(500, 650)) <= set(voters.tolist())
+    w, _ = toxicity.fit(x, y)
+    assert (w[500:650] > 0).all()
+
+
 def test_toxicity_learns_from_all_features_of_a_long_text():
     import pyarrow as pa
 

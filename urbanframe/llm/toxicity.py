@@ -2,7 +2,7 @@
 
 1. Voters.  From a bounded sample of labelled rows, words (lexicon voters) and word beginnings of five and six bytes
    (pattern voters) that stand in toxic texts far more often than in others become voters: a voter says 1 on
-   a text that has its word or pattern, else nothing.  One more voter says 1 where no other does.
+   a text that has its word or pattern, else nothing.  All that pass the test vote.  One more voter says 1 where no other does.
 2. Label model.  The true label is latent.  Voters that agree beyond what the label explains (their correlation within
    the posterior classes) are tied into cliques of up to three, whose joint patterns have one table per class; the
    others are independent given the label.  EM estimates the tables, i.e. each voter's accuracy and
@@ -28,7 +28,7 @@ from .quality_bt import sample
 from .text import LOWER, chunks, prefix_sums, span_hashes, word_spans
 from .util import batch, bounded_batches, remainder
 
-SAMPLE, VOTERS, DIMS = 20_000, 80, 1 << 22
+SAMPLE, DIMS = 20_000, 1 << 22
 SEPARATOR = np.ones(256, bool)
 SEPARATOR[128:] = False
 SEPARATOR[[*range(65, 91), *range(97, 123)]] = False
@@ -61,40 +61,66 @@ def _learn_rows(batches):
 
 
 def choose_voters(rows: np.ndarray, cols: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The features most tied to toxic labels: at least 3 toxic texts and 20 times the share of other texts."""
+    """All features tied to toxic labels, the strongest first: at least 3 toxic texts and 20 times the share of other texts."""
     good, bad = max(int((y == 0).sum()), 1), max(int((y == 1).sum()), 1)
     t, c = np.bincount(cols[y[rows] == 1], minlength=DIMS), np.bincount(cols[y[rows] == 0], minlength=DIMS)
     ratio = ((t + 0.1) / bad) / ((c + 0.5) / good)
     able = np.flatnonzero((t >= 3) & (ratio >= 20 * 0.2) & (t * good >= 20 * c * bad))
-    return able[np.argsort(-(t[able] * np.log(ratio[able])), kind="stable")][:VOTERS]
+    return able[np.argsort(-(t[able] * np.log(ratio[able])), kind="stable")]
+
+
+def _cliques(n: int, m: int, row: np.ndarray, voter: np.ndarray, post: np.ndarray) -> list[tuple[int, ...]]:
+    """Voters tied by what they share beyond the label: their summed covariance within the classes, one voter's row at a time."""
+    by, start = np.argsort(voter, kind="stable"), np.searchsorted(row, np.arange(n + 1))
+    cut = np.searchsorted(voter[by], np.arange(m + 1))
+    one, zero = (np.bincount(voter, w[row], m) for w in (post, 1 - post))
+    p, q = max(post.sum(), 1e-9), max((1 - post).sum(), 1e-9)
+    sd = np.sqrt(np.maximum(one + zero - one * one / p - zero * zero / q, 1e-9))
+    free, cliques = np.ones(m, bool), [(m,)]
+    for j in range(m):
+        if free[j]:
+            free[j] = False
+            texts = row[by[cut[j] : cut[j + 1]]]
+            size = start[texts + 1] - start[texts]
+            at = np.repeat(start[texts] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            tie = np.abs(np.bincount(voter[at], minlength=m) - one[j] * one / p - zero[j] * zero / q) / (sd[j] * sd)
+            near = np.flatnonzero(free & (tie > 0.3))
+            near = near[np.argsort(-tie[near], kind="stable")][:2].tolist()
+            free[near] = False
+            cliques.append((j, *near))
+    return cliques
 
 
 def label_model(votes: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, list[tuple[int, ...]]]:
     """Posterior of label 1 for each row of 0/1 votes, and the cliques of correlated voters."""
-    n, m = votes.shape
-    votes = np.column_stack([votes, 1 - votes.max(1, initial=0)]).astype(np.int64)
-    post = np.where(votes[:, :m].sum(1) > 0, 0.9, 0.02)
+    return sparse_label_model(*votes.shape, *np.nonzero(votes), prior, rounds)
+
+
+def sparse_label_model(n: int, m: int, row: np.ndarray, voter: np.ndarray, prior: float, rounds: int = 30) -> tuple[np.ndarray, list[tuple[int, ...]]]:
+    """The same from the votes of 1 alone, each once, in order of row: work and memory follow their number."""
+    voted = np.bincount(row, minlength=n) > 0
+    post = np.where(voted, 0.9, 0.02)
     cliques: list[tuple[int, ...]] = [(j,) for j in range(m + 1)]
+    rows, voters = np.concatenate([row, np.flatnonzero(~voted)]), np.concatenate([voter, np.full((~voted).sum(), m)])
     for phase in range(2):
-        if phase:  # what voters share beyond the label
-            rest = sum(((votes - (w[:, None] * votes).sum(0) / max(w.sum(), 1e-9)) * np.sqrt(w)[:, None]).T @ ((votes - (w[:, None] * votes).sum(0) / max(w.sum(), 1e-9)) * np.sqrt(w)[:, None]) for w in (post, 1 - post))
-            sd = np.sqrt(np.maximum(np.diag(rest), 1e-9))
-            tie = np.abs(rest / np.outer(sd, sd))
-            np.fill_diagonal(tie, 0)
-            free, cliques = set(range(m)), [(m,)]
-            for j in range(m):
-                if j in free:
-                    free.discard(j)
-                    near = [k for k in np.argsort(-tie[j]).tolist() if k in free and tie[j, k] > 0.3][:2]
-                    free.difference_update(near)
-                    cliques.append((j, *near))
-        codes = [sum(votes[:, j] << i for i, j in enumerate(c)) for c in cliques]
+        if phase:
+            cliques = _cliques(n, m, row, voter, post)
+        clique, bit = np.zeros(m + 1, np.int64), np.zeros(m + 1, np.int64)
+        for i, c in enumerate(cliques):
+            clique[list(c)], bit[list(c)] = i, 1 << np.arange(len(c))
+        both, at = np.unique(rows * len(cliques) + clique[voters], return_inverse=True)
+        of, which = both // len(cliques), both % len(cliques)
+        code = which * 8 + np.bincount(at, bit[voters], len(both)).astype(np.int64)
+        able = np.arange(8) < (1 << np.array([len(c) for c in cliques]))[:, None]
         for _ in range(rounds):
-            odds = np.full(n, np.log(prior / (1 - prior)))
-            for c, code in zip(cliques, codes):
-                size = 1 << len(c)
-                one, zero = np.bincount(code, post, size) + 0.05, np.bincount(code, 1 - post, size) + 0.05
-                odds += (np.log(one / one.sum()) - np.log(zero / zero.sum()))[code]
+            tables = []
+            for w in (post, 1 - post):
+                table = np.bincount(code, w[of], 8 * len(cliques)).reshape(-1, 8)
+                table[:, 0] = np.maximum(w.sum() - table.sum(1), 0)  # the rows without a vote of the clique
+                table = np.where(able, table + 0.05, 0)
+                tables.append(np.log(np.where(able, table / table.sum(1, keepdims=True), 1)))
+            ratio = tables[0] - tables[1]
+            odds = np.log(prior / (1 - prior)) + ratio[:, 0].sum() + np.bincount(of, ratio.ravel()[code] - ratio[which, 0], n)
             new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
             moved = np.abs(new - post).max(initial=0)
             post = new
@@ -159,10 +185,8 @@ def fit(x: list, y: np.ndarray) -> tuple[np.ndarray, float]:
         return flat
     which = np.full(DIMS, -1, np.int32)
     which[voters] = np.arange(len(voters))
-    hit = which[cols] >= 0
-    votes = np.zeros((texts, len(voters)))
-    votes[rows[hit], which[cols[hit]]] = 1
-    return classifier(rows, cols, label_model(votes, share)[0])
+    hit = np.flatnonzero(which[cols] >= 0)
+    return classifier(rows, cols, sparse_label_model(texts, len(voters), rows[hit].astype(np.int64), which[cols[hit]].astype(np.int64), share)[0])
 
 
 _ROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
