@@ -189,3 +189,14 @@ def test_stream_ingest_rejects_known_ids(spark, tmp_path):
     run()
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["one", "three", "two"]
     assert [r["id"] for r in spark.read.parquet(str(tmp_path / "again")).collect()] == ["one"]
+
+
+def test_stream_ingest_hands_out_every_rejected_line(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    lines = [f'{{"id": "a", "v": {i}}}' for i in (1, 2, 3, 3)] + ['{"id": "b"}']
+    (source / "one.jsonl").write_text("\n".join(lines))
+    ingest.ingest(ingest.feature_lines(spark, str(source)), str(tmp_path / "out"), str(tmp_path / "again"), str(tmp_path / "state")).awaitTermination()
+    show = lambda at: sorted(r["value"] for r in spark.read.parquet(str(tmp_path / at)).collect())
+    assert show("out") == [lines[0], lines[4]]
+    assert show("again") == lines[1:4]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -27,10 +27,10 @@ def ingest(lines: DataFrame, target: str, duplicates: str, checkpoint: str):
             if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
                 raise
             known = spark.createDataFrame([], "id string")
-        first = df.groupBy("id").agg(F.min_by("value", F.struct("file", "value")).alias("value"), F.count("*").alias("n"))
-        fresh = first.join(known, "id", "left_anti")
+        numbered = df.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("file", "value")))
+        fresh = numbered.where("n = 1").join(known, "id", "left_anti")
         fresh.select("id", "value").write.mode("overwrite").parquet(f"{target}/batch={number}")
-        again = df.join(known, "id", "left_semi").select("id", "value").unionByName(first.where("n > 1").join(known, "id", "left_anti").select("id", "value"))
+        again = df.join(known, "id", "left_semi").select("id", "value").unionByName(numbered.where("n > 1").join(known, "id", "left_anti").select("id", "value"))
         again.write.mode("overwrite").parquet(f"{duplicates}/batch={number}")
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
