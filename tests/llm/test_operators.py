@@ -100,13 +100,37 @@ def near_copies():
     return rows
 
 
-@pytest.mark.parametrize("block_limit", [4000, 3])
-def test_jaccard_components(spark, block_limit):
+@pytest.mark.parametrize("limits", [(4000, 2_000_000), (3, 2_000_000), (4000, 150)])
+def test_jaccard_components(spark, limits):
     rows = near_copies() + EDGES[:-1]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(spark, docs(spark, rows), block_limit=block_limit).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(spark, docs(spark, rows), 5, *limits).collect()}
     assert got == brute_components(rows)
 
 
+def test_jaccard_blocks_of_many_chunks(spark):
+    """A chain of linked sets, a group about one text, and many that share much with it but link to nothing."""
+    base = prose(80, 41).split()
+    rows = [(i, " ".join(prose(2 * i, 42).split()[-60:] if i > 30 else prose(60, 42).split())) for i in range(60)]
+    rows += [(100 + i, " ".join(base[:-4] + [f"tail{i}"] * 4)) for i in range(40)]
+    rows += [(200 + i, " ".join(base[: 40 + i] + prose(25, 300 + i).split())) for i in range(40)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(spark, docs(spark, rows), block_limit=7).collect()}
+    assert got == brute_components(rows)
+
+
+def test_jaccard_links_come_from_the_search(spark, monkeypatch):
+    sets = [np.sort(np.random.default_rng(1).integers(1, 1 << 60, 50).astype(np.uint64)) for _ in range(2)] + [np.arange(5, 60, dtype=np.uint64)]
+    assert len(set(ngram_join.link_block(np.arange(3), sets).tolist())) == 2
+    monkeypatch.setattr(ngram_join, "divide_skip", lambda lists, t: [])
+    assert len(set(ngram_join.link_block(np.arange(3), sets).tolist())) == 3
+
+
+def test_jaccard_one_id_with_two_texts_joins_both(spark):
+    one, two = "a b c d e f g h i j k", "p q r s t u v w x y z"
+    rows = [(1, one), (1, two), (2, one), (3, two), (4, f"{one} l"), (5, f"{two} 1")]
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(spark, docs(spark, rows)).collect()}
+    assert set(found.values()) == {1}
+
+
 def test_jaccard_rows_without_id_and_repeats(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g"), (None, "z"), (2, None)]
     got = Counter((r[0], r[1], r[2]) for r in ngram_join.jaccard_components(spark, docs(spark, rows)).collect())

@@ -14,7 +14,8 @@ Around that search, which one task runs over one block of sets, four exact steps
 3. Put a class's hashes in order of the number of classes that hold them, rarest first: two linked classes share one
    of their first n // 5 + 1.  Chains over the classes of each such hash, cut where sizes are
    incompatible, join into blocks: no link leaves a block, and a passage that many texts share joins nothing.
-4. A block of more than ``block_limit`` classes is dealt as pairs of chunks to many tasks.
+4. A block of more than ``block_limit`` classes or ``shingle_limit`` shingles is searched in chunks: each first with chunk 0,
+   then with all that has not joined the block's largest component by then.
 
 Edge cases: a null text is an empty text; a text without words has no shingle and no partner; one
 of fewer than five words has one shingle, the whole sequence.  Rows that repeat a doc_id are one
@@ -320,77 +321,110 @@ def divide_skip(lists: list[np.ndarray], t: int, mu: float = 0.002) -> list[tupl
     return list(zip(value[able].tolist(), count[able].tolist()))
 
 
-def link_block(cls: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-    """The component (an index into the block) of each set; every linked pair is found or implied.
+def link_block(cls: np.ndarray, sets: list[np.ndarray], known: np.ndarray | None = None) -> np.ndarray:
+    """A number for the component of each set; every linked pair is found by the T-occurrence search or follows from those found.
 
-    A set is first compared with the sets already met that share one of its eight smallest
-    hashes; then the T-occurrence search runs over the sets of other components only.
+    Sets are asked for in order of size, each for the larger ones, on the lists of its hashes without the sets of its own
+    component: a group that has come together is not searched again.  ``known``: components that are known already.
+    Hashes of one component only are left out of the index, which is made anew whenever an eighth of the components is gone.
     """
-    size = np.array([len(s) for s in sets])
+    size = np.array([len(s) for s in sets], np.int64)
     order = np.lexsort((cls, size))
     sets, size = [sets[i] for i in order], size[order]
-    root = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    leader: dict[int, int] = {}
-    for x, s in enumerate(sets):
-        small, tried = s[:8].tolist(), set()
-        for token in small:
-            y = leader.get(token)
-            if y is not None and y not in tried and find(x) != find(y):
-                tried.add(y)
-                if 5 * size[y] >= 4 * size[x] and len(np.intersect1d(s, sets[y], assume_unique=True)) >= needed(int(size[x]), int(size[y])):
-                    root[find(x)] = find(y)
-        for token in small:
-            leader.setdefault(token, x)
-    part = np.array([find(x) for x in range(len(sets))])
-    if (part != part[0]).any():
-        token = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), size)
-        by = np.argsort(token, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], token[by][1:] != token[by][:-1]]))
-        held = part[owner[by]]
-        mixed = np.repeat(np.minimum.reduceat(held, first) != np.maximum.reduceat(held, first), np.diff(np.append(first, len(by))))
-        shared = np.bincount(owner[by][mixed], minlength=len(sets))  # hashes that another component holds too
-        token, owner = token[by], owner[by]
-        for x in np.flatnonzero(9 * shared >= 8 * size).tolist():
-            s = sets[x]
-            end = int(np.searchsorted(size, size[x] + size[x] // 4, "right"))  # sizes up to 5/4
-            if end <= x + 1 or (part[x + 1 : end] == part[x]).all():
-                continue
-            lists = []
-            for a, b in zip(np.searchsorted(token, s, "left").tolist(), np.searchsorted(token, s, "right").tolist()):
-                if b - a > 1:
-                    o = owner[a:b]
-                    o = o[np.searchsorted(o, x, "right") : np.searchsorted(o, end)]
+    part = np.unique(known[order], return_inverse=True)[1] if known is not None else np.arange(len(sets))
+    token = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)), size)
+    by = np.argsort(token, kind="stable")
+    token, owner = token[by], owner[by]
+
+    def open_index() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The postings of hashes that two components hold, and how many of them each set has."""
+        if not len(token):
+            return token, owner, np.zeros(len(sets), np.int64)
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        held = part[owner]
+        mixed = np.repeat(np.minimum.reduceat(held, first) != np.maximum.reduceat(held, first), np.diff(np.append(first, len(token))))
+        return token[mixed], owner[mixed], np.bincount(owner[mixed], minlength=len(sets))
+
+    token, owner, shared = open_index()
+    alive, gone = len(np.unique(part)), 0
+    for x in range(len(sets)):
+        if 9 * shared[x] < 8 * size[x]:
+            continue
+        end = int(np.searchsorted(size, size[x] + size[x] // 4, "right"))  # sizes up to 5/4
+        if end <= x + 1 or (part[x + 1 : end] == part[x]).all():
+            continue
+        lists = []
+        for a, b in zip(np.searchsorted(token, sets[x], "left").tolist(), np.searchsorted(token, sets[x], "right").tolist()):
+            if b - a > 1:
+                o = owner[a:b]
+                o = o[np.searchsorted(o, x, "right") : np.searchsorted(o, end)]
+                if len(o):
+                    o = o[part[o] != part[x]]
                     if len(o):
-                        o = o[part[o] != part[x]]
-                        if len(o):
-                            lists.append(o)
-            joined = False
-            for y, overlap in divide_skip(lists, needed(int(size[x]), int(size[x]))):
-                if overlap >= needed(int(size[x]), int(size[y])) and find(x) != find(y):
-                    root[find(x)] = find(y)
-                    joined = True
-            if joined:
-                part = np.array([find(z) for z in range(len(sets))])
+                        lists.append(o)
+        n = int(size[x])
+        found = [y for y, overlap in divide_skip(lists, needed(n, n)) if overlap >= needed(n, int(size[y]))]
+        if found:
+            joined = np.unique(part[found])
+            part[np.isin(part, joined)] = part[x]
+            gone += len(joined)
+            if 8 * gone >= alive:
+                alive, gone = alive - gone, 0
+                token, owner, shared = open_index()
     out = np.empty(len(sets), np.int64)
-    out[order] = order[[find(x) for x in range(len(sets))]]
+    out[order] = part
     return out
 
 
 def _search(table: pa.Table) -> pa.Table:
+    """Edges of the linked classes of one group; a column ``root`` says which are linked already."""
     cls = table.column("cls").to_numpy()
-    part = link_block(cls, [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()])
-    a, b = forest(cls, cls[part])
+    tokens = table.column("tokens").to_pylist()
+    once = np.array(list({key: i for i, key in enumerate(zip(cls.tolist(), tokens))}.values()))  # one may come from both sides
+    known = table.column("root" if "root" in table.column_names else "cls").to_numpy()[once]
+    cls, tokens = cls[once], [tokens[i] for i in once]
+    part = link_block(cls, [np.frombuffer(t, np.uint64) for t in tokens], known)
+    _, head, at = np.unique(part, return_index=True, return_inverse=True)
+    a, b = forest(cls, cls[head[at]])
     return pa.Table.from_batches([batch(_EDGE, a, b)])
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, block_limit: int = 4000) -> DataFrame:
+def _chunks_of(limit: int, shingles: int):
+    """How many chunks of at most about so many classes and shingles a group needs."""
+    return F.greatest(F.ceil(F.count("*") / F.lit(limit)), F.ceil(F.sum("n") / F.lit(shingles)), F.lit(1)).cast("int")
+
+
+def _block_links(spark: SparkSession, sets: DataFrame, blocks: DataFrame, block_limit: int, shingle_limit: int) -> DataFrame:
+    """(cls, root) of the classes that have links; ``blocks``: (cls, block, n).
+
+    A block of one chunk is searched at once.  Of a larger one, first each chunk is searched together with chunk 0.
+    Then what is not in the block's largest component yet, in chunks of its own, meets every chunk: two linked classes that have
+    not met are both in that component, so each pair is searched or known.  A group of near copies mostly comes
+    together in the first round, so that classes are sent a few times and not once for each chunk.
+    """
+    parts = blocks.groupBy("block").agg(_chunks_of(block_limit, shingle_limit).alias("parts"))
+    blocks = written(spark, blocks.join(parts, "block").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")), "blocks")
+    opened = sets.mapInArrow(_classes, "cls long, tokens binary")
+    place = F.when((F.col("parts") > 1) & (F.col("own") == 0), F.expr("sequence(1, parts - 1)")).otherwise(F.array("own"))
+    dealt = opened.join(blocks, "cls").select("cls", "tokens", "block", F.explode(place).alias("i"))
+    links = written(spark, dealt.groupBy("block", "i").applyInArrow(_search, "a long, b long"), "links")
+    large = blocks.where("parts > 1")
+    if large.isEmpty():
+        return links.select(F.col("a").alias("cls"), F.col("b").alias("root"))
+    met = connected_components(spark, links).withColumnsRenamed({"node": "cls"})
+    large = written(spark, large.join(met, "cls", "left").withColumn("root", F.coalesce("root", "cls")), "met")
+    giant = large.groupBy("block", "root").agg(F.count("*").alias("held")).groupBy("block").agg(F.max_by("root", F.struct("held", "root")).alias("giant"))
+    rest = large.where("own > 0").join(giant, "block").where("root <> giant").drop("giant")
+    rest_parts = rest.groupBy("block").agg(_chunks_of(block_limit, shingle_limit).alias("rest_parts"))
+    rest = rest.join(rest_parts, "block").select("cls", "block", "root", F.explode(F.expr("sequence(1, parts - 1)")).alias("i"), F.pmod(F.xxhash64("cls", F.lit(1)), F.col("rest_parts")).cast("int").alias("j"))
+    every = large.where("own > 0").join(rest_parts, "block").select("cls", "block", "root", F.col("own").alias("i"), F.explode(F.expr("sequence(0, rest_parts - 1)")).alias("j"))
+    dealt = opened.join(every.unionByName(rest).distinct(), "cls")
+    more = written(spark, dealt.groupBy("block", "i", "j").applyInArrow(_search, "a long, b long"), "links")
+    return connected_components(spark, links.unionByName(more)).withColumnsRenamed({"node": "cls"})
+
+
+def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, block_limit: int = 4000, shingle_limit: int = 2_000_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     bounded_batches(spark)
     n = width(spark)
@@ -398,7 +432,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, block_l
     asked = "bucket int, batch long, kind int, payload binary"
     meta = docs.mapInArrow(_ask(n, k), asked).repartition(n, "bucket").mapInArrow(_answer, asked).repartition(n, "batch")
     meta = written(spark, meta.mapInArrow(_gather, "doc_id long, n long, h1 long, h2 long, may_link boolean"), "shingles")
-    classes = meta.where("may_link").groupBy("h1", "h2").agg(F.min("doc_id").alias("cls")).where("cls is not null")
+    classes = meta.where("may_link").groupBy("h1", "h2").agg(F.min("doc_id").alias("cls"), F.max("n").alias("n")).where("cls is not null")
     sets = docs.join(classes.select(F.col("cls").alias("doc_id")).distinct(), "doc_id").mapInArrow(_sets(k), "batch long, cls binary, sizes binary, tokens binary")
     sets = written(spark, sets, "sets")
     counts = sets.select("batch", "tokens").mapInArrow(_ask_counts(n), asked).repartition(n, "bucket").mapInArrow(_answer_counts, asked)
@@ -407,16 +441,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, block_l
     chains = prefixes.repartition(n, "token").mapInArrow(_chains, "a long, b long")
     blocks = connected_components(spark, chains)
     blocks = blocks.select(F.col("node").alias("cls"), F.col("root").alias("block")).unionByName(blocks.select(F.col("root").alias("cls"), F.col("root").alias("block")).distinct())
-    parts = blocks.groupBy("block").agg(F.ceil(F.count("*") / F.lit(block_limit)).cast("int").alias("parts"))
-    blocks = written(spark, blocks.join(parts, "block"), "blocks")
-    own = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = sets.mapInArrow(_classes, "cls long, tokens binary").join(blocks, "cls").withColumn("own", own).withColumn("other", other)
-    dealt = dealt.select("cls", "tokens", "block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    links = written(spark, dealt.groupBy("block", "i", "j").applyInArrow(_search, "a long, b long"), "links")
-    if blocks.where("parts > 1").isEmpty():
-        links = links.distinct().select(F.col("a").alias("cls"), F.col("b").alias("root"))
-    else:
-        links = connected_components(spark, links).withColumnsRenamed({"node": "cls"})
+    blocks = blocks.join(classes.groupBy("cls").agg(F.max("n").alias("n")), "cls")
+    links = _block_links(spark, sets, blocks, block_limit, shingle_limit)
     classes = classes.join(links, "cls", "left").select("h1", "h2", F.coalesce("root", "cls").alias("found"))
     return meta.join(classes, ["h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("found", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
