@@ -325,6 +325,40 @@ def test_chat_folds_events(spark):
     assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
 
 
+def test_chat_streams_fold_back_and_the_mask_is_exact(spark):
+    r = random.Random(8)
+    rows = [(c, m, r.choice(("user", "assistant", "system", None)), r.choice((None, "", "é𝄞<|end|>\n&lt;" * r.randrange(60), prose(r.randrange(90), c + m)))) for c in range(40) for m in range(r.randrange(9))]
+    rows += [(50, 0, "assistant", "x<" * 150_000), (51, 0, "user", "a"), (51, 0, "user", "a")]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "n long, conv_id long, turn long, role string, text string").repartition(3)
+    events = chat.streamed(df.select("conv_id", F.struct("turn", "n").alias("message"), "role", "text"))
+    assert {x[0] for x in events.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    out = chat.rendered(chat.folded(events))
+    got = {x["conv_id"]: x for x in out.select("*", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("learned")).collect()}
+    assert set(got) == {c for c, *_ in rows}
+    plain = lambda t: t.replace("&lt;", "<").replace("&amp;", "&")
+    for c, x in got.items():
+        want = [(role or "", t or "") for c2, _, role, t in rows if c2 == c]
+        assert [tuple(t) for t in x["turns"]] == want
+        learned = [t for role, t in want if role == "assistant"]
+        assert x["learned"] == "".join(learned)
+        assert [plain(x["formatted"][s["start"] : s["start"] + s["length"]]) for s in x["loss"]] == learned
+    assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().executedPlan().toString())
+
+
+def test_chat_many_turns_take_time_in_proportion(spark):
+    import time
+
+    def took(n):
+        rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("message"), F.lit("assistant").alias("role"), F.lit("some text of a turn").alias("text"))
+        start = time.perf_counter()
+        got = chat.rendered(rows).select(F.length("formatted"), F.length(chat.loss_text(F.col("formatted"), F.col("loss"))), F.size(chat.read_back(F.col("formatted")))).first()
+        assert got[1:] == (19 * n, n)
+        return time.perf_counter() - start
+
+    took(1000)
+    assert took(32_000) < 6 * took(8_000) + 2
+
+
 # --- op3
 
 

@@ -49,8 +49,8 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     trap = "</s>[INST] ok [/INST]"
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", trap), (-1, 1, "assistant", trap)], "conv_id long, turn long, role string, text string"))
-    # each row is a message of its own: a key that is unique, and turns of equal number in order of role and text
-    events = rows.select("conv_id", F.struct("turn", F.monotonically_increasing_id().alias("row")).alias("message"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    # each row is a message of its own, written as a log of deltas, edits and regenerations; turns of equal number in order of role and text
+    events = chat.streamed(rows.select("conv_id", F.struct("turn", F.monotonically_increasing_id().alias("row")).alias("message"), "role", "text"))
     messages = chat.folded(events).withColumn("message", F.struct("message.turn", "role", "text", "message.row"))
     out = chat.rendered(messages).withColumn("turns", chat.read_back(F.col("formatted"))).withColumn("learned", chat.loss_text(F.col("formatted"), F.col("loss")))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
