@@ -288,17 +288,43 @@ def test_decontamination(spark):
 
 
 def test_licenses(spark):
-    rows = [(i, f"{prose(40 * i, i)}\n({t.upper()}) {prose(30, i)}") for i, t in enumerate(licenses.NOTICES.values())]
-    rows += [(20 + i, " ".join(list(licenses.NOTICES.values())[6].split()[:i])) for i in range(10, 22)] + [(40, "the license of the license"), (41, f"{rows[1][1]} {rows[2][1]}")] + EDGES
-    got = {(r["doc_id"], r["license_id"], r["shared"]) for r in licenses.licensed(spark, docs(spark, rows)).collect()}
+    rows = [(i, f"{prose(40 * i, i)}\n({t.upper()}) {prose(30, i)}") for i, (_, t) in enumerate(licenses.TEMPLATES)]
+    for j, i in enumerate((6, 8, 9, 14)):  # from none to all of a template
+        t = licenses.TEMPLATES[i][1].split()
+        rows += [(100 + 50 * j + k, " ".join(t[: len(t) * k // 20])) for k in range(12, 21)]
+    rows += [(40, "the license of the license"), (41, f"{rows[1][1]} {rows[2][1]}"), (42, f"{prose(300, 5)} {rows[9][1]} {prose(9000, 6)} {rows[16][1]}")] + EDGES
+    got = {(r["doc_id"], r["license_id"], r["template"], r["shared"]) for r in licenses.licensed(spark, docs(spark, rows)).collect()}
     want = set()
     for d, t in rows:
-        w = licenses.notice_shingles(t or "")
-        for name, notice in licenses.NOTICES.items():
+        w = set(licenses.notice_shingles(t or ""))
+        for i, (name, notice) in enumerate(licenses.TEMPLATES):
             s = set(licenses.notice_shingles(notice))
-            if 10 * len(s & set(w)) >= 8 * len(s):
-                want.add((d, name, len(s & set(w))))
-    assert got == want and len(want) > 10
+            if 10 * len(s & w) >= 8 * len(s):
+                want.add((d, name, i, len(s & w)))
+    assert got == want and {x[2] for x in want} == set(range(len(licenses.TEMPLATES)))
+
+
+def test_license_texts_as_projects_print_them(spark):
+    """Comment marks, other line ends, a copyright line and a filled-in name do not hide a license."""
+    texts = dict(enumerate(t for _, t in licenses.TEMPLATES))
+    words = lambda t, n: " ".join(t.split()[:n])
+    mit = "MIT License\n\nCopyright (c) 2020 Some One\n\n" + texts[9].replace("THE SOFTWARE IS", "\n\nThe software is")
+    bsd3 = texts[11].replace("THIS SOFTWARE IS PROVIDED", "3. " + texts[12] + "\nTHIS SOFTWARE IS PROVIDED").replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "REGENTS AND CONTRIBUTORS")
+    lgpl = "/* " + texts[15].replace(". ", ".\n * ") + " */"
+    rows = [(1, mit), (2, bsd3), (3, lgpl), (4, "x = 1\n" + words(texts[14], 46)), (5, texts[8].replace("http:", "\n\n    http:"))]
+    got = {}
+    for r in licenses.licensed(spark, docs(spark, rows)).collect():
+        got.setdefault(r["doc_id"], set()).add(r["license_id"])
+    assert "MIT" in got[1] and "BSD-3-Clause" in got[2] and "LGPL-2.1" in got[3] and "Apache-2.0" in got[5]
+    assert 4 not in got  # half of the header
+
+
+def test_markers_leave_no_license_out():
+    notices = [licenses.notice_shingles(t) for _, t in licenses.TEMPLATES]
+    found = licenses.markers(notices)
+    for s in notices:
+        assert 5 * sum(any(m in x for m in found) for x in s) > len(s)
+    assert len(found) < 30
 
 
 def test_license_scan_stays_in_the_engine(spark):

@@ -32,7 +32,7 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.licensed(spark, documents(spark, sf_dir)).select("doc_id", "license_id", "shared", "notice_shingles")
+    return licenses.licensed(spark, documents(spark, sf_dir)).select("doc_id", "license_id", "template", "shared", "notice_shingles")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,23 +72,23 @@ _WORDS = "list_filter(regexp_split_to_array({text}, '[\\x20\\x09-\\x0D]+'), lamb
 _SHINGLES = "list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i + 4], ' '))"
 
 
-def _values(rows: list[tuple[str, str]]) -> str:
+def _values(rows: list[tuple[str, int, str]]) -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    return ", ".join(f"({quote(a)}, {quote(b)})" for a, b in rows)
+    return ", ".join(f"({quote(a)}, {n}, {quote(b)})" for a, n, b in rows)
 
 
-_NOTICES = _values([(name, s) for name, t in licenses.NOTICES.items() for s in licenses.notice_shingles(t)])
+_NOTICES = _values([(name, i, s) for i, (name, t) in enumerate(licenses.TEMPLATES) for s in licenses.notice_shingles(t)])
 _TRIM = "list_filter(list_transform(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: trim(x, '" + licenses.ENDS.replace("'", "''") + "')), lambda w: w <> '')"
 
 ORACLES = {
     "op5_licenses": f"""
-WITH notice(license_id, s) AS (VALUES {_NOTICES}),
-sized AS (SELECT license_id, count(*) AS n FROM notice GROUP BY license_id),
+WITH notice(license_id, template, s) AS (VALUES {_NOTICES}),
+sized AS (SELECT template, count(*) AS n FROM notice GROUP BY template),
 words AS (SELECT doc_id, {_TRIM} AS w FROM documents WHERE text IS NOT NULL),
 sh AS (SELECT DISTINCT doc_id, unnest({_SHINGLES}) AS s FROM words WHERE len(w) > 0)
-SELECT doc_id, license_id, count(*)::BIGINT AS shared, any_value(n)::BIGINT AS notice_shingles
-FROM sh JOIN notice USING (s) JOIN sized USING (license_id)
-GROUP BY doc_id, license_id HAVING 10 * count(*) >= 8 * any_value(n)""",
+SELECT doc_id, license_id, template::INT AS template, count(*)::BIGINT AS shared, any_value(n)::BIGINT AS notice_shingles
+FROM sh JOIN notice USING (s) JOIN sized USING (template)
+GROUP BY doc_id, license_id, template HAVING 10 * count(*) >= 8 * any_value(n)""",
     "op8_chat_format": """
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
