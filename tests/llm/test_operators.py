@@ -455,6 +455,32 @@ def test_every_toxic_word_of_a_large_lexicon_votes():
     assert (w[500:650] > 0).all()
 
 
+def test_features_that_are_toxic_by_chance_do_not_vote():
+    r = np.random.default_rng(3)
+    y = (r.random(4000) < 0.1).astype(int)
+    x = [np.unique(np.append(r.integers(1000, 40_000, 60), [7] * int(label and r.random() < 0.1))).astype(np.int32) for label in y]
+    rows, cols = np.repeat(np.arange(len(x), dtype=np.int32), [len(f) for f in x]), np.concatenate(x)
+    assert toxicity.choose_voters(rows, cols, y).tolist() == [7]
+
+
+def test_label_model_tables_and_posteriors_agree_with_em_by_hand():
+    r = np.random.default_rng(6)
+    y = r.random(600) < 0.3
+    votes = np.stack([(y & (r.random(600) < p)) | (r.random(600) < 0.05) for p in (0.8, 0.6, 0.5)], 1).astype(float)
+    got, cliques = toxicity.label_model(votes, 0.3, rounds=400)
+    assert sorted(cliques) == [(0,), (1,), (2,), (3,)]
+    full = np.column_stack([votes, votes.sum(1) == 0])  # the last voter speaks where no other does
+    post = np.where(votes.sum(1) > 0, 0.9, 0.02)
+    for _ in range(800):
+        odds = np.full(600, np.log(0.3 / 0.7))
+        for j in range(4):
+            table = [np.array([((1 - full[:, j]) * w).sum() + 0.05, (full[:, j] * w).sum() + 0.05]) for w in (post, 1 - post)]
+            logs = [np.log(c / c.sum()) for c in table]
+            odds += (logs[0] - logs[1])[full[:, j].astype(int)]
+        post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+    assert np.abs(post - got).max() < 0.01
+
+
 def test_toxicity_learns_from_all_features_of_a_long_text():
     import pyarrow as pa
 

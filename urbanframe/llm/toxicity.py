@@ -1,8 +1,8 @@
 """Toxicity: weak supervision by many lexicon and pattern voters, a generative label model, and a linear classifier.
 
 1. Voters.  From a bounded sample of labelled rows, words (lexicon voters) and word beginnings of five and six bytes
-   (pattern voters) that stand in toxic texts far more often than in others become voters: a voter says 1 on
-   a text that has its word or pattern, else nothing.  All that pass the test vote.  One more voter says 1 where no other does.
+   (pattern voters) that stand in toxic texts far more often than in others, and not by chance, become voters: a voter says 1 on
+   a text that has its word or pattern, else nothing.  All that pass these tests vote.  One more voter says 1 where no other does.
 2. Label model.  The true label is latent.  Voters that agree beyond what the label explains (their correlation within
    the posterior classes) are tied into cliques of up to three, whose joint patterns have one table per class; the
    others are independent given the label.  EM estimates the tables, i.e. each voter's accuracy and
@@ -60,13 +60,27 @@ def _learn_rows(batches):
             yield batch(_FEATURE, b.column("toxic").slice(lo, hi - lo), [(both[s:e] % DIMS).astype(np.int32) for s, e in zip(cut[:-1], cut[1:])])
 
 
-def choose_voters(rows: np.ndarray, cols: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """All features tied to toxic labels, the strongest first: at least 3 toxic texts and 20 times the share of other texts."""
+def choose_voters(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, false_share: float = 0.2) -> np.ndarray:
+    """All features tied to toxic labels, the surest first: at least 3 toxic texts and 20 times the share of other texts.
+
+    Among very many features some stand in toxic texts by chance.  Each gets the Chernoff bound of the chance that its texts
+    are so toxic if it has nothing to do with the label; the Benjamini-Hochberg rule keeps those of which at most
+    ``false_share`` are expected to be such.
+    """
     good, bad = max(int((y == 0).sum()), 1), max(int((y == 1).sum()), 1)
     t, c = np.bincount(cols[y[rows] == 1], minlength=DIMS), np.bincount(cols[y[rows] == 0], minlength=DIMS)
-    ratio = ((t + 0.1) / bad) / ((c + 0.5) / good)
-    able = np.flatnonzero((t >= 3) & (ratio >= 20 * 0.2) & (t * good >= 20 * c * bad))
-    return able[np.argsort(-(t[able] * np.log(ratio[able])), kind="stable")]
+    at = np.flatnonzero(t + c >= 3)
+    t, c, base = t[at], c[at], bad / (good + bad)
+    share = t / np.maximum(t + c, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sure = np.where(t > 0, t * np.log(share / base), 0) + np.where(c > 0, c * np.log((1 - share) / (1 - base)), 0)
+    sure = np.where(share > base, sure, 0)
+    ranked = np.sort(sure)[::-1]
+    passed = np.flatnonzero(ranked >= np.log(len(at) / (false_share * np.arange(1, len(at) + 1)))) if len(at) else at
+    if not len(passed):
+        return at[:0]
+    able = (sure >= ranked[passed[-1]]) & (t >= 3) & (t * good >= 20 * c * bad)
+    return at[able][np.argsort(-sure[able], kind="stable")]
 
 
 def _cliques(n: int, m: int, row: np.ndarray, voter: np.ndarray, post: np.ndarray) -> list[tuple[int, ...]]:
@@ -129,7 +143,7 @@ def sparse_label_model(n: int, m: int, row: np.ndarray, voter: np.ndarray, prior
     return post, cliques
 
 
-def classifier(rows: np.ndarray, cols: np.ndarray, target: np.ndarray, rounds: int = 120, l1: float = 5e-5) -> tuple[np.ndarray, float]:
+def classifier(rows: np.ndarray, cols: np.ndarray, target: np.ndarray, rounds: int = 120, l1: float = 1e-4) -> tuple[np.ndarray, float]:
     """Sparse weights and an intercept: accelerated proximal gradient on the mean logistic loss against soft labels.
 
     Features of fewer than three texts of the sample have no weight.
