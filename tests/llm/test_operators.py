@@ -511,6 +511,35 @@ def test_quality_bradley_terry(spark):
     assert (quality_bt.ranked(spark, docs(spark, rows), labels.limit(0)).toPandas().predicted == 1).all()
 
 
+def test_quality_weights_are_the_optimum_and_the_cut_is_the_quantile():
+    r = np.random.default_rng(2)
+    y = (r.random(300) < 0.7).astype(int)
+    x = r.normal(0, 0.05, (300, quality_bt.WIDTH)) + 0.05 * y[:, None] * (np.arange(quality_bt.WIDTH) % 7 == 0)
+    got = quality_bt.fit(x, y)
+    z = np.clip((x - x.mean(0)) / (x.std(0) + 0.02), -6, 6)
+    a, b = quality_bt.pairs_of(y)
+    assert (y[a] == 1).all() and (y[b] == 0).all()
+    grad = np.zeros(quality_bt.WIDTH)  # of the mean loss log(1 + exp(-w . d)) and the penalty, pair by pair
+    for i, j in zip(a, b):
+        d = z[i] - z[j]
+        grad -= d / (1 + np.exp(d @ got["w"])) / len(a)
+    assert np.abs(grad + quality_bt.L2 * got["w"]).max() < 1e-6
+    s = np.sort(z @ got["w"])
+    assert abs((s < got["at"]).mean() - (y == 0).mean()) < 0.01
+
+
+def test_gram_shares_count_what_a_loop_counts():
+    texts = ["", "abc", "abcd", "AbCdabcd é", "x" * 40]
+    raw = [t.encode() for t in texts]
+    offs = np.cumsum([0] + [len(b) for b in raw])
+    both = quality_bt.gram_shares(np.frombuffer(b"".join(raw), np.uint8), offs)
+    for b, row in zip(raw, both):
+        alone = quality_bt.gram_shares(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[0]
+        assert np.allclose(row, alone) and (row**2).sum() == pytest.approx(1.0 if len(b) >= 4 else 0.0)
+        kinds = {b.lower()[i : i + 4] for i in range(len(b) - 3)}
+        assert (row > 0).sum() == len(kinds) or len(kinds) > 3
+
+
 def test_language(spark):
     letters = {"aa": "abcde", "bb": "cdefg", "cc": "éèçab", "dd": "жзийк"}
     r = random.Random(9)

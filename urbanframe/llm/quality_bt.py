@@ -1,16 +1,18 @@
 """Quality classifier: Bradley-Terry ranking learned from preference pairs, thresholded at a score quantile.
 
-Each text becomes a dozen numbers (``FEATURES``).  From a bounded sample of labelled rows, pairs of a preferred
+Each text becomes a dozen numbers (``FEATURES``) and the shares of its byte 4-grams (A-Z lower-cased) by ``BUCKETS`` hashed
+buckets.  From a bounded sample of labelled rows, pairs of a preferred
 (quality 1) and an other (quality 0) document are drawn, and weights w are found by which w . (f(a) - f(b)) explains the
-preferences: logistic loss on feature differences, L2, by Newton steps.  A document's rank score is w . f.  The
-threshold is the quantile of the sample's rank scores at the share of quality 0; it is mapped to
+preferences: logistic loss on feature differences, L2 (stronger on the buckets), by Newton steps.  A document's rank score
+is w . f.  The threshold is the quantile of the sample's rank scores at the share of quality 0; it is mapped to
 ``cut`` on the logistic scale, so that score >= cut is the decision.
 
-At most ``SAMPLE`` labelled rows are used, those of the smallest hashes of doc_id; their ids are sent to all tasks.
+At most ``SAMPLE`` labelled rows are used, those of the smallest hashes of doc_id, and ``PAIRS`` pairs of them; their ids are
+sent to all tasks.
 
 Edge cases: a null text is an empty text, and an empty text has features of zeros; rows with a null doc_id or null
 quality are not learned from, and held_out is false for a null doc_id; a doc_id that repeats counts as often; without
-labels of both kinds every score is ``cut``, which keeps all.  Other columns are ignored.
+labels of both kinds every score is ``cut``, which keeps all; a rank score at the threshold is kept.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,15 +24,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .quality_rules import IS_SYMBOL
-from .text import chunks, duplicate_lines, mix, prefix_sums, repeated_words, span_hashes, sums_by, word_spans
+from .text import LOWER, chunks, duplicate_lines, mix, prefix_sums, repeated_words, span_hashes, sums_by, word_spans
 from .util import batch, bounded_batches, remainder
 
-SAMPLE, PAIRS = 30_000, 200_000
+SAMPLE, PAIRS, BUCKETS = 30_000, 60_000, 256
 FEATURES = ("log_words", "symbols", "capitals", "marks", "digits", "repeated", "lines_again", "same_next", "word_length", "long_words", "distinct", "end_marks")
 
 
+def gram_shares(data: np.ndarray, offs: np.ndarray, n: int = 4) -> np.ndarray:
+    """(documents, BUCKETS): square roots of the shares of each hashed bucket among a text's byte n-grams."""
+    docs, m = len(offs) - 1, len(data) - n + 1
+    if m <= 0:
+        return np.zeros((docs, BUCKETS))
+    low = LOWER[data].astype(np.uint32)
+    h = np.zeros(m, np.uint32)
+    for j in range(n):
+        h = h * np.uint32(0x01000193) + low[j : j + m]
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    h ^= h >> np.uint32(13)
+    owner = np.repeat(np.arange(docs), np.diff(offs))[:m]
+    inside = np.arange(m) + n <= offs[owner + 1]
+    count = np.bincount((owner * BUCKETS + (h % np.uint32(BUCKETS)))[inside], minlength=docs * BUCKETS).reshape(docs, BUCKETS)
+    return np.sqrt(count / np.maximum(count.sum(1, keepdims=True), 1))
+
+
 def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """(documents, features); shares as square roots, so that a little of something rare shows."""
+    """(documents, FEATURES and BUCKETS); shares as square roots, so that a little of something rare shows."""
     starts, ends, woffs = word_spans(data, offs)
     sums = prefix_sums(data)
     words = span_hashes(sums, starts, ends)
@@ -48,33 +68,47 @@ def features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     chars = by_word(length)
     last = data[ends - 1] if len(ends) else np.zeros(0, np.uint8)
     lines = np.maximum(by(data == 10) + (size > 0), 1)
-    return np.stack([
+    counted = np.stack([
         np.log1p(n) / 5, share(by(IS_SYMBOL[data]), chars), share(by((data >= 65) & (data <= 90)), chars), share(by((data == 33) | (data == 63)), chars), share(by((data >= 48) & (data <= 57)), chars),
         share(repeated_words(words, woffs), n), share(duplicate_lines(data, offs, sums, starts), lines), share(by_word(next_same), n), np.log1p(chars / np.maximum(n, 1)), share(by_word(length > 24), n),
         np.where(n > 0, np.log(np.maximum(kinds, 1)) / np.log(n + 1.0001), 0), share(by_word((last == 46) | (last == 44)), n),
     ], 1)
+    return np.hstack([counted, gram_shares(data, offs)])
+
 
+WIDTH = len(FEATURES) + BUCKETS
+L2 = np.repeat([1e-3, 1e-2], [len(FEATURES), BUCKETS])
 
-def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, l2: float = 1e-3) -> dict:
-    """Weights, centre, scale and threshold from features and 0/1 quality."""
+
+def pairs_of(y: np.ndarray, pairs: int = PAIRS) -> tuple[np.ndarray, np.ndarray]:
+    """Rows preferred and rows they are preferred to, drawn with a fixed seed."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    centre, scale = x.mean(0) if len(x) else np.zeros(len(FEATURES)), (x.std(0) + 0.02) if len(x) else np.ones(len(FEATURES))
-    w = np.zeros(len(FEATURES))
-    if not (len(good) and len(bad)):
-        return {"w": w, "centre": centre, "scale": scale, "at": 0.0, "unit": 1.0}
     rng = np.random.default_rng(5)
-    z = np.clip((x - centre) / scale, -6, 6)
     m = min(pairs, 50 * max(len(good), len(bad)))
-    d = z[rng.choice(good, m)] - z[rng.choice(bad, m)]
+    return rng.choice(good, m), rng.choice(bad, m)
+
+
+def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, part: int = 8192) -> dict:
+    """Weights, centre, scale and threshold from features and 0/1 quality; pairs are taken ``part`` at a time."""
+    centre, scale = x.mean(0) if len(x) else np.zeros(WIDTH), (x.std(0) + 0.02) if len(x) else np.ones(WIDTH)
+    w = np.zeros(WIDTH)
+    if len(np.unique(y)) < 2:
+        return {"w": w, "centre": centre, "scale": scale, "at": 0.0, "unit": 1.0}
+    z = np.clip((x - centre) / scale, -6, 6)
+    a, b = pairs_of(y, pairs)
     for _ in range(25):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))  # of the pair the other way round
-        grad = d.T @ p / m - l2 * w
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / m + l2 * np.eye(len(w)), grad)
+        grad, hess = -L2 * w, np.diag(L2)
+        for i in range(0, len(a), part):
+            d = z[a[i : i + part]] - z[b[i : i + part]]
+            p = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))  # of the pair the other way round
+            grad = grad + d.T @ p / len(a)
+            hess = hess + (d * (p * (1 - p))[:, None]).T @ d / len(a)
+        step = np.linalg.solve(hess, grad)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
     s = z @ w
-    q, wide = len(bad) / len(y), 0.005
+    q, wide = float((y == 0).mean()), 0.005
     at = (np.quantile(s, max(q - wide, 0)) + np.quantile(s, min(q + wide, 1))) / 2
     return {"w": w, "centre": centre, "scale": scale, "at": float(at), "unit": float(max(s.std(), 1e-6))}
 
@@ -94,13 +128,13 @@ def _score(model: dict, cut: float):
     return run
 
 
-_FEATURE = pa.schema([("quality", pa.int32()), ("features", pa.list_(pa.float64()))])
+_FEATURE = pa.schema([("quality", pa.int32()), ("features", pa.list_(pa.float32()))])
 
 
 def _learn_rows(batches):
     for b in batches:
         for lo, hi, data, offs in chunks(b.column("text")):
-            yield batch(_FEATURE, b.column("quality").slice(lo, hi - lo), features(data, offs).tolist())
+            yield batch(_FEATURE, b.column("quality").slice(lo, hi - lo), list(features(data, offs).astype(np.float32)))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, train, size: int) -> DataFrame:
@@ -113,9 +147,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train, size: int) ->
 def learned(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int, held: int) -> dict:
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = sample(docs, labels, "quality", remainder("doc_id", folds) != held, SAMPLE).mapInArrow(_learn_rows, "quality int, features array<double>").orderBy("quality", "features").collect()
-    x = np.array([r["features"] for r in rows]).reshape(-1, len(FEATURES))
-    return fit(x, np.array([r["quality"] for r in rows], int))
+    rows = sample(docs, labels, "quality", remainder("doc_id", folds) != held, SAMPLE).mapInArrow(_learn_rows, "quality int, features array<float>").orderBy("quality", "features").toArrow()
+    x = rows.column("features").combine_chunks().flatten().to_numpy().astype(float).reshape(-1, WIDTH)
+    return fit(x, rows.column("quality").to_numpy().astype(int))
 
 
 def ranked(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, cut: float = 0.7) -> DataFrame:
