@@ -152,6 +152,39 @@ def test_stream_rules(spark, tmp_path):
         model_json.read_documents(spark, "x.city.jsonl")
 
 
+@pytest.mark.parametrize(
+    "items, what",
+    [
+        ([FEATURE], "no header"), ([FEATURE, HEAD], "not the first"), ([HEAD | {"version": "1.0"}, FEATURE], "version 2"), ([HEAD, {"type": "Other"}], "neither"), ([HEAD, "text"], "neither"),
+        ([HEAD, {k: v for k, v in FEATURE.items() if k != "id"}], "without id"),
+    ],
+)
+def test_stream_errors(spark, tmp_path, items, what):
+    with pytest.raises(ValueError, match=what):
+        model_json.read_stream(spark, lines(tmp_path / "s", *items))
+
+
+def test_nearest_header_counts(spark, tmp_path):
+    (tmp_path / "features/a/b").mkdir(parents=True)
+    (tmp_path / "metadata.json").write_text(json.dumps(HEAD))
+    (tmp_path / "features/a/metadata.json").write_text(json.dumps(HEAD | {"transform": {"scale": [1, 1, 1], "translate": [0, 0, 0]}}))
+    (tmp_path / "features/x.jsonl").write_text(json.dumps(FEATURE))
+    (tmp_path / "features/a/b/y.jsonl").write_text(json.dumps(FEATURE | {"id": "two"}))
+    top = {r["model_id"]: r["x"] for r in model_json.vertices(model_json.read_feature_files(spark, str(tmp_path))).where("vertex_id = 1").collect()}
+    assert top == {"one": 105.0, "two": 10.0}
+    (tmp_path / "metadata.json").unlink()
+    with pytest.raises(PySparkException):
+        model_json.read_feature_files(spark, str(tmp_path)).collect()
+
+
+def test_unknown_object_members_and_extents_survive(spark, tmp_path):
+    odd = {"type": "Building", "geographicalExtent": [0, 0, 0, 1, 2, 3], "+note": {"a": ["x", 1]}, "address": "1"}
+    models = model_json.read_stream(spark, lines(tmp_path / "s", HEAD, FEATURE | {"CityObjects": {"one": odd, "two": {"type": "Building"}}}))
+    got = {r["external_id"]: r for r in model_json.objects(models).collect()}
+    assert json.loads(got["one"]["extra"]) == {"+note": {"a": ["x", 1]}, "address": "1"} and got["one"]["geographical_extent"] == [0, 0, 0, 1, 2, 3]
+    assert got["two"]["extra"] is None and got["two"]["geographical_extent"] is None
+
+
 def test_document_and_feature_files(spark, tmp_path):
     (tmp_path / "d.city.json").write_text(json.dumps(HEAD | {"CityObjects": FEATURE["CityObjects"], "vertices": FEATURE["vertices"]}))
     assert model_json.objects(model_json.read_documents(spark, str(tmp_path / "d.city.json"))).count() == 2

@@ -142,9 +142,11 @@ def _(s, d):
     return graph.roots(*city(s, d, "cityobjects", "relationships")).select("record_id", "external_id")
 
 
-@query("jon_dangling", "SELECT parent_record_id, child_record_id, child_ordinal FROM relationships WHERE child_record_id NOT IN (SELECT record_id FROM cityobjects)", "cityobjects", "relationships")
+@query("jon_dangling", "SELECT parent_record_id, child_record_id + 900000000000 AS child_record_id, child_ordinal FROM relationships WHERE child_record_id % 50 = 1", "relationships")
 def _(s, d):
-    return graph.dangling(*city(s, d, "cityobjects", "relationships")).select("parent_record_id", "child_record_id", "child_ordinal")
+    o, e = city(s, d, "cityobjects", "relationships")
+    broken = e.where("child_record_id % 50 = 1").withColumn("child_record_id", F.col("child_record_id") + 900000000000)  # planted: no such object
+    return graph.dangling(o, e.unionByName(broken)).select("parent_record_id", "child_record_id", "child_ordinal")
 
 
 @query("agg_counts", "SELECT (SELECT count(*) FROM packages) AS packages, (SELECT count(*) FROM sources) AS sources, (SELECT count(*) FROM cityobjects) AS objects, (SELECT count(*) FROM relationships) AS relationships", "packages", "sources", "cityobjects", "relationships")
@@ -383,15 +385,43 @@ def _(s, d):
     return bounds.mean_coordinates(geometry.gathered(b, whole, ["geometry_id"], "record_id"), "geometry_id").select("geometry_id", "n", F.col("x").alias("ix"), F.col("z").alias("iz"))
 
 
-@query("prj_rings", "SELECT package_id, f::INT AS surface_ordinal, f::INT AS ring_ordinal, 4 AS n FROM range(500) p(package_id), range(6) q(f)")
+_QUADS = "SELECT concat('B', package_id) AS model_id, row_number() OVER (PARTITION BY package_id ORDER BY external_id) - 1 AS geometry_id, (row_number() OVER (PARTITION BY package_id ORDER BY record_id) - 1) * 4 AS first_vertex FROM cityobjects WHERE NOT is_root AND package_id IN (SELECT package_id FROM packages)"
+
+
+def _rings(s, d):
+    return geometry.rings(canonical(_features(s, d)[1])["geometry_boundaries"], ["model_id", "geometry_id"])
+
+
+@query("prj_rings", f"SELECT model_id, geometry_id, 0 AS surface_ordinal, 0 AS ring_ordinal, first_vertex, 4 AS n FROM ({_QUADS}) q", "cityobjects", "packages")
 def _(s, d):
-    return geometry.rings(generate.buildings(s, 500)["boundaries"], ["package_id"]).select("package_id", "surface_ordinal", "ring_ordinal", F.size("ring").alias("n"))
+    return _rings(s, d).select("model_id", "geometry_id", "surface_ordinal", "ring_ordinal", F.col("ring")[0].alias("first_vertex"), F.size("ring").alias("n"))
+
+
+@query("prj_triangles", f"SELECT model_id, geometry_id, 0 AS surface_ordinal, t AS triangle, concat_ws(',', first_vertex, first_vertex + t + 1, first_vertex + t + 2) AS corners FROM ({_QUADS}) q, (VALUES (0), (1)) v(t)", "cityobjects", "packages")
+def _(s, d):
+    return geometry.triangles(_rings(s, d), ["model_id", "geometry_id"]).select("model_id", "geometry_id", "surface_ordinal", "triangle", F.array_join(F.col("corners").cast("array<string>"), ",").alias("corners"))
+
+
+def _mixed(s, d):
+    """Attributes whose members are quoted numbers and booleans, plain ones, lists, maps and nulls, and of a type that changes by row."""
+    e, k = city(s, d, "attributes"), F.col("object_id").cast("string")
+    text = F.concat(F.lit('{"zip":"0'), k, F.lit('","flag":"true","on":'), F.when(F.col("object_id") % 2 == 0, "true").otherwise("false"), F.lit(',"n":'), k, F.lit(',"low":-'), k, F.lit(',"part":'), k, F.lit('.5,"l":[1],"m":{"a":1},"none":null,"either":'), F.when(F.col("object_id") % 2 == 0, k).otherwise(F.concat(F.lit('"'), k, F.lit('"'))), F.lit("}"))
+    return e.select("object_id", "family", text.alias("props"))
 
 
-@query("prj_triangles", "SELECT package_id, f::INT AS surface_ordinal, t::INT AS triangle FROM range(500) p(package_id), range(6) q(f), range(2) r(t)")
+@query("prj_discover_mixed", "SELECT family, name, type FROM (SELECT DISTINCT family FROM attributes) f, (VALUES ('zip', 'string'), ('flag', 'string'), ('on', 'boolean'), ('n', 'unsigned'), ('low', 'integer'), ('part', 'float'), ('l', 'list'), ('m', 'map'), ('none', 'null')) t(name, type) UNION ALL SELECT family, 'either', CASE WHEN count(DISTINCT object_id % 2) = 2 THEN 'string' WHEN min(object_id % 2) = 0 THEN 'unsigned' ELSE 'string' END FROM attributes GROUP BY family", "attributes")
 def _(s, d):
-    r = geometry.rings(generate.buildings(s, 500)["boundaries"], ["package_id"])
-    return geometry.triangles(r, ["package_id"]).select("package_id", "surface_ordinal", "triangle")
+    return attributes.discover(_mixed(s, d), "family", "props")
+
+
+@query("prj_project_mixed", "SELECT object_id, '0' || object_id AS zip, 'true' AS flag, CASE WHEN object_id % 2 = 0 THEN object_id ELSE -1 END AS either, object_id + 0.5::DOUBLE AS part, object_id % 2 = 0 AS \"on\" FROM attributes", "attributes")
+def _(s, d):
+    return attributes.project(_mixed(s, d), "props", {"zip": "string", "flag": "string", "either": "unsigned", "part": "float", "on": "boolean"}).select("object_id", "zip", "flag", F.coalesce("either", F.lit(-1)).alias("either"), "part", "on")  # quoted: null, shown as -1
+
+
+@query("prj_string_column", "SELECT object_id, '0' || object_id AS value FROM attributes", "attributes")
+def _(s, d):
+    return attributes.column(_mixed(s, d), "object_id", "props", "zip", "string")
 
 
 @query("val_violations", "SELECT 'lod' AS \"check\", cast(geometry_id AS VARCHAR) AS key, '9' AS detail FROM geometries WHERE geometry_id % 1000 = 11 UNION ALL SELECT 'child', '-99999999', '70'", "geometries")
@@ -451,6 +481,21 @@ def _(s, d):
     return model_json.vertices(_features(s, d)[1]).select("model_id", F.col("vertex_id").cast("long").alias("vertex_id"), "x", "z")
 
 
+@query("src_nearest_metadata", "SELECT concat('B', package_id) AS model_id, row_number() OVER (PARTITION BY package_id ORDER BY record_id, vertex_id) - 1 AS vertex_id, CASE WHEN package_id % 2 = 0 THEN ix * cast(0.001 AS double) + cast(1000 AS double) ELSE ix * cast(0.5 AS double) + cast(7 AS double) END AS x FROM vertices JOIN packages USING (package_id)", "vertices", "packages")
+def _(s, d):
+    path = shared(s, "nested")
+    feature_files(s, d, path)  # the header on top
+    lines = s.read.text(f"{path}/features")
+    odd = F.substring(F.get_json_object("value", "$.id"), 2, 20).cast("long") % 2 == 1
+    nested = shared(s, "nested")
+    lines.where(~odd).write.text(f"{nested}/features/even")
+    lines.where(odd).write.text(f"{nested}/features/odd/deeper")
+    s.read.text(f"{path}/metadata.json").coalesce(1).write.text(f"{nested}/metadata.json")
+    other = '{"type":"CityJSON","version":"2.0","transform":{"scale":[0.5,0.5,0.5],"translate":[7.0,0.0,0.0]},"CityObjects":{},"vertices":[]}'
+    model_json.write_text_file(s, f"{nested}/features/odd/metadata.json", other)
+    return model_json.vertices(model_json.read_feature_files(s, nested)).select("model_id", F.col("vertex_id").cast("long").alias("vertex_id"), "x")
+
+
 @query("src_probe", "SELECT 'CityJSONFeature' AS type, CAST(NULL AS VARCHAR) AS version, count(*) AS n FROM packages", "packages")
 def _(s, d):
     return _features(s, d)[1].select(model_json.probe(F.col("raw")).alias("p")).groupBy("p.type", "p.version").agg(F.count("*").alias("n"))

@@ -10,8 +10,15 @@ _JOIN = {("float", "integer"): "float", ("float", "unsigned"): "float", ("intege
 
 
 def pairs(df: DataFrame, key: str, json: str) -> DataFrame:
-    """(key, name, raw) for each top-level member of a JSON object; raw: its JSON text, the string itself for strings."""
-    return df.select(key, F.explode_outer(F.from_json(json, "map<string,string>")).alias("name", "raw")).where("name IS NOT NULL")
+    """(key, name, raw, quoted) for each top-level member of a JSON object; raw: its JSON text, the string itself for strings, which are ``quoted``."""
+    typed = F.from_json(json, "map<string, variant>")
+    each = df.select(key, F.explode_outer(F.from_json(json, "map<string,string>")).alias("name", "raw"), typed.alias("typed")).where("name IS NOT NULL")
+    return each.select(key, "name", "raw", F.coalesce(F.schema_of_variant(F.col("typed")[F.col("name")]) == "STRING", F.lit(False)).alias("quoted"))
+
+
+def member(json: str, name: str) -> tuple[Column, Column]:
+    """(raw, quoted) of one member; a name may hold any character."""
+    return F.from_json(json, "map<string,string>")[name], F.coalesce(F.schema_of_variant(F.from_json(json, "map<string, variant>")[name]) == "STRING", F.lit(False))
 
 
 def kind(raw: Column, text: Column | None = None) -> Column:
@@ -33,10 +40,10 @@ def keys(df: DataFrame, json: str) -> DataFrame:
 
 def column(df: DataFrame, key: str, json: str, name: str, wanted: str) -> DataFrame:
     """(key, value) where the member is exactly of the type: ``integer`` leaves out unsigned ones, ``number`` takes all."""
-    raw = F.get_json_object(json, f"$.{name}")
+    raw, quoted = member(json, name)
     types = {"number": ["unsigned", "integer", "float"]}.get(wanted, [wanted])
     cast = {"float": "double", "number": "double", "integer": "bigint", "unsigned": "bigint", "boolean": "boolean"}.get(wanted, "string")
-    return df.select(key, raw.alias("raw")).where(kind(F.col("raw")).isin(*types)).select(key, F.col("raw").cast(cast).alias("value"))
+    return df.select(key, raw.alias("raw"), quoted.alias("quoted")).where(kind(F.col("raw"), F.col("quoted")).isin(*types)).select(key, F.col("raw").cast(cast).alias("value"))
 
 
 def discover(df: DataFrame, family: str, json: str) -> DataFrame:
@@ -44,7 +51,7 @@ def discover(df: DataFrame, family: str, json: str) -> DataFrame:
 
     Counting kinds is one aggregation with map-side combining; the join of at most eight kinds is a fold.
     """
-    found = pairs(df, family, json).select(family, "name", kind(F.col("raw")).alias("kind")).groupBy(family, "name").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    found = pairs(df, family, json).select(family, "name", kind(F.col("raw"), F.col("quoted")).alias("kind")).groupBy(family, "name").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
     known = F.filter("kinds", lambda k: k != "null")
 
     def join(a: Column, b: Column) -> Column:
@@ -58,9 +65,13 @@ def discover(df: DataFrame, family: str, json: str) -> DataFrame:
 
 
 def project(df: DataFrame, json: str, spec: dict[str, str]) -> DataFrame:
-    """A column for each (name, type) of a spec, sorted by name; text for what is no number or boolean."""
+    """A column for each (name, type) of a spec, sorted by name; text for what is no number or boolean.
+
+    A quoted value is no number or boolean, so it is null in a column of such a type.
+    """
     to = {"unsigned": "bigint", "integer": "bigint", "float": "double", "boolean": "boolean"}
-    return df.withColumns({name: F.get_json_object(json, f"$.{name}").cast(to.get(t, "string")) for name, t in sorted(spec.items())})
+    raw = {name: member(json, name) for name in sorted(spec)}
+    return df.withColumns({name: (F.when(~quoted, text.try_cast(to[spec[name]])) if spec[name] in to else text) for name, (text, quoted) in raw.items()})
 
 
 def deproject(df: DataFrame, names: list[str]) -> Column:

@@ -1,12 +1,12 @@
 """Models read from JSON as the canonical tables.
 
-Ids that are dense within a model (object index, geometry id) come from the sorted ids of that one model: arrays of a
-model's own row, so nothing is numbered across models and no global sort is needed.
+Ids that are dense within a model (object index, geometry id) are row numbers and running sums over that model's rows, so
+nothing is numbered across models and no global sort is needed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urbanframe.operators.geometry import flattened, rings
@@ -37,18 +37,16 @@ def _member(path: str) -> Column:
 def _geometries(o: DataFrame) -> DataFrame:
     """All geometries of ``objects`` with dense ids in order of object id and ordinal."""
     g = o.withColumn("gs", F.from_json("geometry", _GEOMETRY)).where(F.size("gs") > 0)
-    firsts = g.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("cityobject_ix", F.size("gs").alias("n")))).alias("all"))
-    start = F.aggregate(F.filter("all", lambda a: a.cityobject_ix < F.col("cityobject_ix")), F.lit(0), lambda s, a: s + a.n)
-    g = g.join(firsts, "model_id").withColumn("start", start)
+    before = Window.partitionBy("model_id").orderBy("cityobject_ix").rowsBetween(Window.unboundedPreceding, -1)
+    g = g.withColumn("start", F.coalesce(F.sum(F.size("gs")).over(before), F.lit(0)))
     g = g.select("model_id", "cityobject_ix", "start", F.posexplode("gs").alias("geometry_ordinal", "g"))
     return g.select("model_id", (F.col("start") + F.col("geometry_ordinal")).alias("geometry_id"), "cityobject_ix", "geometry_ordinal", F.col("g.type").alias("geometry_type"), "g.*")
 
 
 def objects(models: DataFrame) -> DataFrame:
     """Objects with a dense index by id within the model."""
-    o = model_json.objects(models)
-    ids = models.select("model_id", F.array_sort(F.map_keys("root.CityObjects")).alias("ids"))
-    return o.join(ids, "model_id").withColumn("cityobject_ix", F.array_position("ids", F.col("external_id")) - 1)
+    place = F.row_number().over(Window.partitionBy("model_id").orderBy("external_id"))
+    return model_json.objects(models).withColumn("cityobject_ix", (place - 1).cast("long"))
 
 
 def boundaries(geometries: DataFrame, key: str) -> DataFrame:
@@ -114,7 +112,8 @@ def canonical(models: DataFrame, once: bool = False) -> dict[str, DataFrame]:
     meta = models.select("model_id", F.col("root.type").alias("kind"), F.col("root.version").alias("version"), F.col("root.id").alias("feature_root_id"), F.coalesce(_member("metadata"), "root.metadata").alias("m"), _member("appearance.default-theme-material").alias("default_material_theme"), _member("appearance.default-theme-texture").alias("default_texture_theme"))
     of = lambda key: F.get_json_object("m", f"$.{key}")
     meta = meta.withColumns({"identifier": of("identifier"), "title": of("title"), "reference_system": of("referenceSystem"), "reference_date": of("referenceDate"), "point_of_contact": of("pointOfContact"), "geographical_extent": F.from_json(of("geographicalExtent"), "array<double>")})
-    children = o.select("model_id", "ids", F.col("cityobject_ix").alias("parent_cityobject_ix"), F.posexplode("children").alias("child_ordinal", "child"))
+    children = o.select("model_id", F.col("cityobject_ix").alias("parent_cityobject_ix"), F.posexplode("children").alias("child_ordinal", "child"))
+    named = o.select("model_id", F.col("external_id").alias("child"), F.col("cityobject_ix").alias("child_cityobject_ix"))
     tg = models.select("model_id", F.posexplode(F.from_json(_member("geometry-templates.templates"), _GEOMETRY)).alias("template_geometry_id", "x")).select("model_id", "template_geometry_id", F.col("x.type").alias("geometry_type"), "x.lod", "x.boundaries", "x.semantics", "x.material", "x.texture")
     semantics, mapped = _semantics(g, "geometry_id", lambda k: F.col("geometry_id") * STRIDE + k)
     t_semantics, t_mapped = _semantics(tg, "template_geometry_id", lambda k: -1 - (F.col("template_geometry_id") * STRIDE + k))
@@ -129,7 +128,7 @@ def canonical(models: DataFrame, once: bool = False) -> dict[str, DataFrame]:
     found = {
         "metadata": meta, "extensions": extensions, "vertices": model_json.vertices(models), "materials": materials, "textures": textures, "texture_vertices": uv, "template_vertices": tv, "template_geometries": tg,
         "cityobjects": o.withColumnsRenamed({"external_id": "cityobject_id", "cityobject_type": "object_type"}),
-        "cityobject_children": children.withColumn("child_cityobject_ix", F.array_position("ids", F.col("child")) - 1).where("child_cityobject_ix >= 0"),
+        "cityobject_children": children.join(named, ["model_id", "child"]),
         "geometries": g.where("geometry_type <> 'GeometryInstance'"), "geometry_boundaries": shapes, "geometry_instances": instances, "template_geometry_boundaries": t_shapes,
         "semantics": all_semantics,
         "semantic_children": all_semantics.select("model_id", F.col("semantic_id").alias("parent_semantic_id"), F.posexplode("child_ids").alias("child_ordinal", "child_semantic_id")),

@@ -1,18 +1,19 @@
 """Readers and writers of JSON city models: whole documents, JSON-lines streams and directories of features.
 
-A file's objects become rows with JSON parsed into VARIANT, so that unknown members survive; coordinates are
-de-quantised with the root's transform.
+Unknown members of objects are kept as JSON text in ``extra``; coordinates are de-quantised with the root's transform.
 """
 
 from __future__ import annotations
 
 import json
 
+from pyspark.errors import PySparkValueError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOT = "type string, version string, id string, transform struct<scale: array<double>, translate: array<double>>, metadata string, vertices array<array<bigint>>, CityObjects map<string, string>"
-_OBJECT = "type string, parents array<string>, children array<string>, attributes string, geometry string"
+_OBJECT = "type string, parents array<string>, children array<string>, attributes string, geometry string, geographicalExtent array<double>"
+_MEMBERS = ("type", "parents", "children", "attributes", "geometry", "geographicalExtent")
 _GEOMETRY = "array<struct<type: string, lod: string, boundaries: string, semantics: string>>"
 
 
@@ -35,15 +36,34 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return df.select("model_id", F.when(good, F.col("root")).otherwise(F.raise_error(F.concat(F.lit("not a 2.x document: "), "model_id"))).alias("root"), "raw")
 
 
+def _stream_problem(lines: DataFrame) -> str | None:
+    """What is wrong with the streams, by file, or None: one aggregation over all lines."""
+    kind, version = F.col("root.type"), F.coalesce("root.version", F.lit(""))
+    at = F.struct("block", "line")
+    files = lines.groupBy("file").agg(
+        F.min_by(F.coalesce(kind, F.lit("")), at).alias("first"), F.count_if(kind == "CityJSON").alias("heads"), F.count_if((kind == "CityJSON") & ~version.startswith("2.")).alias("old"),
+        F.min(F.when(kind.isNull() | ~kind.isin("CityJSON", "CityJSONFeature"), F.substring("raw", 1, 80))).alias("bad"), F.count_if((kind == "CityJSONFeature") & F.col("root.id").isNull()).alias("nameless"),
+    )
+    what = (
+        F.when(F.col("bad").isNotNull(), F.concat(F.lit("neither header nor feature: "), "bad")).when(F.col("heads") == 0, "no header").when(F.col("heads") > 1, "two headers")
+        .when(F.col("first") != "CityJSON", "the header is not the first line").when(F.col("old") > 0, "the header is not of version 2").when(F.col("nameless") > 0, "a feature without id")
+    )
+    found = files.select("file", what.alias("what")).where("what IS NOT NULL").orderBy("file").first()
+    return f"{found['file']}: {found['what']}" if found else None
+
+
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
     """(model_id, root, raw): a row a feature of JSON-lines files whose header line is joined to each of its features.
 
-    Blank lines are skipped.  An object id in two features of a file is an error, found by one aggregation.
+    Blank lines are skipped.  All lines are read once to check them: a file whose first line is no 2.x header, a second header,
+    a line that is neither header nor feature, and a feature without id are errors (ValueError), and so is, when
+    the rows are read, an object id in two features of a file.
     """
-    lines = spark.read.text(path).withColumn("file", F.input_file_name()).where(F.trim("value") != "")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")).where(F.trim("value") != "")
     lines = parsed_root(lines)
-    heads = lines.where("root.type = 'CityJSON'").groupBy("file").agg(F.count("*").alias("n"), F.first("root.transform").alias("t"), F.first("root.metadata").alias("m"))
-    heads = heads.select("file", F.when(F.col("n") == 1, F.col("t")).otherwise(F.raise_error(F.concat(F.lit("two headers in "), "file"))).alias("t"), "m")
+    if problem := _stream_problem(lines):
+        raise PySparkValueError(problem)
+    heads = lines.where("root.type = 'CityJSON'").select("file", F.col("root.transform").alias("t"), F.col("root.metadata").alias("m"))
     features = lines.where("root.type = 'CityJSONFeature'").join(heads, "file")
     ids = features.select("file", F.explode(F.map_keys("root.CityObjects")).alias("id")).groupBy("file", "id").count().where("count > 1").groupBy("file").agg(F.min("id").alias("twice"))
     features = features.join(ids, "file", "left")
@@ -51,19 +71,43 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
     return features.select(F.when(F.col("twice").isNull(), F.col("root.id")).otherwise(F.raise_error(F.concat(F.lit("id twice: "), "twice"))).alias("model_id"), root.alias("root"), "raw")
 
 
+_HEAD = "/metadata.json"
+
+
+def _headers(spark: SparkSession, directory: str) -> DataFrame:
+    """(folder, h): the header of each metadata.json below ``directory``; the topmost may be a folder of one part, as Spark writes it."""
+    read = lambda path: spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("path"))
+    heads = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "metadata.json").text(directory, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    top = spark._jvm.org.apache.hadoop.fs.Path(directory + _HEAD)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(top) and fs.getFileStatus(top).isDirectory():
+        heads = heads.unionByName(read(directory + _HEAD))
+    return heads.select(F.regexp_replace("path", "/metadata\\.json(/[^/]*)?$", "").alias("folder"), F.from_json("value", _ROOT).alias("h"))
+
+
 def read_feature_files(spark: SparkSession, directory: str) -> DataFrame:
-    """Features below ``directory``/features under the header in its metadata.json."""
-    head = spark.read.text(f"{directory}/metadata.json", wholetext=True).select(F.from_json("value", _ROOT).alias("h"))
-    lines = parsed_root(spark.read.option("recursiveFileLookup", "true").text(f"{directory}/features").where(F.trim("value") != ""))
-    both = lines.crossJoin(F.broadcast(head))  # one header row
+    """Features below ``directory``, each under the header of the metadata.json of its nearest folder upwards.
+
+    A file without any header, and a header that is not of version 2, are errors when its rows are read; two headers of one folder are a ValueError.
+    """
+    heads = _headers(spark, directory)
+    if twice := heads.groupBy("folder").count().where("count > 1").first():
+        raise PySparkValueError(f"two headers in {twice['folder']}")
+    lines = spark.read.option("recursiveFileLookup", "true").text(directory).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "").where(~F.col("file").rlike("/metadata\\.json(/[^/]*)?$"))
+    parts = F.split("file", "/")
+    above = lines.select("file").distinct().select("file", F.explode(F.sequence(F.lit(1), F.size(parts) - 1)).alias("levels")).select("file", "levels", F.array_join(F.slice(F.split("file", "/"), F.lit(1), F.col("levels")), "/").alias("folder"))
+    nearest = above.join(heads, "folder").groupBy("file").agg(F.max_by("h", "levels").alias("h"))
+    both = parsed_root(lines).join(nearest, "file", "left")
+    sound = F.when(F.col("h").isNull(), F.raise_error(F.concat(F.lit("no metadata.json above "), "file"))).when(~F.coalesce(F.col("h.version"), F.lit("")).startswith("2."), F.raise_error(F.concat(F.lit("the header is not of version 2: "), "file"))).otherwise(F.col("root.id"))
     root = F.col("root").withField("transform", F.col("h.transform")).withField("metadata", F.coalesce("root.metadata", "h.metadata"))
-    return both.select(F.col("root.id").alias("model_id"), root.alias("root"), "raw")
+    return both.select(sound.alias("model_id"), root.alias("root"), "raw")
 
 
 def objects(models: DataFrame) -> DataFrame:
-    """(model_id, external_id, cityobject_type, parents, children, attributes, geometry) in id order within a model."""
+    """(model_id, external_id, cityobject_type, parents, children, attributes, geometry, geographical_extent, extra); extra: the members not listed, as JSON, or null."""
     o = models.select("model_id", F.explode("root.CityObjects").alias("external_id", "json")).withColumn("o", F.from_json("json", _OBJECT))
-    return o.select("model_id", "external_id", F.col("o.type").alias("cityobject_type"), "o.parents", "o.children", "o.attributes", "o.geometry")
+    rest = F.map_filter(F.from_json("json", "map<string, variant>"), lambda k, v: ~k.isin(*_MEMBERS))
+    return o.select("model_id", "external_id", F.col("o.type").alias("cityobject_type"), "o.parents", "o.children", "o.attributes", "o.geometry", F.col("o.geographicalExtent").alias("geographical_extent"), F.when(F.size(rest) > 0, F.to_json(rest)).alias("extra"))
 
 
 def relationships(objs: DataFrame) -> DataFrame:
@@ -156,6 +200,14 @@ def write_stream(spark: SparkSession, objs: DataFrame, verts: DataFrame, transfo
     return head
 
 
+def write_text_file(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, such as a header, by the file system that the path names."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
     """A dataset: a Parquet directory a table."""
     for name, df in tables.items():
