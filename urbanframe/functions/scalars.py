@@ -105,3 +105,18 @@ def offsets_consistent(offsets: Column, total: Column) -> Column:
     """They start at 0, never fall, and stay within the child."""
     rising = F.forall(F.zip_with(offsets, F.slice(offsets, 2, F.size(offsets)), lambda a, b: b.isNull() | (a <= b)), lambda ok: ok)
     return (F.size(offsets) > 0) & (F.element_at(offsets, 1) == 0) & rising & (F.element_at(offsets, -1) <= total)
+
+
+def _nested(indices: Column, depth: int, each) -> Column:
+    """``each`` of every number of arrays nested ``depth`` deep."""
+    return each(indices) if depth == 0 else F.transform(indices, lambda x: _nested(x, depth - 1, each))
+
+
+def shifted(indices: Column, by: Column, depth: int = 1) -> Column:
+    """Indices of arrays nested ``depth`` deep, each moved by ``by``; null stays null."""
+    return _nested(indices, depth, lambda v: v + by)
+
+
+def remapped(indices: Column, new: Column, depth: int = 1) -> Column:
+    """Indices of arrays nested ``depth`` deep, each looked up in the map ``new``; null stays null, one that is not there is an error."""
+    return _nested(indices, depth, lambda v: F.when(v.isNull(), v).otherwise(F.coalesce(F.try_element_at(new, v), F.raise_error(F.concat(F.lit("no new index for "), v.cast("string"))).cast("bigint"))))

@@ -20,8 +20,13 @@ NESTING = {
 
 
 def _starts(lists: Column) -> Column:
+    """Where each list starts in the flattened one: sums before each chunk of about the root of their number, then sums within the chunk."""
     sizes = F.transform(lists, lambda x: F.size(x))
-    return F.transform(F.sequence(F.lit(0), F.size(lists) - 1), lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, b: a + b))
+    summed = lambda start, n: F.aggregate(F.slice(sizes, start + 1, n), F.lit(0), lambda a, b: a + b)
+    step = F.ceil(F.sqrt(F.size(lists))).cast("int")
+    firsts = F.transform(F.sequence(F.lit(0), F.floor((F.size(lists) - 1) / step).cast("int")), lambda c: summed(F.lit(0), c * step))
+    bound = F.transform(F.array(F.struct(firsts.alias("f"), step.alias("s"))), lambda e: F.transform(F.sequence(F.lit(0), F.size(lists) - 1), lambda i: e.f[F.floor(i / e.s).cast("int")] + summed(i - i % e.s, i % e.s)))
+    return bound[0]
 
 
 def flattened(nested: Column, kind: str) -> dict[str, Column]:
