@@ -19,14 +19,18 @@ NESTING = {
 }
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: in lambdas, an expression from outside is computed again for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _starts(lists: Column) -> Column:
     """Where each list starts in the flattened one: sums before each chunk of about the root of their number, then sums within the chunk."""
-    sizes = F.transform(lists, lambda x: F.size(x))
-    summed = lambda start, n: F.aggregate(F.slice(sizes, start + 1, n), F.lit(0), lambda a, b: a + b)
-    step = F.ceil(F.sqrt(F.size(lists))).cast("int")
-    firsts = F.transform(F.sequence(F.lit(0), F.floor((F.size(lists) - 1) / step).cast("int")), lambda c: summed(F.lit(0), c * step))
-    bound = F.transform(F.array(F.struct(firsts.alias("f"), step.alias("s"))), lambda e: F.transform(F.sequence(F.lit(0), F.size(lists) - 1), lambda i: e.f[F.floor(i / e.s).cast("int")] + summed(i - i % e.s, i % e.s)))
-    return bound[0]
+    summed = lambda z, start, n: F.aggregate(F.slice(z, start + 1, n), F.lit(0), lambda a, b: a + b)
+    step = lambda z: F.ceil(F.sqrt(F.size(z))).cast("int")
+    firsts = lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / step(z)).cast("int")), lambda c: summed(z, F.lit(0), c * step(z)))
+    each = lambda e: F.transform(F.sequence(F.lit(0), F.size(e.z) - 1), lambda i: e.f[F.floor(i / e.s).cast("int")] + summed(e.z, i - i % e.s, i % e.s))
+    return _let(F.transform(lists, lambda x: F.size(x)), lambda z: _let(F.struct(z.alias("z"), firsts(z).alias("f"), step(z).alias("s")), each))
 
 
 def flattened(nested: Column, kind: str) -> dict[str, Column]:

@@ -4,30 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from urbanframe.plans.lineage import cut
+from urbanframe.plans.lineage import cut, shared
 
 
 def closure(spark: SparkSession, edges: DataFrame, seeds: DataFrame, both: bool = False, limit: int = 10_000) -> DataFrame:
     """(record_id, level): the seeds at level 0 and all they lead to, each at its first level.
 
     edges: (parent_record_id, child_record_id); both: parents are followed too.  Each round joins the frontier with the
-    edges and drops what was seen; rounds are written out, so the plan stays short.  More than ``limit`` levels is an error.
+    edges and drops what was seen; a round writes its frontier alone, and what was seen is one scan of the folder of all
+    of them.  More than ``limit`` levels is an error.
     """
     e = edges.select(F.col("parent_record_id").alias("a"), F.col("child_record_id").alias("b"))
     if both:
         e = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    level = 0
-    front = cut(spark, seeds.select("record_id").distinct())
-    seen = front.withColumn("level", F.lit(0))
+    start = seeds.select("record_id").distinct()
+    path = shared(spark, "closure")
+    schema = StructType([start.schema[0], StructField("level", IntegerType())])
+    front, level = start, 0
     while True:
+        front.write.parquet(f"{path}/level={level}")
+        front = spark.read.schema(start.schema).parquet(f"{path}/level={level}")
+        seen = spark.read.schema(schema).parquet(path)
+        if front.isEmpty():
+            return seen
         level += 1
         if level > limit:
             raise ValueError("the hierarchy is deeper than the limit")
-        front = cut(spark, front.join(e, F.col("record_id") == F.col("a")).select(F.col("b").alias("record_id")).distinct().join(seen.select("record_id"), "record_id", "left_anti"))
-        if front.isEmpty():
-            return seen
-        seen = cut(spark, seen.unionByName(front.withColumn("level", F.lit(level))))
+        front = front.join(e, F.col("record_id") == F.col("a")).select(F.col("b").alias("record_id")).distinct().join(seen.select("record_id"), "record_id", "left_anti")
 
 
 def descendants(spark: SparkSession, edges: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urbanframe.operators import bounds, graph
+from urbanframe.functions.scalars import BBox
+from urbanframe.operators import bounds, graph, lookup
+from urbanframe.plans.lineage import cut
 from urbanframe.sources import model_json
 
 TABLES = ("packages", "cityobjects", "relationships", "package_bbox")
@@ -34,6 +36,17 @@ def tables(models: DataFrame, all_vertices: bool = True) -> dict[str, DataFrame]
     return {"packages": packages, "cityobjects": objs.select("model_id", "external_id", "cityobject_type"), "relationships": rel, "package_bbox": box}
 
 
+def clustered(spark: SparkSession, box: DataFrame, key: str = "model_id") -> DataFrame:
+    """Bounds with their place on the Hilbert curve, in its order: files and row groups hold neighbours, so their min and max leave out most for a small window."""
+    box = cut(spark, box)  # the extent and the cells both need it
+    return box.join(bounds.hilbert_index(box, key).select(key, "hilbert"), key).repartitionByRange("hilbert").sortWithinPartitions("hilbert", key)
+
+
+def window(index: dict[str, DataFrame], at: BBox) -> DataFrame:
+    """Packages that meet the window, along the curve; the comparison reaches the scan of the stored bounds."""
+    return lookup.window_query(index["package_bbox"], at).orderBy("hilbert", "model_id")
+
+
 def build(spark: SparkSession, models: DataFrame, path: str) -> str:
     """Writes a new index and then its line in the manifest: until then, and if it fails, readers see the one before.
 
@@ -42,6 +55,8 @@ def build(spark: SparkSession, models: DataFrame, path: str) -> str:
     version = uuid.uuid4().hex
     made = tables(models)
     for name, df in made.items():
+        if name == "package_bbox":
+            df = clustered(spark, df)
         df.write.parquet(f"{path}/versions/{version}/{name}")
     back = {name: spark.read.parquet(f"{path}/versions/{version}/{name}") for name in made}
     ids = back["cityobjects"].select("model_id", F.col("external_id").alias("child_id"))

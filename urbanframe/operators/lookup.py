@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from urbanframe.functions.scalars import BBox, bbox_intersects
+from urbanframe.plans.lineage import cut
 
 
 def with_bbox(objects: DataFrame, bbox: DataFrame, key: str = "package_id") -> DataFrame:
@@ -61,6 +62,15 @@ def dense_ids(df: DataFrame, key: str, order: str, name: str) -> DataFrame:
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1).cast("long"))
 
 
+def record_ids(spark: SparkSession, df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """0 .. n-1 over the whole table in order: ranges are numbered apart and start after the sizes of those before (a row a partition, broadcast)."""
+    held = cut(spark, df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = held.groupBy("_part").count()
+    starts = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return held.withColumn("_place", place).join(F.broadcast(starts), "_part").select((F.col("_start") + F.col("_place")).alias(name), *df.columns)
+
+
 def status(indexed: DataFrame, on_disk: DataFrame) -> DataFrame:
     """(path, state): unindexed, missing, changed or fresh, from (path, size, mtime) on either side."""
     a = indexed.select("path", F.struct("size", "mtime").alias("was"))
