@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from urbanframe.functions import scalars
 from urbanframe.operators import attributes, bounds, geometry, graph, index, lod, lookup, merging, packages, selection, validate
+from urbanframe.plans import modules
 from urbanframe.plans.canonical import canonical
 from urbanframe.plans.derive import SCALE, TRANSLATE, city, feature_files, oracle
 from urbanframe.plans.lineage import shared
@@ -624,6 +625,28 @@ def _(s, d):
     return canonical(_features(s, d)[1])["cityobject_children"].select("model_id", "parent_cityobject_ix", "child_cityobject_ix")
 
 
+def _module_table(name: str) -> None:
+    @query(f"mod_{name}", modules.expected(name), "packages")
+    def _(s, d):
+        return modules.shown(name, canonical(modules.documents(s, d))[name])
+
+
+for _name in modules.EXPECTED:
+    _module_table(_name)
+
+
+@query("mod_instance_extents", "SELECT concat('R', package_id) AS model_id, 4 AS geometry_id, package_id + 2.5::DOUBLE AS min_x, package_id + 4.5::DOUBLE AS max_x, 12.5::DOUBLE AS min_y, 14.5::DOUBLE AS max_y, -2.5::DOUBLE AS min_z, -2.5::DOUBLE AS max_z FROM packages", "packages")
+def _(s, d):
+    return bounds.instance_extents(canonical(modules.documents(s, d)))
+
+
+@query("mod_merged_textures", "SELECT concat('M', package_id % 50) AS model_id, n * 5 AS geometry_id, surface_ordinal, n AS texture_id FROM (SELECT package_id, row_number() OVER (PARTITION BY package_id % 50 ORDER BY package_id) - 1 AS n FROM packages) p, (VALUES (0), (1)) t(surface_ordinal)", "packages")
+def _(s, d):
+    models, place = modules.documents(s, d), F.substring("model_id", 2, 20).cast("long")
+    into = models.select("model_id", F.concat(F.lit("M"), (place % 50).cast("string")).alias("into"), place.alias("place"))
+    return merging.merge(canonical(models, once=True), into)["geometry_ring_textures"].select("model_id", "geometry_id", "surface_ordinal", "texture_id")
+
+
 @query("stm_ingest", "SELECT concat('B', package_id) AS id FROM packages", "packages")
 def _(s, d):
     path, _models = _features(s, d)
