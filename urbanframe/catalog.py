@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from urbanframe.functions import scalars
-from urbanframe.operators import attributes, bounds, geometry, graph, index, lod, lookup, merging, packages, selection, validate
+from urbanframe.operators import attributes, bounds, geometry, graph, index, lod, lookup, merging, packages, selection, validate, views
 from urbanframe.plans import modules
 from urbanframe.plans.canonical import canonical
 from urbanframe.plans.derive import SCALE, TRANSLATE, city, feature_files, oracle
@@ -185,7 +185,10 @@ def _(s, d):
     return lod.highest(city(s, d, "geometries"))
 
 
-@query("agg_filter_report", f"WITH g AS ({_G}), k AS (SELECT * FROM g WHERE lod = '2.2') SELECT g.cityobject_type, count(DISTINCT g.record_id) AS available, array_to_string(list_sort(list(DISTINCT g.lod)), ',') AS lods, (SELECT count(DISTINCT record_id) FROM k WHERE k.cityobject_type = g.cityobject_type) AS retained, (SELECT count(*) FROM k WHERE k.cityobject_type = g.cityobject_type) AS retained_geometries FROM g GROUP BY g.cityobject_type".replace("WITH g AS", ", g AS"), "cityobjects", "geometries")
+_REPORT = f"WITH g AS ({_G}), k AS (SELECT * FROM g WHERE lod = '2.2') SELECT g.cityobject_type, count(DISTINCT g.record_id) AS available, array_to_string(list_sort(list(DISTINCT g.lod)), ',') AS lods, (SELECT count(DISTINCT record_id) FROM k WHERE k.cityobject_type = g.cityobject_type) AS retained, (SELECT count(*) FROM k WHERE k.cityobject_type = g.cityobject_type) AS retained_geometries FROM g GROUP BY g.cityobject_type".replace("WITH g AS", ", g AS")
+
+
+@query("agg_filter_report", _REPORT, "cityobjects", "geometries")
 def _(s, d):
     o, g, kept = _filtered(s, d, "2.2")
     return lod.report(g, o, kept)
@@ -647,6 +650,110 @@ def _(s, d):
     return merging.merge(canonical(models, once=True), into)["geometry_ring_textures"].select("model_id", "geometry_id", "surface_ordinal", "texture_id")
 
 
+@query("agg_reports_merged", _REPORT, "cityobjects", "geometries")
+def _(s, d):
+    o, g, kept = _filtered(s, d, "2.2")
+    half = lambda df, i: df.where(F.pmod(F.col("record_id"), F.lit(2)) == i)
+    return lod.merge_reports(*[lod.report(half(g, i), o, half(kept, i)) for i in (0, 1)])
+
+
+@query("wrk_exact_ids", f"SELECT record_id, external_id, (SELECT count(*) FROM geometries g WHERE g.record_id = o.record_id) AS n_geometries, (SELECT count(*) FROM relationships r JOIN cityobjects c ON c.record_id = r.child_record_id WHERE r.parent_record_id = o.record_id AND c.external_id IN ({_IDS})) AS n_children FROM cityobjects o WHERE external_id IN ({_IDS})", "cityobjects", "geometries", "relationships")
+def _(s, d):
+    o, g, e = city(s, d, "cityobjects", "geometries", "relationships")
+    o, g, e = selection.exact(o, g, e, IDS)
+    g, e = g.groupBy("record_id").agg(F.count("*").alias("n_geometries")), e.groupBy(F.col("parent_record_id").alias("record_id")).agg(F.count("*").alias("n_children"))
+    return o.select("record_id", "external_id").join(g, "record_id", "left").join(e, "record_id", "left").fillna(0)
+
+
+@query("srt_representatives", "SELECT place, package_id FROM (SELECT package_id, row_number() OVER (ORDER BY package_id) - 1 AS place, count(*) OVER () AS n FROM packages) t WHERE place IN (0, n // 2, n - 1)", "packages")
+def _(s, d):
+    return lookup.representatives(s, city(s, d, "packages").select("package_id"), ["package_id"])
+
+
+_LEFT = "record_id % 3 <> 0 AND package_id IS NOT NULL"
+
+
+@query("win_chosen_roots", f", s AS (SELECT * FROM cityobjects WHERE {_LEFT}), f AS (SELECT * FROM s WHERE record_id NOT IN (SELECT child_record_id FROM relationships WHERE parent_record_id IN (SELECT record_id FROM s))) SELECT package_id, arg_min(record_id, CASE WHEN is_root THEN -1 ELSE ordinal END) AS record_id FROM f GROUP BY package_id", "cityobjects", "relationships")
+def _(s, d):
+    o, e = city(s, d, "cityobjects", "relationships")
+    return graph.chosen_roots(o.where(_LEFT), e)
+
+
+@query("idx_state", "SELECT concat('R', package_id) AS path, CASE package_id % 20 WHEN 0 THEN 'missing' WHEN 1 THEN 'changed' WHEN 2 THEN 'unindexed' ELSE 'fresh' END AS state FROM packages", "packages")
+def _(s, d):
+    models, place = modules.documents(s, d), F.substring("model_id", 2, 20).cast("long") % 20
+    now = models.where(place != 0).withColumn("raw", F.when(place == 1, F.concat("raw", F.lit(" "))).otherwise(F.col("raw")))
+    return index.state({"sources": index.fingerprints(models.where(place != 2))}, now)
+
+
+def _place() -> Column:
+    """The package's key in a model's id."""
+    return F.substring("model_id", 2, 20).cast("long")
+
+
+@query("mod_resolved", "SELECT concat('R', package_id) AS model_id, t.* FROM packages, (VALUES (0, 'Solid', '2.2', 15, false, -9), (1, 'MultiPoint', NULL, 2, false, -9), (2, 'MultiLineString', '0', 5, false, -9), (3, 'MultiSolid', '3', 6, false, -9), (4, 'MultiSurface', '1', 3, true, 5)) t(geometry_id, geometry_type, lod, n, from_template, anchor)", "packages")
+def _(s, d):
+    found = views.resolved(canonical(modules.documents(s, d)))
+    return found.select("model_id", "geometry_id", "geometry_type", "lod", F.size("vertex_indices").alias("n"), "from_template", F.coalesce("reference_point_vertex_id", F.lit(-9)).alias("anchor"))
+
+
+@query("mod_themes", "SELECT concat('R', package_id) AS model_id, t.* FROM packages, (VALUES ('material', 'm'), ('material', 'n'), ('texture', 'm')) t(kind, theme)", "packages")
+def _(s, d):
+    return views.themes(canonical(modules.documents(s, d)))
+
+
+@query("mod_default_themes", "SELECT concat('R', package_id) AS model_id, 'material' AS kind, CASE package_id % 10 WHEN 0 THEN 'x' ELSE 'm' END AS theme, package_id % 10 <> 0 AS known FROM packages UNION ALL SELECT concat('R', package_id), 'texture', 'n', false FROM packages WHERE package_id % 10 = 1", "packages")
+def _(s, d):
+    made = canonical(modules.documents(s, d))
+    planted = {"default_material_theme": F.when(_place() % 10 == 0, F.lit("x")).otherwise(F.col("default_material_theme")), "default_texture_theme": F.when(_place() % 10 == 1, F.lit("n"))}
+    return views.default_themes(made | {"metadata": made["metadata"].withColumns(planted)})
+
+
+def _sizes(tables: dict[str, DataFrame], *names: str) -> DataFrame:
+    """Rows of each named table by model; none where a model has no row."""
+    out = None
+    for name in names:
+        n = tables[name].groupBy("model_id").agg(F.count("*").alias("n")).select("model_id", F.lit(name).alias("name"), "n")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+_CLEANED = "('geometries', 4, 0), ('geometry_instances', 1, 0), ('geometry_boundaries', 4, 0), ('semantics', 5, 1), ('semantic_children', 1, 0), ('geometry_surface_materials', 4, 0), ('geometry_ring_textures', 2, 0), ('cityobject_children', 1, 0), ('vertices', 8, 8), ('materials', 2, 2)"
+
+
+@query("mod_cleaned", f"SELECT concat('R', package_id) AS model_id, name, CASE WHEN package_id % 10 = 0 THEN b ELSE a END AS n FROM packages, (VALUES {_CLEANED}) t(name, a, b) WHERE CASE WHEN package_id % 10 = 0 THEN b ELSE a END > 0", "packages")
+def _(s, d):
+    made = canonical(modules.documents(s, d), once=True)
+    made["cityobjects"] = made["cityobjects"].where(~((_place() % 10 == 0) & (F.col("cityobject_ix") == 0)))  # planted: the object that has all geometry is gone
+    return _sizes(views.cleaned(made), *[t.split("'")[1] for t in _CLEANED.split("), (")])
+
+
+@query("mod_replaced", "SELECT concat('R', package_id) AS model_id, t.geometry_id, CASE WHEN package_id % 2 = 0 AND t.geometry_id = 0 THEN 'MultiSurface' ELSE t.geometry_type END AS geometry_type, CASE WHEN package_id % 2 = 0 AND t.geometry_id = 0 THEN 4 ELSE n END AS n, CASE WHEN package_id % 2 = 0 AND t.geometry_id = 0 THEN 0 ELSE m END AS materials FROM packages, (VALUES (0, 'Solid', 15, 2), (1, 'MultiPoint', 2, 0), (2, 'MultiLineString', 5, 0), (3, 'MultiSolid', 6, 2)) t(geometry_id, geometry_type, n, m)", "packages")
+def _(s, d):
+    made = canonical(modules.documents(s, d), once=True)
+    lists = {"vertex_indices": "array(4L, 5L, 6L, 7L)", "ring_offsets": "array(0L)", "surface_offsets": "array(0L)"}
+    new = made["geometries"].where((_place() % 2 == 0) & (F.col("geometry_id") == 0)).select("model_id", "geometry_id", F.lit("MultiSurface").alias("geometry_type"), F.lit("1").alias("lod"), *[F.expr(lists.get(c, "CAST(NULL AS array<bigint>)")).alias(c) for c in made["geometry_boundaries"].columns if c.endswith(("indices", "offsets"))])
+    made = views.replaced(made, new)
+    m = made["geometry_surface_materials"].groupBy("model_id", "geometry_id").agg(F.count("*").alias("materials"))
+    found = made["geometries"].join(made["geometry_boundaries"], ["model_id", "geometry_id"]).join(m, ["model_id", "geometry_id"], "left")
+    return found.select("model_id", "geometry_id", "geometry_type", F.size("vertex_indices").alias("n"), F.coalesce("materials", F.lit(0)).alias("materials"))
+
+
+@query("mod_extents", "SELECT concat('R', package_id) AS model_id, package_id - CASE WHEN package_id % 3 = 0 THEN 2 ELSE 0 END::DOUBLE AS min_x, package_id + 3.5::DOUBLE AS max_x, 0::DOUBLE AS min_y, CASE WHEN package_id % 3 = 0 THEN 99 ELSE 24.5 END::DOUBLE AS max_y, -3.5::DOUBLE AS min_z, CASE WHEN package_id % 3 = 0 THEN 1 ELSE 0 END::DOUBLE AS max_z FROM packages", "packages")
+def _(s, d):
+    made = canonical(modules.documents(s, d))
+    stated = F.array(_place() - 2.0, F.lit(1.0), F.lit(0.5), _place() + 1.0, F.lit(99.0), F.lit(1.0))
+    planted = made["cityobjects"].withColumn("geographical_extent", F.when((_place() % 3 == 0) & (F.col("cityobject_ix") == 1), stated))
+    return views.extents(made | {"cityobjects": planted})
+
+
+@query("mod_model_names", "SELECT concat('R', package_id) AS model_id, CASE package_id % 3 WHEN 0 THEN 'citymodel' WHEN 1 THEN 'citymodel' ELSE 'R' || package_id END AS name FROM packages", "packages")
+def _(s, d):
+    made = canonical(modules.documents(s, d))
+    planted = made["metadata"].withColumn("identifier", F.when(_place() % 3 == 1, F.lit("")).when(_place() % 3 == 2, F.col("identifier")))
+    return views.model_names(made | {"metadata": planted})
+
+
 @query("stm_ingest", "SELECT concat('B', package_id) AS id FROM packages", "packages")
 def _(s, d):
     path, _models = _features(s, d)

@@ -29,7 +29,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
         return 0
     held = index.load(spark, a.index)
     if a.command in ("inspect", "validate"):
-        found = index.inspect(held)
+        found = index.inspect(held, model_json.read_stream(spark, a.lines) if a.lines else None)
         say(json.dumps(found))
         return int(a.command == "validate" and not found["ok"])
     if a.command == "metadata":

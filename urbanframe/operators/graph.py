@@ -87,3 +87,16 @@ def preorder(spark: SparkSession, edges: DataFrame, seeds: DataFrame, limit: int
             return best
         best = cut(spark, best.unionByName(front).groupBy("root_id", "record_id").agg(F.min("path").alias("path")))
     raise ValueError("the hierarchy is deeper than the limit")
+
+
+def chosen_roots(selected: DataFrame, edges: DataFrame, key: str = "package_id") -> DataFrame:
+    """(key, record_id): the root that stands for what is selected of each package: its own root if that is selected, else
+    the first selected object in order whose parents are not.  A selection of which all have selected parents is an error.
+
+    selected: (key, record_id, ordinal, is_root); packages of which nothing is selected have no row.
+    """
+    under = edges.join(selected.select(F.col("record_id").alias("parent_record_id")), "parent_record_id", "left_semi").select(F.col("child_record_id").alias("record_id")).distinct()
+    held = selected.join(under.withColumn("under", F.lit(True)), "record_id", "left")
+    best = held.groupBy(key).agg(F.min(F.when(F.col("is_root") | F.col("under").isNull(), F.struct(~F.col("is_root"), "ordinal", "record_id"))).alias("best"))
+    lost = F.raise_error(F.concat(F.lit("no root is left of package "), F.col(key).cast("string")))
+    return best.select(key, F.when(F.col("best").isNotNull(), F.col("best.record_id")).otherwise(lost).alias("record_id"))

@@ -12,11 +12,16 @@ from urbanframe.operators import bounds, graph, lookup
 from urbanframe.plans.lineage import cut
 from urbanframe.sources import model_json
 
-TABLES = ("packages", "cityobjects", "relationships", "package_bbox")
+TABLES = ("packages", "cityobjects", "relationships", "package_bbox", "sources")
+
+
+def fingerprints(models: DataFrame) -> DataFrame:
+    """(path, size, mtime) of each model as ``lookup.status`` compares them: its length, and a hash of its text in place of a time."""
+    return models.select(F.col("model_id").alias("path"), F.length("raw").cast("long").alias("size"), F.xxhash64("raw").alias("mtime"))
 
 
 def tables(models: DataFrame, all_vertices: bool = True) -> dict[str, DataFrame]:
-    """packages, cityobjects, relationships and package_bbox of (model_id, root) rows; keys are (model_id, external_id).
+    """packages, cityobjects, relationships, package_bbox and sources of (model_id, root) rows; keys are (model_id, external_id).
 
     A package's bounds are those of the vertices its boundaries use; with ``all_vertices`` (streams and feature files),
     a package without any boundary index takes all its vertices.  Without vertices it has no bounds.
@@ -33,7 +38,7 @@ def tables(models: DataFrame, all_vertices: bool = True) -> dict[str, DataFrame]
     box = mine.groupBy("model_id").agg(*aggs)
     members = objs.groupBy("model_id").agg(F.count("*").alias("n_objects"))
     packages = models.select("model_id", F.col("root.type").alias("package_type"), F.col("root.id").alias("root_id")).join(members, "model_id", "left").fillna(0, ["n_objects"])
-    return {"packages": packages, "cityobjects": objs.select("model_id", "external_id", "cityobject_type"), "relationships": rel, "package_bbox": box}
+    return {"packages": packages, "cityobjects": objs.select("model_id", "external_id", "cityobject_type"), "relationships": rel, "package_bbox": box, "sources": fingerprints(models)}
 
 
 def clustered(spark: SparkSession, box: DataFrame, key: str = "model_id") -> DataFrame:
@@ -75,9 +80,21 @@ def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/versions/{version}/{name}") for name in TABLES}
 
 
-def inspect(index: dict[str, DataFrame]) -> dict:
-    """Counts, and issues in words; ok where there is none."""
+def state(index: dict[str, DataFrame], models: DataFrame) -> DataFrame:
+    """(path, state): each model as the index knows it against the models there are now: fresh, changed, missing, unindexed."""
+    return lookup.status(index["sources"], fingerprints(models))
+
+
+def inspect(index: dict[str, DataFrame], models: DataFrame | None = None) -> dict:
+    """Counts, and issues in words; ok where there is none.  With ``models``, those there are now: covered and fresh too."""
     packages, objs, box = index["packages"].count(), index["cityobjects"].count(), index["package_bbox"].count()
     lost = index["packages"].join(index["cityobjects"].select("model_id").distinct(), "model_id", "left_anti").count()
     issues = ([f"{lost} packages without objects"] if lost else []) + (["no packages"] if not packages else [])
-    return {"packages": packages, "cityobjects": objs, "relationships": index["relationships"].count(), "spatial": box, "issues": issues, "ok": not issues}
+    found = {"packages": packages, "cityobjects": objs, "relationships": index["relationships"].count(), "spatial": box}
+    if models is not None:
+        n = {r["state"]: r["count"] for r in state(index, models).groupBy("state").count().collect()}  # at most four rows
+        said = {"missing": "indexed models are gone", "unindexed": "models are not in the index", "changed": "indexed models have changed"}
+        issues += [f"{n[k]} {words}" for k, words in said.items() if n.get(k)]
+        found["covered"] = not (n.get("missing") or n.get("unindexed"))
+        found["fresh"] = found["covered"] and not n.get("changed")
+    return found | {"issues": issues, "ok": not issues}

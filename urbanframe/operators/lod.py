@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +39,18 @@ def missing(geometries: DataFrame, objects: DataFrame, wanted: dict[str, str]) -
     asked = spark.createDataFrame(sorted(wanted.items()) or [], "cityobject_type string, lod string")
     there = geometries.join(objects.select("record_id", "cityobject_type"), "record_id").select("cityobject_type", "lod").distinct()
     return asked.join(there, ["cityobject_type", "lod"], "left_anti")
+
+
+def is_active(default: str = "all", by_type: dict[str, str] | None = None, types: list[str] | None = None) -> bool:
+    """Whether a rule can leave anything out: types are named, or a level other than all is asked for."""
+    return types is not None or any(r != "all" for r in [default, *(by_type or {}).values()])
+
+
+def merge_reports(*reports: DataFrame) -> DataFrame:
+    """One report of reports over different objects: counts are added, levels united."""
+    if not reports:
+        raise ValueError("nothing to merge")
+    every = reduce(DataFrame.unionByName, reports)
+    counts = every.groupBy("cityobject_type").agg(*[F.sum(c).alias(c) for c in ("available", "retained", "retained_geometries")])
+    levels = every.select("cityobject_type", F.explode(F.split("lods", ",")).alias("lod")).groupBy("cityobject_type").agg(F.array_join(F.array_sort(F.collect_set("lod")), ",").alias("lods"))
+    return counts.join(levels, "cityobject_type")

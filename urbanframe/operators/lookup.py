@@ -71,6 +71,13 @@ def record_ids(spark: SparkSession, df: DataFrame, order: list[str], name: str)
     return held.withColumn("_place", place).join(F.broadcast(starts), "_part").select((F.col("_start") + F.col("_place")).alias(name), *df.columns)
 
 
+def representatives(spark: SparkSession, df: DataFrame, order: list[str]) -> DataFrame:
+    """The first, the middle and the last row in order (fewer where they are the same), each with its place."""
+    numbered = record_ids(spark, df, order, "place")
+    last = numbered.agg(F.max("place").alias("last"))
+    return numbered.join(F.broadcast(last), (F.col("place") == 0) | (F.col("place") == F.floor((F.col("last") + 1) / 2)) | (F.col("place") == F.col("last"))).drop("last")
+
+
 def status(indexed: DataFrame, on_disk: DataFrame) -> DataFrame:
     """(path, state): unindexed, missing, changed or fresh, from (path, size, mtime) on either side."""
     a = indexed.select("path", F.struct("size", "mtime").alias("was"))

@@ -43,6 +43,14 @@ def subset(spark: SparkSession, objects: DataFrame, edges: DataFrame, ids: list[
     return kept, prune(edges, kept)
 
 
+def exact(objects: DataFrame, geometries: DataFrame, edges: DataFrame, ids: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Just the objects of the ids, without descendants, their geometries and the edges among them.  None found is an error."""
+    kept = objects.where(F.col("external_id").isin(sorted(set(ids))))
+    if kept.isEmpty():
+        raise ValueError("no object has one of the ids")
+    return kept, geometries.join(kept.select("record_id"), "record_id", "left_semi"), prune(edges, kept)
+
+
 def extract(objects: DataFrame, geometries: DataFrame, edges: DataFrame, selected: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Selected objects, the geometries selected of them, and the edges among them; a partial object without any geometry goes."""
     g = geometries.join(selected, "record_id").where(F.col("whole") | F.array_contains("geometries", F.col("geometry_ordinal")))

@@ -57,7 +57,7 @@ def canonical_violations(tables: dict[str, DataFrame]) -> DataFrame:
     A boundary has the levels of its geometry's type and no others, with offsets that start at 0, never fall and leave no
     part empty.  Vertices, templates, semantics, materials, textures and uv pairs that are named exist; a textured ring has
     a uv pair for each of its vertices; a semantic is given for all surfaces or none; default themes are themes of some
-    geometry.
+    geometry or template.
     """
     key = ["model_id", "geometry_id"]
     shapes = tables["geometries"].select(*key, "geometry_type").join(tables["geometry_boundaries"], key)
@@ -69,7 +69,7 @@ def canonical_violations(tables: dict[str, DataFrame]) -> DataFrame:
         ids = tables[pool].select("model_id", F.col(id_column or column).alias(column))
         return found(rows.where(F.col(column).isNotNull()).join(ids, ["model_id", column], "left_anti"), check, column, row)
 
-    parts = [found(shapes.where(~_shape_holds()), "boundary", "geometry_type")]
+    parts = [found(shapes.where(~sound_shapes()), "boundary", "geometry_type")]
     used = shapes.select(*key, F.explode(F.array_distinct("vertex_indices")).alias("vertex_id"))
     parts.append(lost(used, "vertex_id", "vertices", "vertex"))
     parts.append(lost(tables["geometry_instances"], "template_geometry_id", "template_geometries", "template"))
@@ -88,11 +88,13 @@ def canonical_violations(tables: dict[str, DataFrame]) -> DataFrame:
     parts.append(found(fit, "ring texture", "concat(surface_ordinal, '/', ring_ordinal)"))
     for kind, pool in (("material", "geometry_surface_materials"), ("texture", "geometry_ring_textures")):
         column = f"default_{kind}_theme"
-        parts.append(lost(tables["metadata"].select("model_id", F.col(column).alias("theme")), "theme", pool, f"default {kind} theme", row="theme"))
+        there = tables[pool].select("model_id", "theme").unionByName(tables[f"template_{pool.replace('surface_', '')}"].select("model_id", "theme"))
+        asked = tables["metadata"].select("model_id", F.col(column).alias("theme")).where("theme IS NOT NULL")
+        parts.append(found(asked.join(there, ["model_id", "theme"], "left_anti"), f"default {kind} theme", "theme", "theme"))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _shape_holds() -> Column:
+def sound_shapes() -> Column:
     """The levels that the type asks for are there and sound, and no others."""
     out = F.lit(False)
     for kind, levels in NESTING.items():
