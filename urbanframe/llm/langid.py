@@ -112,6 +112,7 @@ def _predict(names: list[str], table: np.ndarray, prior: np.ndarray):
                     found = row[there]
                     for i in range(len(names)):
                         total[:, i] += sums_by(table[found, i].astype(np.float64), at)
+                total = np.round(total, 6)  # sums depend in their last places on the texts before, and ties must not
                 none = sums_by((x > 0).astype(np.int64), o) == 0
                 best = np.full(hi - lo, len(names))
                 score = np.zeros(hi - lo)
