@@ -21,7 +21,11 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts, whole rows.
+
+    A null or empty text is judged as an empty one; rows that repeat are judged each, and alike; nulls in other columns stay;
+    without labels of both kinds, or of an empty table, all rows stay.
+    """
     return quality_bt.accepted(spark, docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -46,10 +50,15 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, whole rows; each row by its own text, so a repeated id may go in part.
+
+    A null or empty text holds nothing and stays, as all rows do if the benchmark is empty or its texts are.
+    """
     return decontaminate.decontaminated(spark, docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's pieces in sequences; a null text is packed as an empty one, repeated rows each; an empty table gives none."""
     return packing.pack(spark, docs, tokenizer_path())
 
 
