@@ -43,11 +43,14 @@ def themes(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, held).distinct()
 
 
-def default_themes(tables: dict[str, DataFrame]) -> DataFrame:
-    """(model_id, kind, theme, known): the default themes that are set, and whether some geometry or template has them."""
+def default_themes(tables: dict[str, DataFrame], held: DataFrame | None = None) -> DataFrame:
+    """(model_id, kind, theme, known): the default themes that are set, and whether some geometry or template has them.
+
+    ``held``: the themes there are, if they are at hand (``canonical.model_themes``); else they are read from the tables.
+    """
     both = F.expr("stack(2, 'material', default_material_theme, 'texture', default_texture_theme) AS (kind, theme)")
     asked = tables["metadata"].select("model_id", both).where("theme IS NOT NULL")
-    return asked.join(themes(tables).withColumn("known", F.lit(True)), ["model_id", "kind", "theme"], "left").select("model_id", "kind", "theme", F.coalesce("known", F.lit(False)).alias("known"))
+    return asked.join((themes(tables) if held is None else held).withColumn("known", F.lit(True)), ["model_id", "kind", "theme"], "left").select("model_id", "kind", "theme", F.coalesce("known", F.lit(False)).alias("known"))
 
 
 def cleaned(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:

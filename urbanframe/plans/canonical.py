@@ -1,12 +1,12 @@
 """Models read from JSON as the canonical tables.
 
-Ids that are dense within a model (object index, geometry id) are row numbers and running sums over that model's rows, so
-nothing is numbered across models and no global sort is needed.
+A model is a row, and model ids don't repeat.  Ids that are dense within a model (object index, geometry id) are places in
+lists of that row, so nothing is numbered across rows: no sort, no exchange.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urbanframe.operators.geometry import flattened, rings
@@ -31,32 +31,45 @@ def _shaped(df: DataFrame, name: str) -> DataFrame:
 
 
 def _member(path: str) -> Column:
-    return F.get_json_object("raw", "$." + path)
+    top, _, rest = path.partition(".")
+    return F.get_json_object(F.col("root")[top], "$." + rest) if rest else F.col("root")[top]
 
 
-def _geometries(o: DataFrame) -> DataFrame:
-    """All geometries of ``objects`` with dense ids in order of object id and ordinal."""
-    g = o.withColumn("gs", F.from_json("geometry", _GEOMETRY)).where(F.size("gs") > 0)
-    before = Window.partitionBy("model_id").orderBy("cityobject_ix").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("start", F.coalesce(F.sum(F.size("gs")).over(before), F.lit(0)))
-    g = g.select("model_id", "cityobject_ix", "start", F.posexplode("gs").alias("geometry_ordinal", "g"))
-    return g.select("model_id", (F.col("start") + F.col("geometry_ordinal")).alias("geometry_id"), "cityobject_ix", "geometry_ordinal", F.col("g.type").alias("geometry_type"), "g.*")
+def _in_order() -> Column:
+    """The objects of a model as (key, value) in order of their ids."""
+    return F.array_sort(F.map_entries("root.CityObjects"))
+
+
+def geometry_list() -> Column:
+    """All geometries of a model's row as (cityobject_ix, geometry_ordinal, g), in order of object id and ordinal."""
+    text = lambda e: F.from_json(e.value, "geometry string").geometry
+    own = lambda e, i: F.transform(F.coalesce(F.from_json(text(e), _GEOMETRY), F.array()), lambda g, k: F.struct(i.cast("long").alias("cityobject_ix"), k.alias("geometry_ordinal"), g.alias("g")))
+    return F.flatten(F.transform(_in_order(), own))
+
+
+def _geometries(models: DataFrame) -> DataFrame:
+    """All geometries with dense ids in order of object id and ordinal; a model is a row, so they are places in its list."""
+    g = models.select("model_id", F.posexplode(geometry_list()).alias("geometry_id", "x"))
+    return g.select("model_id", F.col("geometry_id").cast("long").alias("geometry_id"), "x.cityobject_ix", "x.geometry_ordinal", F.col("x.g.type").alias("geometry_type"), "x.g.*")
 
 
 def objects(models: DataFrame) -> DataFrame:
-    """Objects with a dense index by id within the model."""
-    place = F.row_number().over(Window.partitionBy("model_id").orderBy("external_id"))
-    return model_json.objects(models).withColumn("cityobject_ix", (place - 1).cast("long"))
+    """Objects with a dense index by id within the model, a row of ``models``."""
+    placed = models.select("model_id", F.posexplode(_in_order()).alias("cityobject_ix", "e"))
+    return model_json.object_rows(placed.select("model_id", F.col("cityobject_ix").cast("long").alias("cityobject_ix"), F.col("e.key").alias("external_id"), F.col("e.value").alias("json")))
 
 
-def boundaries(geometries: DataFrame, key: str) -> DataFrame:
-    """Offset form of all nested boundaries; each shape is parsed with its own depth."""
+def boundaries(geometries: DataFrame, key: str, kinds: set[str] | None = None) -> DataFrame:
+    """Offset form of all nested boundaries; each shape is parsed with its own depth.  ``kinds``: those there are, if known."""
     out = None
     for kind, depth in _SHAPES.items():
+        if kinds is not None and kind not in kinds | {"MultiPoint"}:
+            continue
         part = geometries.where(F.col("geometry_type") == kind).withColumn("b", F.from_json("boundaries", "array<" * depth + "bigint" + ">" * depth))
         part = part.select("model_id", key, *[c.alias(n) for n, c in flattened(F.col("b"), kind).items()])
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    none = F.lit(None).cast("array<int>")
+    return out.select("*", *[none.alias(f"{n}_offsets") for n in ("line", "ring", "surface", "shell", "solid") if f"{n}_offsets" not in out.columns])
 
 
 _PRIMITIVE = "CASE geometry_type WHEN 'MultiPoint' THEN 'point' WHEN 'MultiLineString' THEN 'linestring' ELSE 'surface' END"
@@ -99,16 +112,69 @@ def _ring_textures(geometries: DataFrame, key: str) -> DataFrame:
     return r.select("model_id", key, "surface_ordinal", F.col("ring_in_surface").alias("ring_ordinal"), "theme", F.col("ring")[0].alias("texture_id"), F.slice("ring", F.lit(2), F.size("ring") - 1).alias("uv_indices"))
 
 
+#: Parts of the models without any of which a table has no rows; tables not named are always read.
+NEEDS = {
+    "extensions": ("extensions",), "materials": ("appearance",), "textures": ("appearance",), "texture_vertices": ("appearance",), "semantics": ("semantics", "geometry-templates"), "semantic_children": ("semantics", "geometry-templates"),
+    "geometry_instances": ("GeometryInstance",), "geometry_surface_semantics": ("semantics",), "geometry_point_semantics": ("semantics",), "geometry_linestring_semantics": ("semantics",),
+    "geometry_surface_materials": ("material",), "geometry_ring_textures": ("texture",),
+} | {name: ("geometry-templates",) for name in TABLES if name.startswith("template_")}
+
+
+def _used(models: DataFrame, g: DataFrame) -> tuple[set[str], set[str]]:
+    """The parts that any model or geometry has, types of geometries among them, and the types alone."""
+    tops, parts = ("appearance", "extensions", "geometry-templates"), ("semantics", "material", "texture")
+    some = lambda c: F.coalesce(F.bool_or(c.isNotNull()), F.lit(False))
+    row = models.agg(*[some(F.col("root")[t]).alias(t) for t in tops]).first()
+    rows = g.groupBy("geometry_type").agg(*[some(F.col(c)).alias(c) for c in parts]).where(F.col("geometry_type").isin(*_SHAPES, "GeometryInstance")).collect()  # a row a type
+    kinds = {r["geometry_type"] for r in rows}
+    return {t for t in tops if row[t]} | {c for c in parts if any(r[c] for r in rows)} | kinds, kinds
+
+
+def _by_kind(text: str, body) -> Column:
+    """``body`` of the nested lists in a geometry's text, parsed with the depth of its type; null for those without surfaces."""
+    out = F.lit(None)
+    for kind, depth in _SHAPES.items():
+        if depth >= 3:
+            lists = F.from_json(F.col(text) if isinstance(text, str) else text, "array<" * depth + "bigint" + ">" * depth)
+            for _ in range(depth - 3):
+                lists = F.flatten(lists)
+            out = F.when(F.col("geometry_type") == kind, body(lists)).otherwise(out)
+    return out
+
+
+def model_themes(models: DataFrame) -> DataFrame:
+    """``views.themes`` of the tables of these models, read from the models in one pass: (model_id, kind, theme), each once.
+
+    A theme counts that some surface (material) or ring (texture) of a geometry or a template has; the tables are not made.
+    """
+    templates = F.coalesce(F.from_json(_member("geometry-templates.templates"), _GEOMETRY), F.array())
+    every = F.concat(F.transform(geometry_list(), lambda x: x.g), templates)
+    held = F.transform(F.filter(every, lambda g: g.material.isNotNull() | g.texture.isNotNull()), lambda g: F.struct(g.type.alias("geometry_type"), g.boundaries.alias("boundaries"), g.material.alias("material"), g.texture.alias("texture")))
+    g = models.select("model_id", F.explode(F.array_distinct(held)).alias("g")).select("model_id", "g.*")
+    surfaces = _by_kind("boundaries", lambda s: F.size(s) > 0)
+    ring = lambda r: (F.size(r) > 0) & r[0].isNotNull()
+    material, texture = F.from_json("material", "map<string, struct<value: bigint, values: string>>"), F.from_json("texture", "map<string, struct<values: string>>")
+    each = g.select("model_id", "geometry_type", "boundaries", F.explode(F.concat(
+        F.coalesce(F.transform(F.map_entries(material), lambda e: F.struct(F.lit("material").alias("kind"), e.key.alias("theme"), e.value["value"].alias("value"), e.value["values"].alias("texts"))), F.array()),
+        F.coalesce(F.transform(F.map_entries(texture), lambda e: F.struct(F.lit("texture").alias("kind"), e.key.alias("theme"), F.lit(None).cast("bigint").alias("value"), e.value["values"].alias("texts"))), F.array()),
+    )).alias("x")).select("model_id", "geometry_type", "boundaries", "x.*")
+    of_material = F.when(F.col("texts").isNotNull(), F.col("texts").rlike("[0-9]")).otherwise(F.col("value").isNotNull() & surfaces)
+    found = F.when(F.col("kind") == "material", of_material).otherwise(_by_kind("texts", lambda s: F.exists(F.flatten(s), ring)))
+    return each.where(found).select("model_id", "kind", "theme").distinct()
+
+
 def canonical(models: DataFrame, once: bool = False) -> dict[str, DataFrame]:
     """The canonical tables of (model_id, root, raw) rows; those the models have nothing for are empty.
 
     They are lazy, and each reads and parses the models for itself.  With ``once``, for a caller that wants many of them,
-    the parsed models, objects and geometries are first written to the shared folder and the tables read from there.
+    the parsed models, objects and geometries are first written to the shared folder and the tables read from there;
+    tables of modules that no model uses are known to be empty then, and nothing is read for them.
     """
     held = (lambda df: cut(models.sparkSession, df)) if once else (lambda df: df)
-    models = held(models)
-    o = held(objects(models))
-    g = held(_geometries(o))
+    models = held(models.select("model_id", "root"))
+    o = held(objects(models).drop("geometry"))
+    g = held(_geometries(models))
+    used, kinds = (_used(models, g) if once else (None, None))
     meta = models.select("model_id", F.col("root.type").alias("kind"), F.col("root.version").alias("version"), F.col("root.id").alias("feature_root_id"), F.coalesce(_member("metadata"), "root.metadata").alias("m"), _member("appearance.default-theme-material").alias("default_material_theme"), _member("appearance.default-theme-texture").alias("default_texture_theme"))
     of = lambda key: F.get_json_object("m", f"$.{key}")
     meta = meta.withColumns({"identifier": of("identifier"), "title": of("title"), "reference_system": of("referenceSystem"), "reference_date": of("referenceDate"), "point_of_contact": of("pointOfContact"), "geographical_extent": F.from_json(of("geographicalExtent"), "array<double>")})
@@ -123,7 +189,7 @@ def canonical(models: DataFrame, once: bool = False) -> dict[str, DataFrame]:
     uv = models.select("model_id", F.posexplode(F.from_json(_member("appearance.vertices-texture"), "array<array<double>>")).alias("uv_id", "x")).select("model_id", "uv_id", F.col("x")[0].alias("u"), F.col("x")[1].alias("v"))
     tv = models.select("model_id", F.posexplode(F.from_json(_member("geometry-templates.vertices-templates"), "array<array<double>>")).alias("template_vertex_id", "x")).select("model_id", "template_vertex_id", *[F.col("x")[i].alias(a) for i, a in enumerate("xyz")])
     extensions = models.select("model_id", F.explode(F.from_json(_member("extensions"), "map<string, struct<url: string, version: string>>")).alias("extension_name", "x")).select("model_id", "extension_name", F.col("x.url").alias("uri"), "x.version")
-    shapes, t_shapes = boundaries(g, "geometry_id"), boundaries(tg, "template_geometry_id")
+    shapes, t_shapes = boundaries(g, "geometry_id", kinds), boundaries(tg, "template_geometry_id")
     instances = g.where("geometry_type = 'GeometryInstance'").select("model_id", "geometry_id", "cityobject_ix", "geometry_ordinal", "lod", F.col("template").alias("template_geometry_id"), F.from_json("boundaries", "array<bigint>")[0].alias("reference_point_vertex_id"), F.col("transformationMatrix").alias("transform_matrix"))
     found = {
         "metadata": meta, "extensions": extensions, "vertices": model_json.vertices(models), "materials": materials, "textures": textures, "texture_vertices": uv, "template_vertices": tv, "template_geometries": tg,
@@ -141,4 +207,5 @@ def canonical(models: DataFrame, once: bool = False) -> dict[str, DataFrame]:
         "geometry_ring_textures": _ring_textures(g, "geometry_id"), "template_geometry_ring_textures": _ring_textures(tg, "template_geometry_id"),
     }
     empty = models.select("model_id").where("false")
-    return {name: _shaped(found.get(name, empty), name) for name in TABLES}
+    there = lambda name: used is None or name not in NEEDS or any(part in used for part in NEEDS[name])
+    return {name: _shaped(found[name] if name in found and there(name) else empty, name) for name in TABLES}

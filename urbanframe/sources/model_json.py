@@ -11,7 +11,7 @@ from pyspark.errors import PySparkValueError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ROOT = "type string, version string, id string, transform struct<scale: array<double>, translate: array<double>>, metadata string, vertices array<array<bigint>>, CityObjects map<string, string>"
+_ROOT = "type string, version string, id string, transform struct<scale: array<double>, translate: array<double>>, metadata string, vertices array<array<bigint>>, CityObjects map<string, string>, appearance string, extensions string, `geometry-templates` string"
 _OBJECT = "type string, parents array<string>, children array<string>, attributes string, geometry string, geographicalExtent array<double>"
 _MEMBERS = ("type", "parents", "children", "attributes", "geometry", "geographicalExtent")
 _GEOMETRY = "array<struct<type: string, lod: string, boundaries: string, semantics: string>>"
@@ -105,9 +105,14 @@ def read_feature_files(spark: SparkSession, directory: str) -> DataFrame:
 
 def objects(models: DataFrame) -> DataFrame:
     """(model_id, external_id, cityobject_type, parents, children, attributes, geometry, geographical_extent, extra); extra: the members not listed, as JSON, or null."""
-    o = models.select("model_id", F.explode("root.CityObjects").alias("external_id", "json")).withColumn("o", F.from_json("json", _OBJECT))
+    return object_rows(models.select("model_id", F.explode("root.CityObjects").alias("external_id", "json")))
+
+
+def object_rows(texts: DataFrame) -> DataFrame:
+    """The columns of ``objects`` from rows with external_id and json, an object's text; other columns stay in front."""
+    o = texts.withColumn("o", F.from_json("json", _OBJECT))
     rest = F.map_filter(F.from_json("json", "map<string, variant>"), lambda k, v: ~k.isin(*_MEMBERS))
-    return o.select("model_id", "external_id", F.col("o.type").alias("cityobject_type"), "o.parents", "o.children", "o.attributes", "o.geometry", F.col("o.geographicalExtent").alias("geographical_extent"), F.when(F.size(rest) > 0, F.to_json(rest)).alias("extra"))
+    return o.select(*[c for c in texts.columns if c not in ("external_id", "json")], "external_id", F.col("o.type").alias("cityobject_type"), "o.parents", "o.children", "o.attributes", "o.geometry", F.col("o.geographicalExtent").alias("geographical_extent"), F.when(F.size(rest) > 0, F.to_json(rest)).alias("extra"))
 
 
 def relationships(objs: DataFrame) -> DataFrame:
