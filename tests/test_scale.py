@@ -2,10 +2,12 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from urbanframe.operators import views
-from urbanframe.plans import modules
+from urbanframe.operators import index, views
+from urbanframe.plans import derive, modules
 from urbanframe.plans.canonical import canonical, model_themes
 from urbanframe.sources import model_json
 
@@ -59,3 +61,27 @@ def test_tables_that_are_empty_are_not_read(spark):
             text = lambda t: sorted(t.select(F.to_json(F.struct("*"))).toPandas().iloc[:, 0])
             assert text(df) == text(once[name]), name
     assert "FileScan" not in plan(canonical(parsed(spark, bare), once=True)["geometry_surface_materials"])
+
+
+def test_index_bounds_and_checks_stay_in_rows(spark, tmp_path):
+    thing = lambda *rest: {"type": "CityJSONFeature", "id": "x", "transform": {"scale": [-1, 2, 1], "translate": [0, 0, 5]}, "vertices": [[0, 0, 0], [5, 1, 2], [9, 9, 9]], "CityObjects": dict(rest)}
+    shape = lambda *at: {"type": "Road", "geometry": [{"type": "MultiPoint", "boundaries": list(at)}]}
+    deep = {"type": "A", "children": ["b"]}, {"type": "B", "children": ["c"]}, {"type": "C"}
+    models = parsed(spark, thing(("a", shape(0, 1))), thing(("a", {"type": "Road"})), thing(("a", shape(1, 7, -1))), thing(*zip("abc", deep)), thing(("a", shape(9))), {**thing(), "vertices": []})
+    made = index.tables(models)
+    got = {r["model_id"]: tuple(r)[1:] for r in made["package_bbox"].collect()}
+    whole = (-9.0, 0.0, 0.0, 18.0, 5.0, 14.0)
+    assert got == {"m0": (-5.0, 0.0, 0.0, 2.0, 5.0, 7.0), "m1": whole, "m2": (-5.0, -5.0, 2.0, 2.0, 7.0, 7.0), "m3": whole}
+    assert "Join" not in plan(made["package_bbox"]) and "Join" not in plan(made["packages"])
+    assert {r["model_id"]: r["n_objects"] for r in made["packages"].collect()} == {"m0": 1, "m1": 1, "m2": 1, "m3": 3, "m4": 1, "m5": 0}
+    index.build(spark, models, f"file://{tmp_path}/i")
+    loop = parsed(spark, thing(("a", {"type": "A", "children": ["b"]}), ("b", {"type": "B", "children": ["a"]})))
+    for bad, what in ((loop, "cycle"), (parsed(spark, thing(("a", {"type": "A", "children": ["q"]}))), "missing child q")):
+        with pytest.raises(ValueError, match=what):
+            index.build(spark, bad, f"file://{tmp_path}/i")
+
+
+def test_lines_are_not_dealt_out_to_find_their_header(spark, tmp_path):
+    derive.feature_files(spark, "/root/testdata/sf0.001", f"file://{tmp_path}/f")
+    assert "Exchange hash" not in plan(model_json.read_feature_files(spark, f"file://{tmp_path}/f")).split("Broadcast")[0]
+    assert list((tmp_path / "f/features").glob("*.gz"))

@@ -19,7 +19,7 @@ NESTING = {
 }
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once: in lambdas, an expression from outside is computed again for each element."""
     return F.transform(F.array(value), body)[0]
 
@@ -30,7 +30,7 @@ def _starts(lists: Column) -> Column:
     step = lambda z: F.ceil(F.sqrt(F.size(z))).cast("int")
     firsts = lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / step(z)).cast("int")), lambda c: summed(z, F.lit(0), c * step(z)))
     each = lambda e: F.transform(F.sequence(F.lit(0), F.size(e.z) - 1), lambda i: e.f[F.floor(i / e.s).cast("int")] + summed(e.z, i - i % e.s, i % e.s))
-    return _let(F.transform(lists, lambda x: F.size(x)), lambda z: _let(F.struct(z.alias("z"), firsts(z).alias("f"), step(z).alias("s")), each))
+    return let(F.transform(lists, lambda x: F.size(x)), lambda z: let(F.struct(z.alias("z"), firsts(z).alias("f"), step(z).alias("s")), each))
 
 
 def flattened(nested: Column, kind: str) -> dict[str, Column]:

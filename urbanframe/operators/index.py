@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urbanframe.functions.scalars import BBox
 from urbanframe.operators import bounds, graph, lookup
+from urbanframe.operators.geometry import let
 from urbanframe.plans.lineage import cut
 from urbanframe.sources import model_json
 
@@ -28,16 +29,23 @@ def tables(models: DataFrame, all_vertices: bool = True) -> dict[str, DataFrame]
     """
     objs = model_json.objects(models)
     rel = model_json.relationships(objs)
-    used = model_json.boundary_indices(model_json.geometries(objs)).select("model_id", F.explode("vertex_indices").alias("vertex_id")).distinct()
-    verts = model_json.vertices(models)
-    some = used.select("model_id").distinct()
-    mine = verts.join(used, ["model_id", "vertex_id"], "left_semi")
-    if all_vertices:
-        mine = mine.unionByName(verts.join(some, "model_id", "left_anti"))
-    aggs = [(F.min if c.startswith("min") else F.max)(c[-1]).alias(c) for c in bounds.COLUMNS]
-    box = mine.groupBy("model_id").agg(*aggs)
-    members = objs.groupBy("model_id").agg(F.count("*").alias("n_objects"))
-    packages = models.select("model_id", F.col("root.type").alias("package_type"), F.col("root.id").alias("root_id")).join(members, "model_id", "left").fillna(0, ["n_objects"])
+    # a model is a row, so that its vertices and its boundaries meet without a join
+    shapes = F.transform(F.map_values("root.CityObjects"), lambda o: F.from_json(F.from_json(o, "geometry string").geometry, "array<struct<boundaries: string>>"))
+    texts = F.transform(F.flatten(F.filter(shapes, lambda s: s.isNotNull())), lambda g: g.boundaries)
+    used = F.array_distinct(F.flatten(F.transform(F.filter(texts, lambda t: t.isNotNull()), model_json.indices)))
+    row = F.struct(F.col("root.transform").alias("transform"), F.col("root.vertices").alias("vs"), used.alias("used"))
+
+    def mine(x: Column) -> Column:
+        some = F.transform(F.filter(x.used, lambda i: (i >= 0) & (i < F.size(x.vs))), lambda i: F.get(x.vs, i))
+        return F.when(F.coalesce(F.size(x.used), F.lit(0)) <= 0, x.vs).otherwise(some) if all_vertices else some
+
+    along = lambda m, i: F.transform(m, lambda v: v[i])
+    side = lambda m, f: F.struct(*[f(along(m, i)).alias(a) for i, a in enumerate(bounds.AXES)])
+    corners = let(row, lambda x: F.struct(x["transform"].alias("transform"), let(mine(x), lambda m: F.when(F.size(m) > 0, F.array(side(m, F.array_min), side(m, F.array_max)))).alias("ends")))
+    ends = models.select("model_id", corners.alias("c")).select("model_id", "c.transform", F.explode("c.ends").alias("v"))
+    ends = ends.select("model_id", *[model_json.in_world(F.col("v")[a], i).alias(a) for i, a in enumerate(bounds.AXES)])
+    box = ends.groupBy("model_id").agg(*[(F.min if c.startswith("min") else F.max)(c[-1]).alias(c) for c in bounds.COLUMNS])  # a negative scale turns the ends round
+    packages = models.select("model_id", F.col("root.type").alias("package_type"), F.col("root.id").alias("root_id"), F.greatest(F.coalesce(F.size("root.CityObjects"), F.lit(0)), F.lit(0)).cast("long").alias("n_objects"))
     return {"packages": packages, "cityobjects": objs.select("model_id", "external_id", "cityobject_type"), "relationships": rel, "package_bbox": box, "sources": fingerprints(models)}
 
 
@@ -62,14 +70,22 @@ def build(spark: SparkSession, models: DataFrame, path: str) -> str:
     for name, df in made.items():
         if name == "package_bbox":
             df = clustered(spark, df)
-        df.write.parquet(f"{path}/versions/{version}/{name}")
+        df.write.option("compression", "zstd").parquet(f"{path}/versions/{version}/{name}")
     back = {name: spark.read.parquet(f"{path}/versions/{version}/{name}") for name in made}
     ids = back["cityobjects"].select("model_id", F.col("external_id").alias("child_id"))
-    lost = back["relationships"].join(ids, ["model_id", "child_id"], "left_anti").first()
+    # first within rows: a model's children are its objects, and none of them has children; the rest is looked up and followed
+    entries = F.transform(F.map_entries("root.CityObjects"), lambda e: F.struct(e.key.alias("key"), F.coalesce(F.from_json(e.value, "children array<string>").children, F.array()).alias("children")))
+    named = lambda es: F.flatten(F.transform(es, lambda e: e.children))
+    above = lambda es: F.transform(F.filter(es, lambda e: F.size(e.children) > 0), lambda e: e.key)
+    strange = let(entries, lambda es: (F.size(F.array_except(named(es), F.transform(es, lambda e: e.key))) > 0) | F.arrays_overlap(above(es), named(es)))
+    odd = models.select("model_id", strange.alias("odd")).where("odd")
+    odd = cut(spark, odd.select("model_id").distinct())
+    rel = back["relationships"].join(odd, "model_id", "left_semi")
+    lost = rel.join(ids, ["model_id", "child_id"], "left_anti").first()
     if lost:
         raise ValueError(f"object {lost['parent_id']} of {lost['model_id']} names a missing child {lost['child_id']}")
     key = lambda c: F.xxhash64("model_id", c)
-    if not graph.cyclic(spark, back["relationships"].select(key("parent_id").alias("parent_record_id"), key("child_id").alias("child_record_id"))).isEmpty():
+    if not graph.cyclic(spark, rel.select(key("parent_id").alias("parent_record_id"), key("child_id").alias("child_record_id"))).isEmpty():
         raise ValueError("relationships have a cycle")
     spark.createDataFrame([(version,)], "version string").withColumn("built", F.current_timestamp()).write.mode("append").parquet(f"{path}/manifest")
     return version

@@ -21,5 +21,5 @@ def shared(spark: SparkSession, what: str) -> str:
 
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     path = shared(spark, "round")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

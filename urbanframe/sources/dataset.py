@@ -21,7 +21,7 @@ def write_dataset(spark: SparkSession, tables: dict[str, DataFrame], path: str)
     entries = []
     for name in (n for n in TABLES if n in tables):
         part = f"tables/{name}.parquet"
-        tables[name].write.parquet(f"{path}/{part}")
+        tables[name].write.option("compression", "zstd").parquet(f"{path}/{part}")
         back = spark.read.schema(schema(name)).parquet(f"{path}/{part}")
         entries.append({"name": name, "path": part, "rows": back.count(), "columns": schema(name).simpleString()})
     manifest = {"format": FORMAT, "tables": entries}

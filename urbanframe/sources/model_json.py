@@ -38,11 +38,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def _stream_problem(lines: DataFrame) -> str | None:
     """What is wrong with the streams, by file, or None: one aggregation over all lines."""
-    kind, version = F.col("root.type"), F.coalesce("root.version", F.lit(""))
+    lines = lines.withColumn("top", F.from_json("raw", "type string, version string, id string"))
+    kind, version = F.col("top.type"), F.coalesce("top.version", F.lit(""))
     at = F.struct("block", "line")
     files = lines.groupBy("file").agg(
         F.min_by(F.coalesce(kind, F.lit("")), at).alias("first"), F.count_if(kind == "CityJSON").alias("heads"), F.count_if((kind == "CityJSON") & ~version.startswith("2.")).alias("old"),
-        F.min(F.when(kind.isNull() | ~kind.isin("CityJSON", "CityJSONFeature"), F.substring("raw", 1, 80))).alias("bad"), F.count_if((kind == "CityJSONFeature") & F.col("root.id").isNull()).alias("nameless"),
+        F.min(F.when(kind.isNull() | ~kind.isin("CityJSON", "CityJSONFeature"), F.substring("raw", 1, 80))).alias("bad"), F.count_if((kind == "CityJSONFeature") & F.col("top.id").isNull()).alias("nameless"),
     )
     what = (
         F.when(F.col("bad").isNotNull(), F.concat(F.lit("neither header nor feature: "), "bad")).when(F.col("heads") == 0, "no header").when(F.col("heads") > 1, "two headers")
@@ -64,9 +65,9 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
     if problem := _stream_problem(lines):
         raise PySparkValueError(problem)
     heads = lines.where("root.type = 'CityJSON'").select("file", F.col("root.transform").alias("t"), F.col("root.metadata").alias("m"))
-    features = lines.where("root.type = 'CityJSONFeature'").join(heads, "file")
+    features = lines.where("root.type = 'CityJSONFeature'").join(F.broadcast(heads), "file")  # a row a file: the features stay where they are
     ids = features.select("file", F.explode(F.map_keys("root.CityObjects")).alias("id")).groupBy("file", "id").count().where("count > 1").groupBy("file").agg(F.min("id").alias("twice"))
-    features = features.join(ids, "file", "left")
+    features = features.join(F.broadcast(ids), "file", "left")
     root = F.col("root").withField("transform", F.col("t")).withField("metadata", F.coalesce("root.metadata", "m"))
     return features.select(F.when(F.col("twice").isNull(), F.col("root.id")).otherwise(F.raise_error(F.concat(F.lit("id twice: "), "twice"))).alias("model_id"), root.alias("root"), "raw")
 
@@ -94,10 +95,12 @@ def read_feature_files(spark: SparkSession, directory: str) -> DataFrame:
     if twice := heads.groupBy("folder").count().where("count > 1").first():
         raise PySparkValueError(f"two headers in {twice['folder']}")
     lines = spark.read.option("recursiveFileLookup", "true").text(directory).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "").where(~F.col("file").rlike("/metadata\\.json(/[^/]*)?$"))
-    parts = F.split("file", "/")
-    above = lines.select("file").distinct().select("file", F.explode(F.sequence(F.lit(1), F.size(parts) - 1)).alias("levels")).select("file", "levels", F.array_join(F.slice(F.split("file", "/"), F.lit(1), F.col("levels")), "/").alias("folder"))
-    nearest = above.join(heads, "folder").groupBy("file").agg(F.max_by("h", "levels").alias("h"))
-    both = parsed_root(lines).join(nearest, "file", "left")
+    folder = lambda file: F.regexp_replace(file, "/[^/]*$", "")
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory).select(folder(F.col("_metadata.file_path")).alias("own")).distinct()  # names alone, no content
+    parts = F.split("own", "/")
+    above = there.select("own", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("levels")).select("own", "levels", F.array_join(F.slice(F.split("own", "/"), F.lit(1), F.col("levels")), "/").alias("folder"))
+    nearest = above.join(heads, "folder").groupBy("own").agg(F.max_by(F.struct("h.transform", "h.metadata", "h.version"), "levels").alias("h"))
+    both = parsed_root(lines).withColumn("own", folder(F.col("file"))).join(F.broadcast(nearest), "own", "left")  # a row a folder: the lines stay where they are
     sound = F.when(F.col("h").isNull(), F.raise_error(F.concat(F.lit("no metadata.json above "), "file"))).when(~F.coalesce(F.col("h.version"), F.lit("")).startswith("2."), F.raise_error(F.concat(F.lit("the header is not of version 2: "), "file"))).otherwise(F.col("root.id"))
     root = F.col("root").withField("transform", F.col("h.transform")).withField("metadata", F.coalesce("root.metadata", "h.metadata"))
     return both.select(sound.alias("model_id"), root.alias("root"), "raw")
@@ -127,14 +130,23 @@ def geometries(objs: DataFrame) -> DataFrame:
 
 def boundary_indices(geoms: DataFrame) -> DataFrame:
     """Adds vertex_indices: the numbers of the nested boundaries in order."""
-    return geoms.withColumn("vertex_indices", F.transform(F.regexp_extract_all("boundaries", F.lit("-?[0-9]+"), F.lit(0)), lambda v: v.cast("int")))
+    return geoms.withColumn("vertex_indices", indices(F.col("boundaries")))
+
+
+def indices(text: Column) -> Column:
+    """The numbers in a boundary's text."""
+    return F.transform(F.regexp_extract_all(text, F.lit("-?[0-9]+"), F.lit(0)), lambda v: v.cast("int"))
+
+
+def in_world(number: Column, axis: int) -> Column:
+    """A coordinate under the column ``transform``; without one the number is taken as it is."""
+    return F.coalesce(number * F.col("transform.scale")[axis] + F.col("transform.translate")[axis], number.cast("double"))
 
 
 def vertices(models: DataFrame) -> DataFrame:
     """(model_id, vertex_id, x, y, z) in world coordinates; without a transform the numbers are taken as they are."""
     v = models.select("model_id", "root.transform", F.posexplode("root.vertices").alias("vertex_id", "v"))
-    axis = lambda i: F.coalesce(F.col("v")[i] * F.col("transform.scale")[i] + F.col("transform.translate")[i], F.col("v")[i].cast("double"))
-    return v.select("model_id", "vertex_id", *[axis(i).alias(a) for i, a in enumerate("xyz")])
+    return v.select("model_id", "vertex_id", *[in_world(F.col("v")[i], i).alias(a) for i, a in enumerate("xyz")])
 
 
 def auto_transform(verts: DataFrame, scale: float = 0.001) -> dict:
@@ -182,7 +194,7 @@ def write_documents(objs: DataFrame, verts: DataFrame, transform: dict, path: st
     b.select(F.col("model_id").alias("model"), line.alias("value")).repartition("model").write.partitionBy("model").text(path)
 
 
-def write_stream(spark: SparkSession, objs: DataFrame, verts: DataFrame, transform: dict, path: str, metadata: DataFrame | None = None, header: dict | None = None, shards: int = 1) -> dict:
+def write_stream(spark: SparkSession, objs: DataFrame, verts: DataFrame, transform: dict, path: str, metadata: DataFrame | None = None, header: dict | None = None, shards: int = 1, compression: str = "none") -> dict:
     """Streams of features, one a shard, each under the same header line; gives the header.
 
     The header is ``header``, or comes from ``metadata`` (model_id, metadata as JSON text), which must agree in all models
@@ -201,7 +213,7 @@ def write_stream(spark: SparkSession, objs: DataFrame, verts: DataFrame, transfo
     head = {"type": "CityJSON", "version": "2.0", "transform": transform} | (header or {"metadata": shown}) | {"CityObjects": {}, "vertices": []}
     lines = _features(_bodies(objs, verts, transform)).select(F.pmod(F.xxhash64("model_id"), F.lit(shards)).alias("shard"), F.lit(1).alias("kind"), "model_id", "value")
     heads = spark.range(shards).select(F.col("id").alias("shard"), F.lit(0).alias("kind"), F.lit("").alias("model_id"), F.lit(json.dumps(head)).alias("value"))
-    heads.unionByName(lines).repartition("shard").sortWithinPartitions("shard", "kind", "model_id").select("shard", "value").write.partitionBy("shard").text(path)
+    heads.unionByName(lines).repartition("shard").sortWithinPartitions("shard", "kind", "model_id").select("shard", "value").write.partitionBy("shard").option("compression", compression).text(path)
     return head
 
 
