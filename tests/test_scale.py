@@ -85,3 +85,11 @@ def test_lines_are_not_dealt_out_to_find_their_header(spark, tmp_path):
     derive.feature_files(spark, "/root/testdata/sf0.001", f"file://{tmp_path}/f")
     assert "Exchange hash" not in plan(model_json.read_feature_files(spark, f"file://{tmp_path}/f")).split("Broadcast")[0]
     assert list((tmp_path / "f/features").glob("*.gz"))
+
+
+def test_default_themes_with_themes_at_hand(spark):
+    models = parsed(spark, *odd_themes())
+    made = canonical(models)
+    made["metadata"] = made["metadata"].withColumns({"default_material_theme": F.when(F.col("model_id") != "m3", F.lit("b")), "default_texture_theme": F.lit("u")})
+    got, want = (sorted(tuple(r) for r in df.collect()) for df in (views.default_themes(made, model_themes(models)), views.default_themes(made)))
+    assert got == want and ("m0", "texture", "u", True) in got and ("m1", "texture", "u", False) in got
