@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 
 from pyspark.errors import PySparkValueError
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _ROOT = "type string, version string, id string, transform struct<scale: array<double>, translate: array<double>>, metadata string, vertices array<array<bigint>>, CityObjects map<string, string>, appearance string, extensions string, `geometry-templates` string"
@@ -160,13 +160,20 @@ def _quoted(text: Column) -> Column:
     return F.regexp_extract(F.to_json(F.array(text)), "(?s)^\\[(.*)\\]$", 1)
 
 
-def _bodies(objs: DataFrame, verts: DataFrame, transform: dict) -> DataFrame:
-    """(model_id, members, vertices): the objects and the integer vertices of each model as JSON text; halves round away from zero."""
+def _whole(verts: DataFrame, transform: dict) -> DataFrame:
+    """Adds v: the integers of a vertex; halves round away from zero."""
     s, t = transform["scale"], transform["translate"]
-    q = verts.withColumn("v", F.array(*[F.round((F.col(a) - t[i]) / s[i]).cast("long") for i, a in enumerate("xyz")]))
-    pools = q.groupBy("model_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("vertex_id", "v"))), lambda x: x.v).alias("vertices"))
-    body = F.struct(F.col("cityobject_type").alias("type"), "parents", "children", F.parse_json("attributes").alias("attributes"), F.parse_json("geometry").alias("geometry"))
-    o = objs.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("external_id", F.to_json(body).alias("o")))).alias("o"))
+    return verts.withColumn("v", F.array(*[F.round((F.col(a) - t[i]) / s[i]).cast("long") for i, a in enumerate("xyz")]))
+
+
+def _body() -> Column:
+    return F.struct(F.col("cityobject_type").alias("type"), "parents", "children", F.parse_json("attributes").alias("attributes"), F.parse_json("geometry").alias("geometry"))
+
+
+def _bodies(objs: DataFrame, verts: DataFrame, transform: dict) -> DataFrame:
+    """(model_id, members, vertices): the objects and the integer vertices of each model as JSON text."""
+    pools = _whole(verts, transform).groupBy("model_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("vertex_id", "v"))), lambda x: x.v).alias("vertices"))
+    o = objs.groupBy("model_id").agg(F.array_sort(F.collect_list(F.struct("external_id", F.to_json(_body()).alias("o")))).alias("o"))
     members = F.array_join(F.transform("o", lambda e: F.concat(_quoted(e.external_id), F.lit(":"), e.o)), ",")
     return o.join(pools, "model_id", "left").select("model_id", members.alias("members"), F.coalesce(F.to_json("vertices"), F.lit("[]")).alias("vertices"))
 
@@ -181,17 +188,51 @@ def write_features(objs: DataFrame, verts: DataFrame, transform: dict, path: str
     _features(_bodies(objs, verts, transform)).select("value").write.text(path)
 
 
-def write_documents(objs: DataFrame, verts: DataFrame, transform: dict, path: str, metadata: DataFrame | None = None) -> None:
-    """A whole document a model, each a file in a folder of its own below ``path``.
+def inside(text: Column) -> Column:
+    """A JSON list's text without its brackets."""
+    return F.substring(text, F.lit(2), F.char_length(text) - 2)
+
 
-    ``metadata`` (model_id, metadata as JSON text) is optional; a model without any gets its id as identifier.
+#: Vertices a line of a document.
+_LINE = 1024
+
+
+def write_pieces(pieces: DataFrame, text: Column, transform: dict, path: str, compression: str = "none") -> None:
+    """A document a model, each a file in a folder of its own below ``path``, a line a piece: no row ever holds a document.
+
+    pieces: (model_id, kind, name, place, ...) in order of kind, name and place.  ``text``, made after they are sorted, is
+    the metadata of kind 0 (at most one; without it the model's id is its identifier), some objects of kind 1 as
+    ``"id":{...}``, and some vertices of kind 2 as ``[x,y,z]``, with commas between them; none of them may be empty.
     """
-    b = _bodies(objs, verts, transform)
+    order = Window.partitionBy("model_id").orderBy("kind", "name", "place")
+    kind, before = F.col("kind"), F.col("kind_before")
+    top = F.lit(f'{{"type":"CityJSON","version":"2.0","transform":{json.dumps(transform)},"metadata":')
+    head = lambda meta: F.concat(top, meta, F.lit(',"CityObjects":{'))
     own = F.concat(F.lit('{"identifier":'), _quoted(F.col("model_id")), F.lit("}"))
-    b = b.withColumn("metadata", own) if metadata is None else b.join(metadata.select("model_id", "metadata"), "model_id", "left").withColumn("metadata", F.coalesce("metadata", own))
-    head = f'{{"type":"CityJSON","version":"2.0","transform":{json.dumps(transform)},"metadata":'
-    line = F.concat(F.lit(head), F.col("metadata"), F.lit(',"CityObjects":{'), F.col("members"), F.lit('},"vertices":'), F.col("vertices"), F.lit("}"))
-    b.select(F.col("model_id").alias("model"), line.alias("value")).repartition("model").write.partitionBy("model").text(path)
+    front = F.when(kind == 0, head(text)).when(before.isNull(), head(own)).otherwise("")
+    link = F.when(kind == 0, "").when(kind == before, ",").when(kind == 2, '},"vertices":[').otherwise("")
+    end = F.when(F.col("kind_after").isNotNull(), "").when(kind == 2, "]}").otherwise('},"vertices":[]}')
+    line = F.concat(front, link, F.when(kind == 0, "").otherwise(text), end)
+    rows = pieces.withColumns({"kind_before": F.lag("kind").over(order), "kind_after": F.lead("kind").over(order)})
+    rows.select(F.col("model_id").alias("model"), line.alias("value")).write.partitionBy("model").option("compression", compression).text(path)
+
+
+def write_documents(objs: DataFrame, verts: DataFrame, transform: dict, path: str, metadata: DataFrame | None = None, compression: str = "none") -> None:
+    """A whole document a model, each a file in a folder of its own below ``path``.
+
+    ``metadata`` (model_id, metadata as JSON text) is optional; a model without any gets its id as identifier.  A model
+    without objects is written if it has vertices.
+    """
+    piece = lambda df, kind, name, place, text: df.select("model_id", F.lit(kind).alias("kind"), name.alias("name"), place.cast("long").alias("place"), text.alias("text"))
+    o = piece(objs, 1, F.col("external_id"), F.lit(0), F.concat(_quoted(F.col("external_id")), F.lit(":"), F.to_json(_body())))
+    pools = _whole(verts, transform).groupBy("model_id", F.floor(F.col("vertex_id") / _LINE).alias("place"))
+    pools = pools.agg(F.transform(F.array_sort(F.collect_list(F.struct("vertex_id", "v"))), lambda x: x.v).alias("vs"))
+    v = piece(pools, 2, F.lit(""), F.col("place"), inside(F.to_json("vs")))
+    pieces = o.unionByName(v)
+    if metadata is not None:
+        m = metadata.where("metadata IS NOT NULL").join(pieces.select("model_id").distinct(), "model_id", "left_semi")
+        pieces = pieces.unionByName(piece(m, 0, F.lit(""), F.lit(0), F.col("metadata")))
+    write_pieces(pieces, F.col("text"), transform, path, compression)
 
 
 def write_stream(spark: SparkSession, objs: DataFrame, verts: DataFrame, transform: dict, path: str, metadata: DataFrame | None = None, header: dict | None = None, shards: int = 1, compression: str = "none") -> dict:
