@@ -1,14 +1,16 @@
 """Quality classifier: Bradley-Terry ranking learned from preference pairs, thresholded at a score quantile.
 
 Each text becomes a dozen numbers (``FEATURES``) and the shares of its byte 4-grams (A-Z lower-cased) by ``BUCKETS`` hashed
-buckets.  From a bounded sample of labelled rows, pairs of a preferred
-(quality 1) and an other (quality 0) document are drawn, and weights w are found by which w . (f(a) - f(b)) explains the
-preferences: logistic loss on feature differences, L2 (stronger on the buckets), by Newton steps.  A document's rank score
-is w . f.  The threshold is the quantile of the sample's rank scores at the share of quality 0; it is mapped to
-``cut`` on the logistic scale, so that score >= cut is the decision.
+buckets.  Every labelled row that is not held out takes part, and so does every pair of a preferred (quality 1) and an other
+(quality 0) row: weights w are found by which w . (f(a) - f(b)) explains the preferences: logistic loss on feature
+differences, L2 (stronger on the buckets), by Newton steps.  A document's rank score is w . f.  The threshold is the quantile
+of the rank scores of all these rows at the share of quality 0; it is mapped to ``cut`` on the logistic scale, so that
+score >= cut is the decision.
 
-At most ``SAMPLE`` labelled rows are used, those of the smallest hashes of doc_id, and ``PAIRS`` pairs of them; their ids are
-sent to all tasks.
+Pairs are not listed.  What a row's pairs add is a smooth function of its rank score and of how the rank scores of the other
+label lie, and that is taken from counts on a grid of steps of ``STEP``, between whose nodes scores are shared out (an error
+below 1e-7 of a pair's probability).  Features are written once; each step of the search passes over them twice, and of a
+pass the driver gets sums of fixed size.
 
 Edge cases: a null text is an empty text, and an empty text has features of zeros; rows with a null doc_id or null
 quality are not learned from, and held_out is false for a null doc_id; a doc_id that repeats counts as often; without
@@ -17,6 +19,10 @@ labels of both kinds every score is ``cut``, which keeps all; a rank score at th
 
 from __future__ import annotations
 
+import pickle
+import zlib
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,9 +31,9 @@ from pyspark.sql import functions as F
 
 from .quality_rules import IS_SYMBOL
 from .text import LOWER, chunks, duplicate_lines, mix, prefix_sums, repeated_words, span_hashes, sums_by, word_spans
-from .util import batch, bounded_batches, remainder
+from .util import batch, bounded_batches, remainder, written
 
-SAMPLE, PAIRS, BUCKETS = 30_000, 60_000, 256
+STEP, COARSE, PARTS, BUCKETS = 1 / 512, 128, 256, 256
 FEATURES = ("log_words", "symbols", "capitals", "marks", "digits", "repeated", "lines_again", "same_next", "word_length", "long_words", "distinct", "end_marks")
 
 
@@ -80,37 +86,137 @@ WIDTH = len(FEATURES) + BUCKETS
 L2 = np.repeat([1e-3, 1e-2], [len(FEATURES), BUCKETS])
 
 
-def pairs_of(y: np.ndarray, pairs: int = PAIRS) -> tuple[np.ndarray, np.ndarray]:
-    """Rows preferred and rows they are preferred to, drawn with a fixed seed."""
+def pairs_of(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows preferred and rows they are preferred to: all pairs, which ``fit`` takes together."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    rng = np.random.default_rng(5)
-    m = min(pairs, 50 * max(len(good), len(bad)))
-    return rng.choice(good, m), rng.choice(bad, m)
+    return np.repeat(good, len(bad)), np.tile(bad, len(good))
+
+
+def _sigmoid(t: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.clip(-t, -500, 500)))
+
+
+def _shares(s: np.ndarray, lo: float, step: float) -> tuple[np.ndarray, np.ndarray]:
+    """The grid node at or below each score, and the share that the next one gets."""
+    at = (s - lo) / step
+    node = np.floor(at).astype(np.int64)
+    return node, at - node
+
+
+def _against(counts: np.ndarray, f, step: float) -> np.ndarray:
+    """At each node, the sum over nodes b of counts[b] f(b - node), by FFT."""
+    n = len(counts)
+    size = 1 << (3 * n).bit_length()
+    kernel = f(np.arange(1 - n, n) * step)
+    got = np.fft.irfft(np.fft.rfft(counts, size) * np.fft.rfft(kernel[::-1], size), size)
+    return got[n - 1 : 2 * n - 1]
+
+
+def fit(x: np.ndarray, y: np.ndarray) -> dict:
+    """Weights, centre, scale and threshold from features and 0/1 quality, over all pairs."""
+    return fit_over(lambda fold, join: join([fold(x, y)]) if len(x) else None)
+
 
+def _added(totals: list[tuple]) -> tuple:
+    return reduce(lambda a, b: tuple(p + q for p, q in zip(a, b)), totals)
 
-def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, part: int = 8192) -> dict:
-    """Weights, centre, scale and threshold from features and 0/1 quality; pairs are taken ``part`` at a time."""
-    centre, scale = x.mean(0) if len(x) else np.zeros(WIDTH), (x.std(0) + 0.02) if len(x) else np.ones(WIDTH)
+
+def _listed(totals: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(totals)
+
+
+def fit_over(run) -> dict:
+    """As ``fit``; ``run(fold, join)`` gives the joined values of ``fold(x, y)`` over parts of the rows, or None without rows."""
+    sums = run(lambda x, y: (np.array([len(y), (y == 1).sum(), (y == 0).sum()]), x.sum(0), (x * x).sum(0)), _added)
+    n, good, bad = (int(v) for v in sums[0]) if sums else (0, 0, 0)
+    centre = sums[1] / n if n else np.zeros(WIDTH)
+    scale = np.sqrt(np.maximum(sums[2] / n - centre**2, 0)) + 0.02 if n else np.ones(WIDTH)
     w = np.zeros(WIDTH)
-    if len(np.unique(y)) < 2:
+    if not good or not bad:
         return {"w": w, "centre": centre, "scale": scale, "at": 0.0, "unit": 1.0}
-    z = np.clip((x - centre) / scale, -6, 6)
-    a, b = pairs_of(y, pairs)
-    for _ in range(25):
-        grad, hess = -L2 * w, np.diag(L2)
-        for i in range(0, len(a), part):
-            d = z[a[i : i + part]] - z[b[i : i + part]]
-            p = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))  # of the pair the other way round
-            grad = grad + d.T @ p / len(a)
-            hess = hess + (d * (p * (1 - p))[:, None]).T @ d / len(a)
-        step = np.linalg.solve(hess, grad)
+    normal = lambda x: np.clip((x - centre) / scale, -6, 6)
+    for _ in range(50):
+        lo, size = _grid(w)
+        fine = run(lambda x, y: tuple(_counts((normal(x) @ w)[y == k], lo, size) for k in (1, 0)), _added)  # noqa: B023
+        fold, curved = _slopes(w, normal, lo, fine, good, bad)
+        grad, hess = curved(run(fold, _added))
+        step = np.linalg.solve(hess + np.diag(L2), grad - L2 * w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
-    s = z @ w
-    q, wide = float((y == 0).mean()), 0.005
-    at = (np.quantile(s, max(q - wide, 0)) + np.quantile(s, min(q + wide, 1))) / 2
-    return {"w": w, "centre": centre, "scale": scale, "at": float(at), "unit": float(max(s.std(), 1e-6))}
+    return {"w": w, "centre": centre, "scale": scale} | _cut_at(run, normal, w, bad / n)
+
+
+def _grid(w: np.ndarray) -> tuple[float, int]:
+    """The lowest node and the number of nodes that hold every score: features are clipped to 6."""
+    half = int(np.ceil(6 * np.abs(w).sum() / STEP)) + 2
+    return -half * STEP, 2 * half + 1
+
+
+def _counts(s: np.ndarray, lo: float, size: int) -> np.ndarray:
+    node, share = _shares(s, lo, STEP)
+    return np.bincount(node, 1 - share, size) + np.bincount(node + 1, share, size)
+
+
+def _slopes(w: np.ndarray, normal, lo: float, fine: tuple, good: int, bad: int):
+    """A fold of (gradient, curvature) of the mean over all pairs; the part of the curvature between two rows by a coarse grid."""
+    used = np.flatnonzero(fine[0] + fine[1])
+    first, nodes = used[0], used[-1] - used[0] + 1
+    own = [c[first : first + nodes] for c in fine]
+    slope = lambda t: _sigmoid(t) * _sigmoid(-t)
+    # of a preferred row: the mean over the others of the probability that they win, and its slope; of an other, over the preferred
+    tables = {1: (_against(own[1] / bad, _sigmoid, STEP), _against(own[1] / bad, slope, STEP)), 0: (_against(own[0] / good, lambda t: _sigmoid(-t), STEP), _against(own[0] / good, slope, STEP))}
+    at, wide = lo + first * STEP, max(nodes - 1, 1) * STEP / (COARSE - 2)
+    places = np.arange(nodes) * STEP + at
+    far = np.arange(COARSE) * wide
+    between = slope(far[:, None] - far[None, :])
+    held = {k: np.zeros((COARSE, WIDTH)) for k in (0, 1)}
+
+    def fold(x, y):
+        z = normal(x)
+        s = z @ w
+        out = [np.zeros(WIDTH), np.zeros((WIDTH, WIDTH)), *held.values()]
+        for k, sign, many in ((1, 1, good), (0, -1, bad)):
+            mine, score = z[y == k], s[y == k]
+            out[0] = out[0] + sign * mine.T @ np.interp(score, places, tables[k][0]) / many
+            out[1] = out[1] + (mine * np.interp(score, places, tables[k][1])[:, None]).T @ mine / many
+            node, share = _shares(score, at, wide)
+            node = np.clip(node, 0, COARSE - 2)
+            dealt = np.zeros((len(score), COARSE))
+            dealt[np.arange(len(score)), node] = 1 - share
+            dealt[np.arange(len(score)), node + 1] = share
+            out[2 + k] = out[2 + k] + dealt.T @ mine / many
+        return tuple(out)
+
+    def curved(sums):
+        grad, hess, others, preferred = sums
+        cross = preferred.T @ between @ others
+        return grad, hess - cross - cross.T
+
+    return fold, curved
+
+
+def _cut_at(run, normal, w: np.ndarray, q: float, wide: float = 0.005) -> dict:
+    """The threshold, between two exact quantiles of all scores, and the spread of the scores."""
+    lo, size = _grid(w)
+    cell = lambda s: np.floor((s - lo) / STEP).astype(np.int64)
+
+    def fold(x, y):
+        s = normal(x) @ w
+        return np.bincount(cell(s), minlength=size), s.sum(), (s * s).sum()
+
+    counts, total, squares = run(fold, _added)
+    n, upto = int(counts.sum()), np.cumsum(counts)
+    ranks = [(n - 1) * p for p in (max(q - wide, 0), min(q + wide, 1))]
+    cells = np.searchsorted(upto, [f(r) for r in ranks for f in (np.floor, np.ceil)], "right")
+    wanted = np.unique(cells)
+    near = np.sort(run(lambda x, y: (s := normal(x) @ w)[np.isin(cell(s), wanted)], _listed))
+    place = lambda r, c: near[int(r) - (upto[c] - counts[c]) + counts[wanted[wanted < c]].sum()]
+    at = 0.0
+    for k, r in enumerate(ranks):
+        low, high = place(np.floor(r), cells[2 * k]), place(np.ceil(r), cells[2 * k + 1])
+        at += (low + (high - low) * (r - np.floor(r))) / 2
+    return {"at": float(at), "unit": float(max(np.sqrt(max(squares / n - (total / n) ** 2, 0)), 1e-6))}
 
 
 _ROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
@@ -129,13 +235,13 @@ def _score(model: dict, cut: float):
     return run
 
 
-_FEATURE = pa.schema([("quality", pa.int32()), ("features", pa.list_(pa.float32()))])
+_FEATURE = pa.schema([("doc_id", pa.int64()), ("features", pa.list_(pa.float32()))])
 
 
 def _learn_rows(batches):
     for b in batches:
         for lo, hi, data, offs in chunks(b.column("text")):
-            yield batch(_FEATURE, b.column("quality").slice(lo, hi - lo), list(features(data, offs).astype(np.float32)))
+            yield batch(_FEATURE, b.column("doc_id").slice(lo, hi - lo), list(features(data, offs).astype(np.float32)))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, train, size: int) -> DataFrame:
@@ -145,12 +251,33 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train, size: int) ->
     return docs.join(F.broadcast(chosen), "doc_id").select("text", label)
 
 
+def _over(rows: DataFrame):
+    """``run`` of ``fit_over`` for rows (quality, features): one job, of which the driver gets a value a task, at most ``PARTS``."""
+
+    def run(fold, join):
+        def part(batches):
+            total = None
+            for b in batches:
+                if b.num_rows:
+                    x = b.column("features").flatten().to_numpy().astype(float).reshape(-1, WIDTH)
+                    got = fold(x, b.column("quality").to_numpy())
+                    total = got if total is None else join([total, got])
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(total), 1)], pa.binary())], ["total"])
+
+        found = [pickle.loads(zlib.decompress(v.as_py())) for v in rows.coalesce(PARTS).mapInArrow(part, "total binary").toArrow().column(0)]
+        return join(found) if found else None
+
+    return run
+
+
 def learned(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int, held: int) -> dict:
     bounded_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = sample(docs, labels, "quality", remainder("doc_id", folds) != held, SAMPLE).mapInArrow(_learn_rows, "quality int, features array<float>").orderBy("quality", "features").toArrow()
-    x = rows.column("features").combine_chunks().flatten().to_numpy().astype(float).reshape(-1, WIDTH)
-    return fit(x, rows.column("quality").to_numpy().astype(int))
+    train = remainder("doc_id", folds) != held
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(train)
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isNotNull() & train)
+    rows = docs.mapInArrow(_learn_rows, "doc_id long, features array<float>").join(marks, "doc_id").select("quality", "features")  # no text is moved
+    return fit_over(_over(written(spark, rows, "quality")))
 
 
 def ranked(spark: SparkSession, docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, cut: float = 0.7) -> DataFrame:
