@@ -86,10 +86,10 @@ def _headers(spark: SparkSession, directory: str) -> DataFrame:
     return heads.select(F.regexp_replace("path", "/metadata\\.json(/[^/]*)?$", "").alias("folder"), F.from_json("value", _ROOT).alias("h"))
 
 
-def read_feature_files(spark: SparkSession, directory: str) -> DataFrame:
-    """Features below ``directory``, each under the header of the metadata.json of its nearest folder upwards.
+def feature_lines(spark: SparkSession, directory: str) -> DataFrame:
+    """(file, value, h, problem): the lines below ``directory`` as they stand, each with the header of the metadata.json of its nearest folder upwards, and what is wrong with that header, or null.
 
-    A file without any header, and a header that is not of version 2, are errors when its rows are read; two headers of one folder are a ValueError.
+    Two headers of one folder are a ValueError.
     """
     heads = _headers(spark, directory)
     if twice := heads.groupBy("folder").count().where("count > 1").first():
@@ -100,8 +100,18 @@ def read_feature_files(spark: SparkSession, directory: str) -> DataFrame:
     parts = F.split("own", "/")
     above = there.select("own", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("levels")).select("own", "levels", F.array_join(F.slice(F.split("own", "/"), F.lit(1), F.col("levels")), "/").alias("folder"))
     nearest = above.join(heads, "folder").groupBy("own").agg(F.max_by(F.struct("h.transform", "h.metadata", "h.version"), "levels").alias("h"))
-    both = parsed_root(lines).withColumn("own", folder(F.col("file"))).join(F.broadcast(nearest), "own", "left")  # a row a folder: the lines stay where they are
-    sound = F.when(F.col("h").isNull(), F.raise_error(F.concat(F.lit("no metadata.json above "), "file"))).when(~F.coalesce(F.col("h.version"), F.lit("")).startswith("2."), F.raise_error(F.concat(F.lit("the header is not of version 2: "), "file"))).otherwise(F.col("root.id"))
+    both = lines.withColumn("own", folder(F.col("file"))).join(F.broadcast(nearest), "own", "left")  # a row a folder: the lines stay where they are
+    problem = F.when(F.col("h").isNull(), F.concat(F.lit("no metadata.json above "), "file")).when(~F.coalesce(F.col("h.version"), F.lit("")).startswith("2."), F.concat(F.lit("the header is not of version 2: "), "file"))
+    return both.select("file", "value", "h", problem.alias("problem"))
+
+
+def read_feature_files(spark: SparkSession, directory: str) -> DataFrame:
+    """Features below ``directory``, each under the header of the metadata.json of its nearest folder upwards.
+
+    A file without any header, and a header that is not of version 2, are errors when its rows are read; two headers of one folder are a ValueError.
+    """
+    both = parsed_root(feature_lines(spark, directory))
+    sound = F.when(F.col("problem").isNotNull(), F.raise_error("problem")).otherwise(F.col("root.id"))
     root = F.col("root").withField("transform", F.col("h.transform")).withField("metadata", F.coalesce("root.metadata", "h.metadata"))
     return both.select(sound.alias("model_id"), root.alias("root"), "raw")
 
@@ -235,6 +245,18 @@ def write_documents(objs: DataFrame, verts: DataFrame, transform: dict, path: st
     write_pieces(pieces, F.col("text"), transform, path, compression)
 
 
+def stream_header(transform: dict, metadata: DataFrame | None = None, header: dict | None = None) -> dict:
+    """The header of a stream: ``header``, or what ``metadata`` (metadata as JSON text) says, which must agree in all rows but for the extent."""
+    shown = {}
+    if header is None and metadata is not None:
+        parts = F.map_filter(F.from_json("metadata", "map<string, string>"), lambda k, v: k != "geographicalExtent")
+        roots = metadata.select(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(parts)))).alias("m"), F.col("metadata").alias("text")).groupBy("m").agg(F.min("text").alias("text")).limit(2).collect()
+        if len(roots) > 1:
+            raise ValueError("the features' metadata differ")
+        shown = {k: v for k, v in json.loads(roots[0]["text"] or "{}").items() if k != "geographicalExtent"} if roots else {}
+    return {"type": "CityJSON", "version": "2.0", "transform": transform} | (header or {"metadata": shown}) | {"CityObjects": {}, "vertices": []}
+
+
 def write_stream(spark: SparkSession, objs: DataFrame, verts: DataFrame, transform: dict, path: str, metadata: DataFrame | None = None, header: dict | None = None, shards: int = 1, compression: str = "none") -> dict:
     """Streams of features, one a shard, each under the same header line; gives the header.
 
@@ -244,14 +266,7 @@ def write_stream(spark: SparkSession, objs: DataFrame, verts: DataFrame, transfo
     twice = objs.select("model_id", "external_id").groupBy("external_id").agg(F.count("*").alias("n")).where("n > 1").first()
     if twice:
         raise ValueError(f"object {twice['external_id']} is in two features")
-    shown = {}
-    if header is None and metadata is not None:
-        parts = F.map_filter(F.from_json("metadata", "map<string, string>"), lambda k, v: k != "geographicalExtent")
-        roots = metadata.select(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(parts)))).alias("m"), F.col("metadata").alias("text")).groupBy("m").agg(F.min("text").alias("text")).limit(2).collect()
-        if len(roots) > 1:
-            raise ValueError("the features' metadata differ")
-        shown = {k: v for k, v in json.loads(roots[0]["text"] or "{}").items() if k != "geographicalExtent"} if roots else {}
-    head = {"type": "CityJSON", "version": "2.0", "transform": transform} | (header or {"metadata": shown}) | {"CityObjects": {}, "vertices": []}
+    head = stream_header(transform, metadata, header)
     lines = _features(_bodies(objs, verts, transform)).select(F.pmod(F.xxhash64("model_id"), F.lit(shards)).alias("shard"), F.lit(1).alias("kind"), "model_id", "value")
     heads = spark.range(shards).select(F.col("id").alias("shard"), F.lit(0).alias("kind"), F.lit("").alias("model_id"), F.lit(json.dumps(head)).alias("value"))
     heads.unionByName(lines).repartition("shard").sortWithinPartitions("shard", "kind", "model_id").select("shard", "value").write.partitionBy("shard").option("compression", compression).text(path)
