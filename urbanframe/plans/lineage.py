@@ -23,3 +23,9 @@ def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     path = shared(spark, "round")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Removes a folder of ``shared`` that nothing will read again."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
